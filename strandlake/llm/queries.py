@@ -5,9 +5,11 @@ from __future__ import annotations
 from .exact_dedup import op5_lsm_exact_dedup
 from .line_dedup import op4_line_windows
 from .sharding import op1_histogram_sort
+from .token_records import op2_token_records
 
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
+    "op2_token_records": op2_token_records,
     "op4_line_windows": op4_line_windows,
     "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
 }
