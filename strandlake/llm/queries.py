@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_prefix_filtered_decontamination
 from .exact_dedup import op5_lsm_exact_dedup
 from .line_dedup import op4_line_windows
 from .sharding import op1_histogram_sort
 from .token_records import op2_token_records
+from .warc import op10_warc_index_first
 
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_token_records": op2_token_records,
     "op4_line_windows": op4_line_windows,
     "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
+    "op9_prefix_filtered_decontamination": op9_prefix_filtered_decontamination,
+    "op10_warc_index_first": op10_warc_index_first,
 }

@@ -139,7 +139,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
             for lo in range(0, len(texts), 256):
                 for data in coder.encode([t or "" for t in texts[lo : lo + 256]]):
                     record = frame(data + end)
-                    out = out or store.open_output_stream(file)
+                    out = out or store.open_output_stream(file, compression=None)
                     out.write(record)
                     n = len(data) // coder.width + 1
                     offsets.append(offset), lengths.append(len(record)), counts.append(n), firsts.append(first)
