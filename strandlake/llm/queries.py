@@ -5,7 +5,9 @@ from __future__ import annotations
 from .decontaminate import op9_prefix_filtered_decontamination
 from .exact_dedup import op5_lsm_exact_dedup
 from .line_dedup import op4_line_windows
+from .quality import op8_factorisation_machine
 from .sharding import op1_histogram_sort
+from .simhash import op6_simhash_tiles
 from .token_records import op2_token_records
 from .warc import op10_warc_index_first
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op4_line_windows": op4_line_windows,
     "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
+    "op6_simhash_tiles": op6_simhash_tiles,
+    "op8_factorisation_machine": op8_factorisation_machine,
     "op9_prefix_filtered_decontamination": op9_prefix_filtered_decontamination,
     "op10_warc_index_first": op10_warc_index_first,
 }
