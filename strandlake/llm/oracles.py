@@ -40,4 +40,16 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
 FROM k""",
+    "op7_repeated_phrase_automata": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM x),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM r WHERE k > 1),
+i AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT i.doc_id, string_agg(word, ' ' ORDER BY i.p) FILTER (c.p IS NULL) AS t, count(c.p) AS n
+      FROM i LEFT JOIN c USING (doc_id, p) GROUP BY i.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
 }

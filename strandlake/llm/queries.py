@@ -8,6 +8,7 @@ from .line_dedup import op4_line_windows
 from .quality import op8_factorisation_machine
 from .sharding import op1_histogram_sort
 from .simhash import op6_simhash_tiles
+from .substring_dedup import op7_repeated_phrase_automata
 from .token_records import op2_token_records
 from .warc import op10_warc_index_first
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_windows": op4_line_windows,
     "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
     "op6_simhash_tiles": op6_simhash_tiles,
+    "op7_repeated_phrase_automata": op7_repeated_phrase_automata,
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_prefix_filtered_decontamination": op9_prefix_filtered_decontamination,
     "op10_warc_index_first": op10_warc_index_first,
