@@ -1,6 +1,46 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+
+
+def _rake_sql(rounds: int = 12, budget: float = 0.5, seed: int = 42) -> str:
+    """Raking as a chain of common table expressions, a marginal each."""
+    parts = [
+        r"""t AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents)""",
+        """d AS (SELECT doc_id, source, lang, n AS n_tokens, CASE WHEN n = 0 THEN 'empty'
+ WHEN (length(text) - length(replace(text, '|', ''))) * 20 > n THEN 'table' WHEN (length(text) - length(replace(text, '!', ''))) * 4 > n THEN 'loud'
+ WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) * 50 > length(text) THEN 'numbers' WHEN n < 120 THEN 'short' ELSE 'prose' END AS topic FROM t)""",
+        """c AS (SELECT coalesce(source, '') AS s, coalesce(lang, '') AS l, topic AS o, CAST(sum(n_tokens) AS DOUBLE) AS k FROM d GROUP BY ALL)""",
+        "total AS (SELECT sum(k) AS a FROM c)",
+    ]
+    for x, power in (("s", 0.5), ("l", 0.7), ("o", 0.8)):
+        parts.append(f"g_{x} AS (SELECT {x}, pow(sum(k), {power}) AS p FROM c GROUP BY {x} HAVING sum(k) > 0)")
+        parts.append(f"h_{x} AS (SELECT {x}, p / (SELECT sum(p) FROM g_{x}) * a AS target FROM g_{x}, total)")
+    parts.append("w0 AS (SELECT s, l, o, k, k AS w FROM c)")
+    step = 0
+    for _ in range(rounds):
+        for x in "slo":
+            step += 1
+            parts.append(
+                f"w{step} AS MATERIALIZED (SELECT s, l, o, k, coalesce(w * target / nullif(sum(w) OVER (PARTITION BY {x}), 0), 0) AS w"
+                f" FROM w{step - 1} LEFT JOIN h_{x} USING ({x}))"
+            )
+    parts += [
+        f"r AS (SELECT s, l, o, k, CASE WHEN k > 0 THEN w / k ELSE 0 END AS r FROM w{step})",
+        f"f AS (SELECT r, ({budget} * a - coalesce(sum(k) OVER q, 0)) / nullif(sum(k * r) OVER () - coalesce(sum(k * r) OVER q, 0), 0) AS f"
+        " FROM r, total WINDOW q AS (ORDER BY r DESC, s, l, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+        "z AS (SELECT f FROM f WHERE f * r <= 1 ORDER BY r DESC LIMIT 1)",
+        "p AS (SELECT s, l, o, round(CASE WHEN k > 0 THEN least(1.0, f * r) ELSE 1.0 END, 9) AS p FROM r, z)",
+    ]
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 7) AS probability,
+       CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{seed}'), 1, 8)) AS UBIGINT) / 4294967296.0 < p AS sampled
+FROM d JOIN p ON coalesce(source, '') = s AND coalesce(lang, '') = l AND topic = o"""
+    )
+
+
 ORACLES = {
+    "op3_rake_mixture": _rake_sql(),
     "op4_line_windows": """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, p, l[p] || chr(10) || l[p+1] || chr(10) || l[p+2] AS s

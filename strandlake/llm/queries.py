@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op9_prefix_filtered_decontamination
 from .exact_dedup import op5_lsm_exact_dedup
 from .line_dedup import op4_line_windows
+from .mixing import op3_rake_mixture
 from .quality import op8_factorisation_machine
 from .sharding import op1_histogram_sort
 from .simhash import op6_simhash_tiles
@@ -15,6 +16,7 @@ from .warc import op10_warc_index_first
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_token_records": op2_token_records,
+    "op3_rake_mixture": op3_rake_mixture,
     "op4_line_windows": op4_line_windows,
     "op5_lsm_exact_dedup": op5_lsm_exact_dedup,
     "op6_simhash_tiles": op6_simhash_tiles,

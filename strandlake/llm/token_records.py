@@ -7,7 +7,6 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +52,33 @@ def unframe(buffer, at: int = 0) -> tuple[bytes, int]:
     return data, end + FOOTER
 
 
+class _Known(dict):
+    """Ids of words: a full generation is kept aside until the next is full, and what is used moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.older, self.new = most, {}, []
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.older.get(word)
+        if ids is None:
+            self.new.append(word)
+        else:
+            self[word] = ids
+        return ids
+
+    def turn(self) -> list[str]:
+        """The words not known, once each; starts a generation where the last is full."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new, self.new = list(set(self.new)), []
+        return new
+
+
 class Encoder:
     """Encodes whole texts, remembering the ids of words: a byte-level tokenizer cuts at word starts first."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,49 +86,50 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.dtype[-1])
-        self.known: dict[str, bytes | None] = {}
-        self.most = most
+        self.known = _Known(most)
         self.end_of_line = self.tokenizer.encode(_NEWLINE, add_special_tokens=False).ids
+        self.line = np.array(self.end_of_line, self.dtype).tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words with the space before them; None for those at whose ends a text can't be cut.
+        """Ids of words with the space or line feed before them; none where a text can't be cut there.
 
-        Words without white space are encoded together, a line each, the others singly.
+        Words without other white space are encoded together, a line each, the others singly.
         """
         plain = []
         for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                self.known[w] = None
-            elif w[0] != _FIRST and len(w.split()) == 1:
-                plain.append(w)
-            else:
-                self.known[w] = self._ids(w[1:] if w[0] == _FIRST else " " + w).tobytes()
+            mark = w[:1] if w[:1] in (_FIRST, _NEWLINE) else ""
+            body = w[len(mark) :]
+            if body.split() == [body]:
+                plain.append((w, body if mark else " " + body, self.line if mark == _NEWLINE else b""))
+            elif body and not body[0].isspace() and not body[-1].isspace():
+                self.known[w] = self._ids(w[1:] if mark == _FIRST else w if mark else " " + w).tobytes()
         for k in range(0, len(plain), 500):
             some = plain[k : k + 500]
-            ids = self._ids("".join(f" {w}\n" for w in some))
+            ids = self._ids("".join(f"{body}\n" for _, body, _ in some))
             ends = np.flatnonzero(ids == self.end_of_line[0])
             if len(self.end_of_line) == 1 and len(ends) == len(some):
                 raw, ends = ids.tobytes(), (ends * self.width).tolist()
                 starts = [0, *(e + self.width for e in ends)]
-                self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends))
+                self.known.update((w, line + raw[a:b]) for (w, _, line), a, b in zip(some, starts, ends))
             else:
-                self.known.update((w, self._ids(" " + w).tobytes()) for w in some)
+                self.known.update((w, line + self._ids(body).tobytes()) for w, body, line in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, as many bytes each as the vocabulary needs."""
-        cut = [(_FIRST + t).split(" ") if _FIRST not in t else [""] for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        self._learn(list(set(chain.from_iterable(cut)) - self.known.keys()))
+        cut = [(_FIRST + t).replace(_NEWLINE, " \n").split(" ") if _FIRST not in t else [""] for t in texts]
         get, out = self.known.__getitem__, []
-        for text, words in zip(texts, cut):
-            try:
-                out.append(b"".join(map(get, words)))
-            except TypeError:  # a None: white space next to a space, or our mark in the text
-                out.append(b"".join(self._ids(w).tobytes() for w in _WORD_START.split(text)))
+        parts = [list(map(get, words)) for words in cut]
+        self._learn(self.known.turn())
+        for text, words, ids in zip(texts, cut, parts):
+            if None in ids:
+                ids = list(map(get, words))
+            if None in ids:  # white space next to a space, or our mark in the text
+                ids = (self._ids(w).tobytes() for w in _WORD_START.split(text))
+            out.append(b"".join(ids))
+        self.known.new.clear()
         return out
 
 
