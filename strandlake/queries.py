@@ -1,4 +1,6 @@
 """All registered queries of the sequencing operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import read_queries
+
+QUERIES: dict = {**read_queries.QUERIES}
+ORACLES: dict = {**read_queries.ORACLES}
