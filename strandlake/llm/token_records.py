@@ -27,6 +27,8 @@ _WORD_START = re.compile(r"(?<=\S)(?= \S)")
 #: Marks the word that no space precedes.
 _FIRST = "\0"
 _NEWLINE = "\n"
+#: Marks that never share a token with the letter before them (the apostrophe may).
+_MARKS = ".,!?;:%&*#$|)"
 
 
 def masked_crc(data: bytes) -> int:
@@ -78,7 +80,7 @@ class _Known(dict):
 class Encoder:
     """Encodes whole texts, remembering the ids of words: a byte-level tokenizer cuts at word starts first."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,43 +95,69 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
+    def _lines(self, bodies: list[str], lead: str) -> list[bytes]:
+        """Ids of words without white space, each after lead: encoded together, a line each."""
+        out = []
+        for k in range(0, len(bodies), 500):
+            some = bodies[k : k + 500]
+            ids = self._ids(lead + f"\n{lead}".join(some) + "\n")
+            ends = np.flatnonzero(ids == self.end_of_line[0])
+            if len(self.end_of_line) == 1 and len(ends) == len(some):
+                raw, ends = ids.tobytes(), (ends * self.width).tolist()
+                out += [raw[a:b] for a, b in zip([0, *(e + self.width for e in ends)], ends)]
+            else:
+                out += [self._ids(lead + w).tobytes() for w in some]
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words with the space or line feed before them; none where a text can't be cut there.
 
-        Words without other white space are encoded together, a line each, the others singly.
+        Marks after a letter are cut off first, as the tokenizer does, so that words with and without
+        them share what is known.
         """
-        plain = []
+        known, older, learned = self.known, self.known.older, {}
+        plain, marked, marks, first, other = [], [], set(), [], []
         for w in words:
+            if w.isprintable() and w:
+                core = w.rstrip(_MARKS)
+                if len(core) == len(w) or not core or not core[-1].isalpha():
+                    plain.append(w)
+                else:
+                    marked.append((w, core, w[len(core) :]))
+            else:
+                (first if w[:1] in (_FIRST, _NEWLINE) and w[1:] and w[1:].isprintable() else other).append(w)
+        cores = {core for _, core, _ in marked}
+        plain += [c for c in cores.difference(plain) if c not in known and c not in older]
+        marks = list({m for *_, m in marked})
+        learned.update(zip(plain, self._lines(plain, " ")))
+        tails = dict(zip(marks, self._lines(marks, "")))
+        for w, core, mark in marked:
+            learned[w] = (learned.get(core) or dict.get(known, core) or older[core]) + tails[mark]
+        for w, ids in zip(first, self._lines([w[1:] for w in first], "")):
+            learned[w] = ids if w[0] == _FIRST else self.line + ids
+        for w in other:
             mark = w[:1] if w[:1] in (_FIRST, _NEWLINE) else ""
             body = w[len(mark) :]
-            if body.split() == [body]:
-                plain.append((w, body if mark else " " + body, self.line if mark == _NEWLINE else b""))
-            elif body and not body[0].isspace() and not body[-1].isspace():
-                self.known[w] = self._ids(w[1:] if mark == _FIRST else w if mark else " " + w).tobytes()
-        for k in range(0, len(plain), 500):
-            some = plain[k : k + 500]
-            ids = self._ids("".join(f"{body}\n" for _, body, _ in some))
-            ends = np.flatnonzero(ids == self.end_of_line[0])
-            if len(self.end_of_line) == 1 and len(ends) == len(some):
-                raw, ends = ids.tobytes(), (ends * self.width).tolist()
-                starts = [0, *(e + self.width for e in ends)]
-                self.known.update((w, line + raw[a:b]) for (w, _, line), a, b in zip(some, starts, ends))
-            else:
-                self.known.update((w, line + self._ids(body).tobytes()) for w, body, line in some)
+            if body and not body[0].isspace() and not body[-1].isspace():
+                learned[w] = self._ids(body if mark == _FIRST else w if mark else " " + w).tobytes()
+        known.update(learned)
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, as many bytes each as the vocabulary needs."""
         cut = [(_FIRST + t).replace(_NEWLINE, " \n").split(" ") if _FIRST not in t else [""] for t in texts]
         get, out = self.known.__getitem__, []
         parts = [list(map(get, words)) for words in cut]
-        self._learn(self.known.turn())
+        learned = self._learn(self.known.turn())
         for text, words, ids in zip(texts, cut, parts):
-            if None in ids:
-                ids = list(map(get, words))
-            if None in ids:  # white space next to a space, or our mark in the text
+            at = 0
+            try:
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at)
+                    ids[at] = learned[words[at]]
+            except KeyError:  # white space next to a space, or our mark in the text
                 ids = (self._ids(w).tobytes() for w in _WORD_START.split(text))
             out.append(b"".join(ids))
-        self.known.new.clear()
         return out
 
 
