@@ -61,9 +61,10 @@ def quartiles(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def outlier_limits(q: DataFrame) -> DataFrame:
-    """irq and the rounded limits 1.5 of it outside the quartiles."""
+    """iqr and the limits 1.5 of it, rounded, outside the quartiles, cut to whole numbers."""
     iqr = F.col("q3") - F.col("q1")
-    return q.withColumns({"iqr": iqr, "low": F.round(F.col("q1") - 1.5 * iqr), "high": F.round(F.col("q3") + 1.5 * iqr)})
+    away = F.round(1.5 * iqr)
+    return q.withColumns({"iqr": iqr, "low": (F.col("q1") - away).cast("long"), "high": (F.col("q3") + away).cast("long")})
 
 
 def moments(counts: DataFrame, *by: str) -> DataFrame:

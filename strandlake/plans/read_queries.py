@@ -334,7 +334,7 @@ def agg_quartiles(reads):
     return stats.quartiles(stats.counter(reads, F.col("len"), "descr"), "descr")
 
 
-@query(_QUART + " SELECT *, q3 - q1 AS iqr, round(q1 - 1.5 * (q3 - q1)) AS low, round(q3 + 1.5 * (q3 - q1)) AS high FROM q")
+@query(_QUART + " SELECT *, q3 - q1 AS iqr, CAST(trunc(q1 - round(1.5 * (q3 - q1))) AS BIGINT) AS low, CAST(trunc(q3 + round(1.5 * (q3 - q1))) AS BIGINT) AS high FROM q")
 def agg_outlier_limits(reads):
     return stats.outlier_limits(stats.quartiles(stats.counter(reads, F.col("len"), "descr"), "descr"))
 

@@ -139,10 +139,10 @@ class FastxReader(DataSourceReader):
                     if line.startswith(mark):
                         held = window[-1:]
                         break
-                elif len(window) >= 3 and window[-1][1].startswith("+") and window[-3][1].startswith(mark) and (len(window) < 4 or not window[-4][1].startswith("+")):
+                elif len(window) >= 3 and window[-1][1].startswith("+") and window[-3][1].startswith(mark):
                     held = window[-3:]
                     break
-                window = window[-4:]
+                window = window[-3:]
             else:
                 return
         offsets = []
