@@ -37,7 +37,7 @@ def _splitters(keys: DataFrame, units: list[tuple], total: int, n_shards: int, t
         starts.append((cell, lo, hi, below, below + size, rows, rows + n))
         below, rows = below + size, rows + n
     at = 0
-    for j in range(1, n_shards):
+    for j in range(1, n_shards if units else 0):
         target = total * j / n_shards
         while at + 1 < len(starts) and starts[at][4] <= target:
             at += 1
