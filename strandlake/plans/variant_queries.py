@@ -34,7 +34,7 @@ def rounded(df, *columns):
 
 
 @query(
-    f"SELECT ord, count(*) AS samples, CAST(count_if(called) AS BIGINT) AS num_called, round(count_if(called) / CAST(count(*) AS DOUBLE), 6) AS call_rate, CASE WHEN count_if(called) >= {CALLS} THEN round(count_if(called AND a1 <> a2) / CAST(count_if(called) AS DOUBLE), 6) END AS obs_het FROM calls GROUP BY ord",
+    f"SELECT ord, count(*) AS samples, CAST(count_if(called) AS BIGINT) AS num_called, round(count_if(called) / CAST(count(*) AS DOUBLE), 6) AS call_rate, CASE WHEN count_if(called) >= {CALLS} THEN round(count_if(coalesce(called AND a1 <> a2, false)) / CAST(count_if(called) AS DOUBLE), 6) END AS obs_het FROM calls GROUP BY ord",
     "calls",
 )
 def vcf_call_stats(calls):
@@ -43,7 +43,7 @@ def vcf_call_stats(calls):
 
 _AL = "al AS (SELECT ord, a, count(*) AS n FROM (SELECT ord, a1 AS a FROM calls WHERE called UNION ALL SELECT ord, a2 FROM calls WHERE called) WHERE a IS NOT NULL GROUP BY ord, a), en AS (SELECT ord, count_if(called) >= 3 AS e FROM calls GROUP BY ord)"
 _ST = _AL + ", st AS (SELECT ord, CASE WHEN e THEN max(n) / CAST(sum(n) AS DOUBLE) END AS maf, CAST(sum(n) - max(n) AS BIGINT) AS mac, CASE WHEN e THEN 1 - sum(n * n) / CAST(sum(n) * sum(n) AS DOUBLE) END AS exp_het, count(*) AS n_alleles FROM al JOIN en USING (ord) GROUP BY ord, e)"
-_HET = ", ht AS (SELECT ord, CASE WHEN count_if(called) >= 3 THEN count_if(called AND a1 <> a2) / CAST(count_if(called) AS DOUBLE) END AS obs_het FROM calls GROUP BY ord)"
+_HET = ", ht AS (SELECT ord, CASE WHEN count_if(called) >= 3 THEN count_if(coalesce(called AND a1 <> a2, false)) / CAST(count_if(called) AS DOUBLE) END AS obs_het FROM calls GROUP BY ord)"
 
 
 @query(f"WITH {_ST} SELECT ord, round(maf, 6) AS maf, mac, round(exp_het, 6) AS exp_het, n_alleles FROM st", "calls")
@@ -222,7 +222,7 @@ def ann_is_variable_by_depth(sites, calls):
     return A.is_variable_by_depth(sites, calls, ["S1", "S3", "S5"], max_maf=0.8).select("ord", "variable")
 
 
-@query("SELECT s.ord, CAST(coalesce(p >= 40, false) AS INT) AS flagged FROM sites s LEFT JOIN (SELECT ord, floor(count_if(a1 <> a2) * 100.0 / count(*)) AS p FROM calls WHERE called GROUP BY ord) USING (ord)", "sites", "calls")
+@query("SELECT s.ord, CAST(coalesce(p >= 40, false) AS INT) AS flagged FROM sites s LEFT JOIN (SELECT ord, floor(count_if(coalesce(a1 <> a2, false)) * 100.0 / count(*)) AS p FROM calls WHERE called GROUP BY ord) USING (ord)", "sites", "calls")
 def ann_het_in_samples(sites, calls):
     return _annotated(A.het_in_samples(sites, calls, 40))
 
@@ -311,7 +311,7 @@ def vst_called(calls):
     return S.distribution(V.call_stats(calls, CALLS), F.col("num_called"))
 
 
-@query("SELECT sample, round(count_if(a1 <> a2) / CAST(nullif(count_if(called), 0) AS DOUBLE), 6) AS het FROM calls WHERE called GROUP BY sample", "calls")
+@query("SELECT sample, round(count_if(coalesce(a1 <> a2, false)) / CAST(nullif(count_if(called), 0) AS DOUBLE), 6) AS het FROM calls WHERE called GROUP BY sample", "calls")
 def vst_het_by_sample(calls):
     return calls.where("called").groupBy("sample").agg(F.round(F.count_if(F.coalesce(V.is_het(), F.lit(False))) / F.count("*"), 6).alias("het"))
 
