@@ -149,3 +149,17 @@ def classify_mates(df: DataFrame, outie_range: tuple[int, int] = (2000, 8000), m
     found = pairs.groupBy("qname").agg(F.bool_or(outie).alias("o"), F.bool_or(innie).alias("i"))
     found = found.select("qname", F.when(F.col("o"), "non_chimeric").when(F.col("i"), "chimera").otherwise("unknown").alias("kind"))
     return df.select("qname").distinct().join(found, "qname", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+
+
+def site_read_positions(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Each site with each read over it: ord (of the site), qname, rg, mapq, place in the read from its 5' end
+    and from its 3' end.  Blocks and sites meet by an equi-join on bins as wide as a read."""
+    width = 64
+    rows = df.where(mapped()).select("qname", "flag", "rg", "mapq", "ref", read_length(F.col("cigar")).alias("n"), F.explode(blocks(F.col("pos"), F.col("cigar"))).alias("b"))
+    rows = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("b.ref_start") / width), F.floor(F.col("b.ref_end") / width))))
+    at = sites.select("ord", F.col("chrom").alias("ref"), "pos", F.floor(F.col("pos") / width).alias("bin"))
+    both = rows.join(at, ["ref", "bin"]).where(F.col("pos").between(F.col("b.ref_start"), F.col("b.ref_end")))
+    place = F.col("b.read_start") + F.col("pos") - F.col("b.ref_start")
+    flipped = has_flag(F.col("flag"), "strand")
+    from5 = F.when(flipped, F.col("n") - 1 - place).otherwise(place)
+    return both.select("ord", "qname", "rg", "mapq", from5.alias("from5"), (F.col("n") - 1 - from5).alias("from3"))

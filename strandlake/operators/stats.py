@@ -152,3 +152,14 @@ def ascii_histogram(bins: list[tuple[int, int, int]], width: int = 100) -> str:
     digits = max((len(str(x)) for b in bins for x in b[:2]), default=1)
     rows = [f"[{low:>{digits}} , {high:>{digits}}) ({n}): {'*' * (n * width // most if most else 0)}" for low, high, n in bins]
     return "\n".join(rows)
+
+
+def report(df: DataFrame, offset: int = 33) -> DataFrame:
+    """(metric, value) over reads: number, bases, N50, N95, mean quality and the shares of Q20 and Q30."""
+    df = df.withColumn("__n", F.length("seq").cast("long")).persist()
+    lengths = counter(df, F.col("__n"))
+    basic = df.agg(F.count("*").cast("double").alias("reads"), F.sum("__n").cast("double").alias("bases"), F.avg("__n").alias("mean_length"))
+    q = df.select(F.explode(decode_quality(F.col("qual"), offset)).alias("q"))
+    quality = q.agg(F.avg("q").alias("mean_quality"), (F.count_if(F.col("q") >= 20) / F.count("*")).alias("q20"), (F.count_if(F.col("q") >= 30) / F.count("*")).alias("q30"))
+    one = basic.crossJoin(quality).crossJoin(nx(lengths, 50)).crossJoin(nx(lengths, 95))
+    return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in one.columns]), F.array(*[F.col(c).cast("double") for c in one.columns]))).alias("metric", "value"))

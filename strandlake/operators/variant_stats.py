@@ -84,3 +84,24 @@ def chromosome_density(sites: DataFrame, refs: DataFrame) -> DataFrame:
     """Sites per chromosome and per cent of its bases, two decimals."""
     counts = sites.groupBy(F.col("chrom").alias("ref")).agg(F.count("*").alias("n"))
     return refs.join(counts, "ref").select("ref", "length", "n", F.round(F.col("n") * 100 / F.col("length"), 2).alias("density"))
+
+
+def maf_by_depth(calls: DataFrame) -> DataFrame:
+    """(depth, maf, n): depths of sites and the rounded per cent of their deeper allele."""
+    from .variants import depth_stats
+
+    got = depth_stats(calls)
+    return got.groupBy(F.col("depth"), per_cent(F.col("maf_depth")).alias("maf")).agg(F.count("*").alias("n"))
+
+
+def sample_counters(calls: DataFrame, min_gq: int) -> DataFrame:
+    """(sample, kind, depth, n) of HOM and HET calls with at least the quality."""
+    kind = F.when(genotype_type() == 1, "HET").when(genotype_type().isNotNull(), "HOM")
+    return calls.where(F.col("gq") >= min_gq).withColumn("kind", kind).where("kind IS NOT NULL").groupBy("sample", "kind", F.col("dp").alias("depth")).agg(F.count("*").alias("n"))
+
+
+def quality_boxes(calls: DataFrame, max_depth: int = 100) -> DataFrame:
+    """Quartiles of genotype qualities by depth, of all called genotypes below the depth."""
+    from .stats import counter, quartiles
+
+    return quartiles(counter(calls.where(F.col("called") & (F.col("dp") < max_depth)), F.col("gq"), "dp"), "dp")

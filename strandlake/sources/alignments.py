@@ -10,11 +10,16 @@ TABULAR = ["query", "subject", "identity", "alignment_length", "mismatches", "ga
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """ord, qname, flag, ref, pos (0-based), mapq, cigar, seq, qual, rg."""
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    return parse_sam(lines).select("ord", "qname", "flag", "ref", "pos", "mapq", "cigar", "seq", "qual", "rg")
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """The columns of SAM lines (value), besides those that the lines have; header lines are left out."""
     f = F.split("value", "\t")
     star = lambda c: F.when(c != "*", c)
-    rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(~F.col("value").startswith("@"))
-    return rows.select(
-        "ord", f[0].alias("qname"), f[1].cast("int").alias("flag"), star(f[2]).alias("ref"), F.when(f[3] != "0", f[3].cast("long") - 1).alias("pos"),
+    return lines.where(~F.col("value").startswith("@")).select(
+        *[c for c in lines.columns if c != "value"], f[0].alias("qname"), f[1].cast("int").alias("flag"), star(f[2]).alias("ref"), F.when(f[3] != "0", f[3].cast("long") - 1).alias("pos"),
         f[4].cast("int").alias("mapq"), star(f[5]).alias("cigar"), f[9].alias("seq"), star(f[10]).alias("qual"),
         F.nullif(F.regexp_extract("value", r"\tRG:Z:([^\t]+)", 1), F.lit("")).alias("rg"),
     )
