@@ -202,3 +202,68 @@ def ld_flanked_alleles(sites, refs):
     short = sites.withColumn("pos", F.col("pos") % 3900)
     references = refs.select(F.col("ref").alias("chrom"), F.repeat(F.lit("ACGTTGCAAC"), 400).alias("seq"))
     return E.flanked_alleles(short, references, 60, 30)
+
+
+@query(
+    """WITH f AS (SELECT query AS name, count(*) AS n FROM hits WHERE identity >= 90 GROUP BY query)
+SELECT r.name, coalesce(n, 0) > 0 AS passed FROM (SELECT DISTINCT query AS name FROM hits) r LEFT JOIN f USING (name)""",
+    "hits",
+)
+def flt_features(hits):
+    """Reads with a feature of a type, the features being made from hits."""
+    found = T.hit_features(hits.where("identity >= 90"))
+    rows = hits.select(F.col("query").alias("name")).distinct().join(found, "name", "left")
+    return rows.select("name", F.coalesce(F.exists("features", lambda f: f["type"].isin("match_part")), F.lit(False)).alias("passed"))
+
+
+@query("SELECT r.name, row_number() OVER (ORDER BY a.ref NULLS LAST, a.pos NULLS FIRST, r.ord) AS n FROM reads r LEFT JOIN (SELECT 'read' || substr(qname, 2) AS name, min({'ref': ref, 'pos': pos}) AS p FROM alignments WHERE ref IS NOT NULL GROUP BY 1) b ON r.name = b.name LEFT JOIN LATERAL (SELECT b.p.ref AS ref, b.p.pos AS pos) a ON true", "reads", "alignments")
+def ord_sort_by_coordinate(reads, a):
+    from ..operators.pairs import index_rows
+
+    places = a.where(B.mapped()).withColumn("qname", F.concat(F.lit("read"), F.substring("qname", 2, 20)))
+    best = places.groupBy(F.col("qname").alias("name")).agg(F.min(F.struct("ref", "pos")).alias("p"))
+    rows = reads.join(best, "name", "left").select("name", F.struct(F.col("p.ref").isNull().alias("z"), "p.ref", "p.pos", "ord").alias("ord"))
+    return index_rows(rows).select("name", (F.col("n") + 1).alias("n"))
+
+
+@query("SELECT chrom, count(*) AS n, CAST(sum(mid) AS BIGINT) AS mids FROM (SELECT chrom, start + 10000 AS mid FROM (SELECT ref AS chrom, unnest(range(0, length - 20000 + 1, 5000)) AS start FROM refs) w WHERE (SELECT count(*) FROM sites s WHERE s.chrom = w.chrom AND s.pos >= start AND s.pos < start + 20000) >= 2) GROUP BY chrom", "sites", "refs")
+def win_by_chromosome(sites, refs):
+    from ..operators.windows import site_windows
+
+    rows = site_windows(sites, refs, 20000, 5000, min_sites=2)
+    return rows.groupBy("chrom").agg(F.count("*").alias("n"), F.sum(((F.col("start") + F.col("end")) / 2).cast("long")).alias("mids"))
+
+
+@query("SELECT qname, count(*) AS n FROM (SELECT f.qname FROM (SELECT qname, min(ord) AS o FROM alignments WHERE ref IS NOT NULL AND (flag & 64) > 0 GROUP BY qname) f JOIN alignments s ON f.qname = s.qname AND s.ref IS NOT NULL AND (s.flag & 128) > 0) GROUP BY qname", "alignments")
+def jon_mate_pairs(a):
+    return B.mate_pairs(a).groupBy("qname").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.ord, list_sort(list_concat(list_filter(a.alts, lambda x: NOT list_contains(b.alts, x)), list_filter(b.alts, lambda x: NOT list_contains(a.alts, x))))[1] AS one FROM sites a JOIN sites b ON b.ord = a.ord + 1", "sites")
+def ord_symmetric_difference(sites):
+    from ..operators.order import symmetric_difference
+
+    other = sites.select((F.col("ord") - 1).alias("ord"), F.col("alts").alias("b"))
+    return sites.join(other, "ord").select("ord", F.get(F.array_sort(symmetric_difference(F.col("alts"), F.col("b"))), 0).alias("one"))
+
+
+@query("SELECT ord, sample, abs(rd / CAST(nullif(dp, 0) AS DOUBLE) - 0.5) < 0.05 AS near FROM calls", "calls")
+def prj_approx_equal(calls):
+    return calls.select("ord", "sample", (F.abs(F.col("rd") / F.when(F.col("dp") != 0, F.col("dp")) - 0.5) < 0.05).alias("near"))
+
+
+@query("SELECT descr, len % 50 AS category, count(*) AS n, min(len) AS low, max(len) AS high FROM reads GROUP BY ALL", "reads")
+def agg_boxplot_counters(reads):
+    return reads.groupBy("descr", (F.col("len") % 50).alias("category")).agg(F.count("*").alias("n"), F.min("len").alias("low"), F.max("len").alias("high"))
+
+
+@query("SELECT count(*) AS n FROM reads", "reads")
+def ord_length(reads):
+    return reads.agg(F.count("*").alias("n"))
+
+
+@query("SELECT name, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 25.0) AS BIGINT) AS packet FROM reads", "reads")
+def ord_packets(reads):
+    from ..operators.pairs import index_rows
+
+    return index_rows(reads.select("name", "ord")).select("name", F.floor(F.col("n") / 25).alias("packet"))

@@ -147,6 +147,10 @@ QUERIES["flt_name_in_list"] = _named
 ORACLES["flt_name_in_list"] = with_views("SELECT name FROM reads WHERE ord IN (SELECT doc_id FROM labels WHERE quality = 1)", "reads")
 
 
+QUERIES["flt_dust"] = lambda spark, sf_dir: pairs.flag_reads(view(spark, sf_dir, "reads"), F.round(R.dust_score(F.col("seq")), 6) < 3).select("name", "passed")
+ORACLES["flt_dust"] = f"SELECT name, coalesce(dust < 3, false) AS passed FROM ({ORACLES['agg_dust']})"
+
+
 # Trimming and segments -----------------------------------------------------------------------------
 
 
