@@ -81,7 +81,7 @@ def _splitters(keys: DataFrame, units: list[tuple], total: int, n_shards: int, t
 def shard_documents(
     docs: DataFrame,
     n_shards: int = 24,
-    tolerance: float = 0.01,
+    tolerance: float = 0.002,
     probes: int = 64,
     cell_bytes: int = 4 << 20,
     hot_parts: int = 512,

@@ -167,20 +167,21 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 3, tile: int = 2048)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64 bits), component_id.
+    """One row per document: doc_id, h (hash of the text), fp (signed 64 bits), root (its component's
+    smallest fingerprint), component_id.
 
     A-Z become lower case; words end at space and 0x09-0x0D; a text of fewer words is one shingle; a
     text without words (or null) has fingerprint 0 and is linked like any other.  Equal fingerprints
     are collapsed before any comparison.  component_id is the smallest doc_id reachable over links of
     at most radius bits; null ids are passed over.  Other columns are not read.
     """
-    prints = materialise(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "simhash")
+    prints = materialise(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", F.xxhash64("text").alias("h"), "fp"), "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = connected_components(linked_fingerprints(nodes.select("fp"), radius)).withColumnRenamed("u", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def op6_simhash_tiles(spark, sf_dir: str) -> DataFrame:
