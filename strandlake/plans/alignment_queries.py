@@ -119,7 +119,7 @@ def bam_dense_mapq(a):
     return B.dense_counts(a.groupBy("mapq").agg(F.count("*").alias("n")), "mapq")
 
 
-@query("SELECT coalesce(rg, 'unknown') AS rg, CAST(count_if(ref IS NOT NULL) AS BIGINT) AS mapped, CAST(count_if(ref IS NULL) AS BIGINT) AS unmapped, CAST(count_if(mapq >= 30) AS BIGINT) AS over FROM alignments GROUP BY 1".replace("AS over", 'AS "over"'), "alignments")
+@query("SELECT coalesce(rg, 'unknown') AS rg, CAST(count_if(ref IS NOT NULL) AS BIGINT) AS mapped, CAST(count_if(ref IS NULL) AS BIGINT) AS unmapped, CAST(count_if(mapq >= 30) AS BIGINT) AS \"over\" FROM alignments GROUP BY 1", "alignments")
 def bam_by_read_group(a):
     return B.by_read_group(a, 30)
 

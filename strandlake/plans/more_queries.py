@@ -120,7 +120,7 @@ def vst_quality_boxes(calls):
 
 
 @query(
-    f"""WITH {_BL.replace('SELECT ord, ref, mapq, pos AS rs', 'SELECT ord, ref, mapq, pos AS rs')}
+    f"""WITH {_BL}
 SELECT s.ord, a.qname, CAST(CASE WHEN (a.flag & 16) > 0 THEN 49 - (qs + t - rs) ELSE qs + t - rs END AS BIGINT) AS from5, CAST(49 - CASE WHEN (a.flag & 16) > 0 THEN 49 - (qs + t - rs) ELSE qs + t - rs END AS BIGINT) AS from3
 FROM (SELECT ord, pos % 50000 AS t, 'ref' || CAST(ord % 5 AS VARCHAR) AS r FROM sites) s JOIN b ON b.ref = r AND t BETWEEN rs AND re JOIN alignments a ON a.ord = b.ord""",
     "alignments", "sites",

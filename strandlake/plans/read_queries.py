@@ -24,7 +24,6 @@ def query(sql: str | None = None, *views: str):
     return register
 
 
-CHARS = "list_filter(string_split(qual, ''), lambda c: c <> '')"
 Q = "list_transform(range(1, length(qual) + 1), lambda i: ascii(substr(qual, i, 1)) - 33)"
 MEANQ = f"list_sum({Q}) / CAST(len AS DOUBLE)"
 
@@ -235,7 +234,7 @@ def seg_covered_and_free(reads):
 # Pairs and order -----------------------------------------------------------------------------------
 
 
-@query("SELECT name, sum(n) OVER (PARTITION BY descr ORDER BY ord) AS group_no FROM (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY descr ORDER BY ord) THEN 0 ELSE 1 END AS n FROM (SELECT *, len % 3 AS k FROM reads))".replace("SELECT name, sum(n)", "SELECT name, CAST(sum(n)").replace("ORDER BY ord) AS group_no", "ORDER BY ord) AS BIGINT) AS group_no"))
+@query("SELECT name, CAST(sum(n) OVER (PARTITION BY descr ORDER BY ord) AS BIGINT) AS group_no FROM (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY descr ORDER BY ord) THEN 0 ELSE 1 END AS n FROM (SELECT *, len % 3 AS k FROM reads))")
 def jon_group_adjacent(reads):
     return pairs.group_adjacent(reads.withColumn("k", F.col("len") % 3), "k", ["descr"]).select("name", "group_no")
 
@@ -375,7 +374,7 @@ def agg_quality_by_position(reads):
     return stats.quality_by_position(reads)
 
 
-@query(f"SELECT count(*) AS bases, count_if(q >= 20) AS q20, count_if(q >= 30) AS q30, round(count_if(q >= 20) / CAST(count(*) AS DOUBLE), 6) AS share20, round(count_if(q >= 30) / CAST(count(*) AS DOUBLE), 6) AS share30 FROM ({_QS})".replace("count_if(q >= 20) AS", "CAST(count_if(q >= 20) AS BIGINT) AS").replace("count_if(q >= 30) AS", "CAST(count_if(q >= 30) AS BIGINT) AS"))
+@query(f"SELECT count(*) AS bases, CAST(count_if(q >= 20) AS BIGINT) AS q20, CAST(count_if(q >= 30) AS BIGINT) AS q30, round(count_if(q >= 20) / CAST(count(*) AS DOUBLE), 6) AS share20, round(count_if(q >= 30) / CAST(count(*) AS DOUBLE), 6) AS share30 FROM ({_QS})")
 def agg_quality_shares(reads):
     return stats.quality_shares(reads).withColumns({k: F.round(k, 6) for k in ("share20", "share30")})
 

@@ -306,7 +306,7 @@ def vst_allele_counts_2d(calls):
     return rounded(S.allele_counts_2d(calls), "mean_gq")
 
 
-@query("SELECT CAST(count_if(called) AS BIGINT) AS value FROM calls GROUP BY ord".join(["SELECT value, count(*) AS n FROM (", ") GROUP BY ALL"]), "calls")
+@query("SELECT value, count(*) AS n FROM (SELECT CAST(count_if(called) AS BIGINT) AS value FROM calls GROUP BY ord) GROUP BY ALL", "calls")
 def vst_called(calls):
     return S.distribution(V.call_stats(calls, CALLS), F.col("num_called"))
 
