@@ -21,12 +21,13 @@ def count_words(text: Column) -> Column:
 def surface_topic(text: Column, n_words: Column) -> Column:
     """A topic from the look of a text, for tables without one: empty, table, loud, numbers, short, prose."""
     length = F.length(text)
-    without = lambda marks: length - F.length(F.translate(text, marks, ""))
+    times = lambda mark: length - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    digits = length - F.length(F.translate(text, "0123456789", ""))
     return (
         F.when(n_words == 0, "empty")
-        .when(without("|") * 20 > n_words, "table")
-        .when(without("!") * 4 > n_words, "loud")
-        .when(without("0123456789") * 50 > length, "numbers")
+        .when(times("|") * 20 > n_words, "table")
+        .when(times("!") * 4 > n_words, "loud")
+        .when(digits * 50 > length, "numbers")
         .when(n_words < 120, "short")
         .otherwise("prose")
     )
@@ -105,6 +106,14 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def measure(docs: DataFrame) -> DataFrame:
+    """docs with n_tokens (words), and with a topic where there is none."""
+    docs = docs.withColumn("n_tokens", count_words(F.col("text")))
+    if "topic" in docs.columns:
+        return docs
+    return docs.withColumn("topic", surface_topic(F.coalesce("text", F.lit("")), F.col("n_tokens")))
+
+
 def mix(
     docs: DataFrame,
     budget: float = 0.5,
@@ -126,10 +135,12 @@ def mix(
     Null source, language or topic counts as an empty one.  Texts without words weigh nothing and have
     probability 1.  Rows of equal doc_id are sampled together.  An empty table gives an empty table.
     """
+    return mix_measured(measure(docs), budget, rounds, seed, temper, targets, most_cells)
+
+
+def mix_measured(docs: DataFrame, budget, rounds=12, seed=42, temper=TEMPER, targets=None, most_cells=100_000) -> DataFrame:
+    """mix() of documents that have n_tokens and topic; their text is not read."""
     key = [f"__{d}" for d in DIMENSIONS]
-    docs = docs.withColumn("n_tokens", count_words(F.col("text")))
-    if "topic" not in docs.columns:
-        docs = docs.withColumn("topic", surface_topic(F.coalesce("text", F.lit("")), F.col("n_tokens")))
     docs = docs.withColumns({k: F.coalesce(F.col(d).cast("string"), F.lit("")) for k, d in zip(key, DIMENSIONS)})
     cells = docs.groupBy(*[F.col(k).alias(d) for k, d in zip(key, DIMENSIONS)]).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialise(cells, "mix-cells")
@@ -154,4 +165,5 @@ def mix(
 def op3_rake_mixture(spark, sf_dir: str) -> DataFrame:
     """Per document its cell, tokens, calibrated probability and whether it is sampled."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 7).alias("probability"), "sampled")
+    narrow = materialise(measure(docs).select("doc_id", "source", "lang", "topic", "n_tokens"), "measured")
+    return mix_measured(narrow, 0.5).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 7).alias("probability"), "sampled")
