@@ -35,7 +35,7 @@ def bam_filter(a):
 def bam_sort(a):
     from pyspark.sql import Window
 
-    return a.where("ref IS NOT NULL").select("ord", F.row_number().over(Window.partitionBy("ref").orderBy("pos", "ord")).alias("n"))
+    return a.where("ref IS NOT NULL").select("ord", F.row_number().over(Window.partitionBy("ref").orderBy("pos", "ord")).cast("long").alias("n"))
 
 
 @query("SELECT count(*) AS n FROM alignments WHERE ref = 'ref2' AND pos BETWEEN 500 AND 39999", "alignments")
