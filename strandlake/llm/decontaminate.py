@@ -40,6 +40,7 @@ class Block:
             codes.setdefault(size, set()).update(self.codes(w, size).tolist())
         self.shingles = {size: np.array(sorted(c), np.int64) for size, c in codes.items()}
         self.prefix: dict[int, dict[int, list]] = {}
+        self.keys: dict[int, np.ndarray] = {}
 
     def number(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
@@ -59,15 +60,16 @@ class Block:
             size = min(SHINGLE, len(w))
             _, code, offset = min((counts.get((size, c), 0), c, k) for k, c in enumerate(self.codes(w, size).tolist()))
             self.prefix.setdefault(size, {}).setdefault(code, []).append((at, offset))
+        self.keys = {size: np.array(sorted(codes), np.int64) for size, codes in self.prefix.items()}
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Mask of the words inside any occurrence of a window, and the names of the items that occur."""
         ids, names = self.number(words), set()
         edges = np.zeros(len(ids) + 1, np.int32)
         for size, prefix in self.prefix.items():
-            codes = self.codes(ids, size)
+            codes, keys = self.codes(ids, size), self.keys[size]
             at = np.flatnonzero(codes >= 0)
-            at = at[np.isin(codes[at], self.keys(size))] if len(at) else at
+            at = at[keys[np.minimum(np.searchsorted(keys, codes[at]), len(keys) - 1)] == codes[at]]
             for code in np.unique(codes[at]).tolist():
                 places = at[codes[at] == code]
                 for number, offset in prefix[code]:
@@ -82,9 +84,6 @@ class Block:
                         np.add.at(edges, starts + len(window), -1)
         return np.cumsum(edges[:-1]) > 0, names
 
-    def keys(self, size: int) -> np.ndarray:
-        return np.fromiter(self.prefix[size], np.int64, len(self.prefix[size]))
-
 
 def _count_shingles(docs: DataFrame, block) -> dict[tuple[int, int], int]:
     """Occurrences of the block's shingles over all documents; as many counts as the block has shingles."""
