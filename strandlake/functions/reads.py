@@ -142,7 +142,7 @@ def _triplet_score(seq: Column) -> Column:
         return F.struct(t.alias("last"), run.alias("run"), (a["total"] + run).alias("total"))
 
     start = F.struct(F.lit("").alias("last"), zero.alias("run"), zero.alias("total"))
-    return F.aggregate(F.array_sort(kmers(F.upper(seq), 3)), start, step)["total"].cast("double")
+    return F.aggregate(F.sort_array(kmers(F.upper(seq), 3)), start, step)["total"].cast("double")
 
 
 def dust_score(seq: Column) -> Column:
@@ -153,14 +153,18 @@ def dust_score(seq: Column) -> Column:
     """
     n = F.length(seq)
     windows = F.when(n > DUST_WINDOW, F.floor((n - DUST_WINDOW) / DUST_STEP) + 1).otherwise(0).cast("int")
-    places = F.filter(F.sequence(F.lit(0), F.greatest(windows - 1, F.lit(0))), lambda i: i < windows)
-    full = F.transform(
-        F.transform(places, lambda i: F.substring(seq, i * DUST_STEP + 1, F.lit(DUST_WINDOW))),
-        lambda w: _triplet_score(w) / (DUST_WINDOW - 2),
-    )
-    rest = F.filter(F.array(F.substring(seq, windows * DUST_STEP + 1, n)), lambda r: F.length(r) > 5)
-    last = F.transform(rest, lambda r: _triplet_score(r) / (F.length(r) - 3) * (DUST_WINDOW - 2) / (F.length(r) - 2))
-    mean = let(F.concat(full, last), lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
+    # Cut once into steps: a substring would be looked for from the start of the text at each window.
+    steps = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{DUST_STEP}}}"), F.lit(0))
+
+    def scores(cut):
+        p, w = cut["p"], cut["w"]
+        places = F.filter(F.sequence(F.lit(0), F.greatest(w - 1, F.lit(0))), lambda i: i < w)
+        full = F.transform(places, lambda i: _triplet_score(F.concat(*[F.get(p, i + k) for k in range(DUST_WINDOW // DUST_STEP)])) / (DUST_WINDOW - 2))
+        rest = F.filter(F.array(F.array_join(F.slice(p, w + 1, F.greatest(F.size(p) - w, F.lit(0))), "")), lambda r: F.length(r) > 5)
+        return F.concat(full, F.transform(rest, lambda r: _triplet_score(r) / (F.length(r) - 3) * (DUST_WINDOW - 2) / (F.length(r) - 2)))
+
+    found = let(F.struct(steps.alias("p"), windows.alias("w")), scores)
+    mean = let(found, lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
     return F.when(n == 3, F.lit(0.0)).when(n > 5, mean * 100 / 31)
 
 
