@@ -46,13 +46,16 @@ class Block:
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def codes(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """A number for each shingle; -1 where it has a word that no item has."""
+        """A number for each shingle; -1 where it has a word that no item has.
+
+        Past 63 bits numbers wrap and may coincide, which costs a verification but loses nothing.
+        """
         n = max(0, len(ids) - size + 1)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(size):
             part = ids[k : k + n]
             code, known = code * self.base + part, known & (part >= 0)
-        return np.where(known, code, -1)
+        return np.where(known, code & np.iinfo(np.int64).max, -1)
 
     def choose(self, counts: dict[tuple[int, int], int]) -> None:
         """Prefix of each window: for containment of all its shingles the rarest one is enough."""
