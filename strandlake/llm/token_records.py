@@ -85,7 +85,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Finds added tokens, which are matched before any text is cut at words.
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)", re.IGNORECASE)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.dtype[-1])
         self.known = _Known(most)
@@ -144,12 +146,19 @@ class Encoder:
         return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian, as many bytes each as the vocabulary needs."""
-        cut = [(_FIRST + t).replace(_NEWLINE, " \n").split(" ") if _FIRST not in t else [""] for t in texts]
+        """Ids of each text, little-endian, as many bytes each as the vocabulary needs.
+
+        A text that may hold an added token is encoded whole.
+        """
+        whole = [bool(self.added.search(t)) for t in texts]
+        cut = [[] if all_ else (_FIRST + t).replace(_NEWLINE, " \n").split(" ") if _FIRST not in t else [""] for t, all_ in zip(texts, whole)]
         get, out = self.known.__getitem__, []
         parts = [list(map(get, words)) for words in cut]
         learned = self._learn(self.known.turn())
-        for text, words, ids in zip(texts, cut, parts):
+        for text, all_, words, ids in zip(texts, whole, cut, parts):
+            if all_:
+                out.append(self._ids(text).tobytes())
+                continue
             at = 0
             try:
                 for _ in range(ids.count(None)):
