@@ -50,14 +50,25 @@ def fingerprints(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFra
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and b of the pairs at most radius bits apart; matrices of bounded size."""
-    step, left, right = max(1, CELLS // max(1, len(b))), [], []
-    for k in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[k : k + step, None] ^ b[None, :]) <= radius)
-        left.append(i + k)
-        right.append(j)
-    return np.concatenate(left or [np.array([], int)]), np.concatenate(right or [np.array([], int)])
+def tile_pairs(unit: np.ndarray, side: np.ndarray):
+    """Places (i, j) of the pairs to compare within each unit (rows sorted by unit and side), in blocks of
+    about CELLS pairs: each pair of a unit of one side, or side 0 against side 1."""
+    cuts = np.flatnonzero(np.diff(unit)) + 1
+    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(unit)]))
+    small = ends - starts <= 32
+    size = np.repeat(np.where(small & (side[ends - 1] == 0), ends - starts, 0), ends - starts)
+    for k in range(1, int(size.max(initial=0))):
+        a = np.flatnonzero((unit[:-k] == unit[k:]) & (size[:-k] > k))
+        yield a, a + k
+    large = ~small | (side[ends - 1] == 1)
+    for s, e in zip(starts[large].tolist(), ends[large].tolist()):
+        middle = s + int(np.searchsorted(side[s:e], 1))
+        low, high = (s, e) if middle == e else (middle, e)
+        step = max(1, CELLS // max(1, high - low))
+        for k in range(s, middle, step):
+            i = np.repeat(np.arange(k, min(k + step, middle)), high - low)
+            j = np.tile(np.arange(low, high), min(k + step, middle) - k)
+            yield (i[i < j], j[i < j]) if middle == e else (i, j)
 
 
 def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -74,33 +85,23 @@ def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links_of(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each unit (rows sorted by unit and side), reduced to one link per linked fingerprint."""
-    cuts = np.flatnonzero(np.diff(unit)) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(unit)]))
-    i, j = [], []
-    small = ends - starts <= 32
-    size = np.repeat(np.where(small, ends - starts, 0), ends - starts)
-    for k in range(1, int(size.max(initial=0))):
-        a = np.flatnonzero((unit[:-k] == unit[k:]) & (size[:-k] > k))
-        a = a[np.bitwise_count(fp[a] ^ fp[a + k]) <= radius]
-        i.append(a)
-        j.append(a + k)
-    for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
-        middle = s + int(np.searchsorted(side[s:e], 1))
-        x, y = (s, s) if middle == e else (s, middle)
-        a, b = _near(fp[s:middle], fp[y:e], radius)
-        i.append(a + x)
-        j.append(b + y)
-    if not i:
-        return fp[:0], fp[:0]
-    label = _spanning(len(fp), np.concatenate(i), np.concatenate(j))
+def _links_of(rows: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each unit, reduced to one link per linked fingerprint."""
+    unit, side, fp = rows[0], rows[1], rows[2].view(np.uint64)
+    found = []
+    for i, j in tile_pairs(unit, side):
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        found.append((i[near], j[near]))
+    if not found:
+        return rows[2][:0], rows[2][:0]
+    label = _spanning(len(fp), *map(np.concatenate, zip(*found)))
     moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    return rows[2][moved], rows[2][label[moved]]
 
 
-def _compare(units: DataFrame, radius: int) -> DataFrame:
-    """Compare the fingerprints of each unit; a unit's rows are together and sorted in one partition."""
+def compare_units(units: DataFrame, links_of) -> DataFrame:
+    """Links (u, v) that links_of finds in the rows of whole units.  The first columns of units are unit
+    and side; a unit's rows are together and sorted in one partition, and only whole units are held."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -110,50 +111,36 @@ def _compare(units: DataFrame, radius: int) -> DataFrame:
             last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             held = [r[last:] for r in rows]
             if last:
-                u, v = _links_of(rows[0][:last], rows[1][:last], rows[2][:last].view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of([r[:last] for r in rows])], ["u", "v"])
         if held and len(held[0]):
-            u, v = _links_of(held[0], held[1], held[2].view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(held)], ["u", "v"])
 
-    dealt = units.select("unit", "side", "fp").repartition("unit").sortWithinPartitions("unit", "side")
-    return dealt.mapInArrow(run, "u long, v long")
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "u long, v long")
 
 
-def linked_fingerprints(distinct: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
-    """Links (u, v) that join all fingerprints at most radius bits apart; distinct has one row per fp.
+def tiled_units(entries: DataFrame, reach: int, tile: int) -> DataFrame:
+    """Rows (band, pop, ...) to rows (unit, side, ...) of the units in which a band's rows are compared.
 
-    Two such fingerprints agree on one of radius + 1 bit ranges at least, so only fingerprints equal on
-    a range are compared.  A range value with at most tile fingerprints is one tile; more are cut into
-    tiles by bit count (and hash), and tile pairs whose bit counts differ by more than radius are
-    skipped.  A comparison links each fingerprint to the smallest one that it reaches in its tiles, so
-    the rows made grow with the fingerprints and not with the pairs.
+    A band of at most tile rows is one unit; more are cut into tiles by pop (and the row's own column
+    fp), and tile pairs whose pops differ by more than reach are skipped.
     """
-    n_bands = radius + 1
-    edges = [round(64 * k / n_bands) for k in range(n_bands + 1)]
-    bands = F.array(
-        *[
-            F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)))
-            for k in range(n_bands)
-        ]
-    )
-    entries = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(bands).alias("band"))
+    rest = [c for c in entries.columns if c not in ("band", "pop")]
     sizes = entries.groupBy("band", "pop").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("band").agg(F.sum("n").alias("total"))
     small = entries.join(totals.where(F.col("total").between(2, tile)), "band")
-    small = small.select(F.col("band").alias("unit"), F.lit(0).alias("side"), "fp")
+    small = small.select(F.col("band").alias("unit"), F.lit(0).alias("side"), *rest)
 
     large = totals.where(F.col("total") > tile).select("band")
     parts = materialise(
         sizes.join(large, "band").select("band", "pop", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "simhash-tiles"
     )
     if parts.isEmpty():
-        return _compare(small, radius)
+        return small
     tiles = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     one, two = (tiles.select("band", F.col("pop").alias(f"pop{k}"), F.col("part").alias(f"part{k}")) for k in (1, 2))
     pairs = (
         one.join(two, "band")
-        .where(F.col("pop2").between(F.col("pop1"), F.col("pop1") + radius))
+        .where(F.col("pop2").between(F.col("pop1"), F.col("pop1") + reach))
         .where("pop2 > pop1 OR part2 >= part1")
         .withColumn("unit", F.xxhash64("band", "pop1", "part1", "pop2", "part2"))
     )
@@ -162,8 +149,29 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 3, tile: int = 2048)
     second = pairs.where("pop1 <> pop2 OR part1 <> part2").select(
         "band", F.col("pop2").alias("pop"), F.col("part2").alias("part"), "unit", F.lit(1).alias("side")
     )
-    tiled = dealt.join(first.unionByName(second), ["band", "pop", "part"]).select("unit", "side", "fp")
-    return _compare(small.unionByName(tiled), radius)
+    tiled = dealt.join(first.unionByName(second), ["band", "pop", "part"]).select("unit", "side", *rest)
+    return small.unionByName(tiled)
+
+
+def linked_fingerprints(distinct: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
+    """Links (u, v) that join all fingerprints at most radius bits apart; distinct has one row per fp.
+
+    Two such fingerprints agree on one of radius + 1 bit ranges at least, so only fingerprints equal on
+    a range are compared.  A range value with at most tile fingerprints is one tile; more are cut into
+    tiles by bit count (and hash), and tile pairs whose bit counts differ by more than radius are
+    skipped.  A comparison links each fingerprint to the smallest one that it reaches in its tiles, so
+    the rows made grow with the fingerprints and not with the pairs.
+    """
+    n_bands = radius + 1
+    edges = [round(64 * k / n_bands) for k in range(n_bands + 1)]
+    bands = F.array(
+        *[
+            F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)))
+            for k in range(n_bands)
+        ]
+    )
+    entries = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(bands).alias("band"))
+    return compare_units(tiled_units(entries, radius, tile), lambda rows: _links_of(rows, radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
