@@ -2,48 +2,74 @@
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import materialise
+from .substring_dedup import chunks, word_hashes
+
 #: Words of a window, and of the shingles that are ordered by rarity.
 WINDOW, SHINGLE = 10, 3
+#: Candidates that are verified at a time.
+CELLS = 1 << 20
 #: Bytes that end a word: 0x00-0x2F, 0x3A-0x60 but the letters, 0x7B-0x7F; A-Z become a-z.
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_TABLE).split()
+def hashed_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and where each text begins (and the end)."""
+    starts, words = word_hashes(b"\n".join(raws).translate(_TABLE))
+    return words, np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
+
+
+def _lookup(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted array known, -1 where it isn't there."""
+    if not len(known):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
 
 
 class Block:
-    """Windows of a block of items, their words numbered, with the shingles of each window size."""
+    """Windows of a block of items in flat arrays: about 45 bytes for each word of the items.
+
+    Words are numbered over the block; ids has those of all items, one after the other; window w is
+    ids[at[w] : at[w] + size[w]] and occurs in the items owner[owners[w] : owners[w + 1]].
+    """
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple, set] = {}
-        for name, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text))
-            for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                windows.setdefault(ids[i : i + WINDOW], set()).add(name)
-        self.windows = [(np.array(w, np.int64), tuple(sorted(names))) for w, names in windows.items()]
-        self.base = len(self.vocabulary) + 1
-        codes: dict[int, set] = {}
-        for w, _ in self.windows:
-            size = min(SHINGLE, len(w))
-            codes.setdefault(size, set()).update(self.codes(w, size).tolist())
-        self.shingles = {size: np.array(sorted(c), np.int64) for size, c in codes.items()}
-        self.prefix: dict[int, dict[int, list]] = {}
-        self.keys: dict[int, np.ndarray] = {}
-
-    def number(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        words, bounds = hashed_words([text.encode("utf-8", "replace") for _, text in items])
+        self.vocabulary, ids = np.unique(words, return_inverse=True)
+        self.ids, self.base = ids.astype(np.int32), len(self.vocabulary) + 1
+        n = np.diff(bounds)
+        each = np.where(n > 0, np.maximum(1, n - WINDOW + 1), 0)
+        item = np.repeat(np.arange(len(items)), each)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(each) - each, each) + bounds[:-1][item]
+        size = np.minimum(n[item], WINDOW)
+        padded = np.concatenate((self.ids, np.full(WINDOW, -1, np.int32)))
+        whole = np.stack([np.where(k < size, padded[at + k], -1) for k in range(WINDOW)], axis=1).astype(np.int32)
+        _, first, same = np.unique(whole.view([("", np.int32)] * WINDOW).ravel(), return_index=True, return_inverse=True)
+        self.at, self.size = at[first].astype(np.int32), size[first].astype(np.int8)
+        owner = np.unique(same.astype(np.int64) << 32 | np.array([number[name] for name, _ in items], np.int64)[item])
+        self.owner, self.owners = (owner & 0xFFFFFFFF).astype(np.int32), np.searchsorted(owner >> 32, np.arange(len(first) + 1))
+        self.shingles = {}
+        for k in np.unique(np.minimum(self.size, SHINGLE)).tolist():
+            mine = self.at[np.minimum(self.size, SHINGLE) == k]
+            reach = (WINDOW if k == SHINGLE else k) - k + 1
+            codes = self.codes(np.concatenate((self.ids, np.full(WINDOW, -1, np.int32))), k)
+            self.shingles[k] = np.unique(np.concatenate([codes[mine + j] for j in range(reach)]))
+            self.shingles[k] = self.shingles[k][self.shingles[k] >= 0]
+        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        return _lookup(self.vocabulary, words)
 
     def codes(self, ids: np.ndarray, size: int) -> np.ndarray:
         """A number for each shingle; -1 where it has a word that no item has.
@@ -53,84 +79,108 @@ class Block:
         n = max(0, len(ids) - size + 1)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(size):
-            part = ids[k : k + n]
+            part = ids[k : k + n].astype(np.int64)
             code, known = code * self.base + part, known & (part >= 0)
         return np.where(known, code & np.iinfo(np.int64).max, -1)
 
-    def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """Prefix of each window: for containment of all its shingles the rarest one is enough."""
-        for at, (w, _) in enumerate(self.windows):
-            size = min(SHINGLE, len(w))
-            _, code, offset = min((counts.get((size, c), 0), c, k) for k, c in enumerate(self.codes(w, size).tolist()))
-            self.prefix.setdefault(size, {}).setdefault(code, []).append((at, offset))
-        self.keys = {size: np.array(sorted(codes), np.int64) for size, codes in self.prefix.items()}
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Mask of the words inside any occurrence of a window, and the names of the items that occur."""
-        ids, names = self.number(words), set()
-        edges = np.zeros(len(ids) + 1, np.int32)
-        for size, prefix in self.prefix.items():
-            codes, keys = self.codes(ids, size), self.keys[size]
-            at = np.flatnonzero(codes >= 0)
-            at = at[keys[np.minimum(np.searchsorted(keys, codes[at]), len(keys) - 1)] == codes[at]]
-            for code in np.unique(codes[at]).tolist():
-                places = at[codes[at] == code]
-                for number, offset in prefix[code]:
-                    window, owners = self.windows[number]
-                    starts = places - offset
-                    starts = starts[(starts >= 0) & (starts + len(window) <= len(ids))]
-                    for k in range(len(window)):
-                        starts = starts[ids[starts + k] == window[k]]
-                    if len(starts):
-                        names.update(owners)
-                        np.add.at(edges, starts, 1)
-                        np.add.at(edges, starts + len(window), -1)
-        return np.cumsum(edges[:-1]) > 0, names
-
-
-def _count_shingles(docs: DataFrame, block) -> dict[tuple[int, int], int]:
+    def choose(self, counts: dict[int, np.ndarray]) -> None:
+        """Prefix of each window: for containment of all its shingles the rarest one is enough.
+
+        counts: for each shingle size, how often each of shingles occurs in all documents."""
+        padded = np.concatenate((self.ids, np.full(WINDOW, -1, np.int32)))
+        for size, known in self.shingles.items():
+            mine = np.flatnonzero(np.minimum(self.size, SHINGLE) == size)
+            codes = self.codes(padded, size)
+            best, code, offset = np.full(len(mine), np.iinfo(np.int64).max), np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int8)
+            for k in range(WINDOW - size + 1):
+                inside = k + size <= self.size[mine]
+                c = np.where(inside, codes[np.minimum(self.at[mine] + k, len(codes) - 1)], 0)
+                n = np.where(inside, counts[size][np.maximum(_lookup(known, c), 0)], np.iinfo(np.int64).max)
+                less = inside & ((n < best) | ((n == best) & (c < code)))
+                best, code, offset = np.where(less, n, best), np.where(less, c, code), np.where(less, np.int8(k), offset)
+            order = np.argsort(code, kind="stable")
+            self.prefix[size] = (code[order], mine[order].astype(np.int32), offset[order])
+        self.shingles = dict.fromkeys(self.shingles)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where windows occur in a sequence of numbered words (-1: no item's word): starts, ends, windows."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        for size, (keys, window, offset) in self.prefix.items():
+            codes = self.codes(ids, size)
+            place = np.flatnonzero(codes >= 0)
+            low, high = np.searchsorted(keys, codes[place]), np.searchsorted(keys, codes[place], side="right")
+            place, low, n = place[high > low], low[high > low], (high - low)[high > low]
+            begin = 0
+            while begin < len(place):
+                end = max(begin + 1, begin + int(np.searchsorted(np.cumsum(n[begin:]), CELLS)))
+                some = n[begin:end]
+                at = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(low[begin:end], some)
+                w, start = window[at], np.repeat(place[begin:end], some) - offset[at]
+                use = (start >= 0) & (start + self.size[w] <= len(ids))
+                w, start = w[use], start[use]
+                for k in range(WINDOW):
+                    use = (k >= self.size[w]) | (ids[np.minimum(start + k, len(ids) - 1)] == self.ids[np.minimum(self.at[w] + k, len(self.ids) - 1)])
+                    w, start = w[use], start[use]
+                out.append((start, start + self.size[w], w.astype(np.int64)))
+                begin = end
+        return tuple(map(np.concatenate, zip(*out)))
+
+
+def _numbered(block: Block, texts: list):
+    """Of neighbouring texts at a time: number of the first, words of each, and their numbered words with
+    a -1 after each text."""
+    for at, raws in chunks(texts):
+        words, bounds = hashed_words(raws)
+        ids = np.insert(block.number(words), bounds[1:], -1)
+        yield at, np.diff(bounds), ids
+
+
+def _count_shingles(docs: DataFrame, block, shingles: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Occurrences of the block's shingles over all documents; as many counts as the block has shingles."""
 
     def count(batches):
         b = block.value
         totals = {size: np.zeros(len(c), np.int64) for size, c in b.shingles.items()}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = b.number(words_of(text))
+            for _, _, ids in _numbered(b, batch.column(0).to_pylist()):
                 for size, known in b.shingles.items():
-                    codes = b.codes(ids, size)
-                    codes = codes[codes >= 0]
-                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                    np.add.at(totals[size], at[known[at] == codes], 1)
+                    found = _lookup(known, b.codes(ids, size))
+                    totals[size] += np.bincount(found[found >= 0], minlength=len(known))
         for size, n in totals.items():
             seen = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen), size, np.int32)), pa.array(b.shingles[size][seen]), pa.array(n[seen])],
-                ["size", "code", "n"],
+                [pa.array(np.full(len(seen), size, np.int32)), pa.array(seen), pa.array(n[seen])], ["size", "at", "n"]
             )
 
-    found = docs.select("text").mapInArrow(count, "size int, code long, n long")
-    return {(s, c): n for s, c, n in found.groupBy("size", "code").agg(F.sum("n")).collect()}
+    found = docs.select("text").mapInArrow(count, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
+    totals = {size: np.zeros(len(c), np.int64) for size, c in shingles.items()}
+    table = found.toArrow()
+    size, at, n = (table.column(k).to_numpy() for k in range(3))
+    for s, total in totals.items():
+        total[at[size == s]] = n[size == s]
+    return totals
 
 
-def mark_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """Find benchmark items in whole documents: adds n_words, spans and items (columns of these names are replaced).
 
     A window is ten consecutive words of an item, or all of a shorter item.  Its three-word shingles
     are ordered by how often they occur in all documents; the rarest joins with the documents' own
     shingles, its place bounds where the window can start and end, and the window is then verified
-    word for word.  spans are the merged ranges [start, end) of words inside any occurrence; items the
-    sorted names of the items that occur.
-
-    Items are collected in blocks of about block_bytes (as many blocks as the benchmark needs), so what
-    is broadcast has that bound; documents are neither shuffled nor collected.  Null texts have no
-    words; items without words have no windows; a null item_id counts as an empty name, items of equal
-    names as one; an empty benchmark marks nothing.
+    word for word (words are told apart by 64 bits).  spans are the merged ranges [start, end) of words
+    inside any occurrence; items the sorted names of the items that occur.
+
+    Distinct items are collected in blocks of about block_bytes of text, or one longer item: as many
+    blocks as the benchmark needs.  What is broadcast is about 45 bytes for each word of a block, 36 MB
+    at the default.  One block is at work at a time; with several, the documents are written after
+    each.  Documents are neither shuffled nor collected.  Null texts have no words; items without words
+    have no windows; a null item_id counts as an empty name, items of equal names as one; an empty
+    benchmark marks nothing.
     """
     spark = docs.sparkSession
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    ).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -143,8 +193,12 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
 
     for k in range(n_blocks):
         block = Block([tuple(r) for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k).collect()])
-        block.choose(_count_shingles(docs, spark.sparkContext.broadcast(block)))
+        shared = spark.sparkContext.broadcast(block)
+        block.choose(_count_shingles(docs, shared, block.shingles))
         out = out.mapInArrow(_marker(spark.sparkContext.broadcast(block), text_at, len(kept), arrow), schema)
+        shared.unpersist()
+        if n_blocks > 1:
+            out = materialise(out, "marked")
     return out
 
 
@@ -153,17 +207,26 @@ def _marker(block, text_at: int, n_kept: int, arrow: list):
         b = block.value
         for batch in batches:
             columns = batch.columns[:n_kept]
-            counts, spans, names = [], [], []
-            before = zip(batch.column(n_kept + 1).to_pylist(), batch.column(n_kept + 2).to_pylist())
-            for text, (old, had) in zip(columns[text_at].to_pylist(), before):
-                words = words_of(text)
-                mask, found = b.find(words)
-                for s in old:
-                    mask[s["start"] : s["end"]] = True
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
-                counts.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2])])
-                names.append(sorted(found | set(had)))
+            before = list(zip(batch.column(n_kept + 1).to_pylist(), batch.column(n_kept + 2).to_pylist()))
+            counts, spans, names = [], [list(old) for old, _ in before], [list(had) for _, had in before]
+            for first, n, ids in _numbered(b, columns[text_at].to_pylist()):
+                counts += n.tolist()
+                begin = np.cumsum(n + 1) - n - 1
+                start, end, window = b.find(ids)
+                row = np.searchsorted(begin, start, side="right") - 1
+                for r in np.unique(row).tolist():
+                    mine = row == r
+                    edges = np.zeros(n[r] + 2, np.int64)
+                    np.add.at(edges, start[mine] - begin[r] + 1, 1)
+                    np.add.at(edges, end[mine] - begin[r] + 1, -1)
+                    hit = np.cumsum(edges) > 0
+                    for s in spans[first + r]:
+                        hit[s["start"] + 1 : s["end"] + 1] = True
+                    cuts = np.flatnonzero(np.diff(hit.view(np.int8))).tolist()
+                    spans[first + r] = [{"start": s, "end": e} for s, e in zip(cuts[::2], cuts[1::2])]
+                    w = np.unique(window[mine])
+                    own = {b.names[o] for x in w.tolist() for o in b.owner[b.owners[x] : b.owners[x + 1]].tolist()}
+                    names[first + r] = sorted(own.union(names[first + r]))
             fresh = [pa.array(x, t) for x, t in zip((counts, spans, names), arrow)]
             yield pa.RecordBatch.from_arrays([*columns, *fresh], batch.schema.names)
 
