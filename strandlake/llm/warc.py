@@ -122,14 +122,18 @@ def write_archives(planned: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
 
 def read_archives(selected: DataFrame, request_bytes: int = 8 << 20, gap: int = 64 << 10, payloads: bool = True) -> DataFrame:
     """Read the records that index rows select.  Ranges of a file are sorted; those at most gap bytes
-    apart are read with one request of about request_bytes.  A revisit has no payload of its own."""
+    apart are read with one request of about request_bytes, and records are handed on in batches of about
+    as many bytes.  The bytes of the selected records decide the number of tasks.  A revisit has no
+    payload of its own."""
     base = scratch_dir(selected.sparkSession, "")
+    types = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.binary()]
+    names = ["record", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
 
     def read(batches):
         store, _ = fs.FileSystem.from_uri(base)
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            at, out = 0, []
+            at = 0
             while at < len(rows):
                 file, start, length = rows[at]
                 last, stop = at + 1, start + length
@@ -143,6 +147,7 @@ def read_archives(selected: DataFrame, request_bytes: int = 8 << 20, gap: int =
                 with store.open_input_file(file) as source:
                     source.seek(start)
                     data = source.read(stop - start)
+                out, held = [], 0
                 for _, offset, size in rows[at:last]:
                     fields, payload = parse_record(zlib.decompress(data[offset - start : offset - start + size], 31))
                     digest = base64.b32decode(fields["warc-payload-digest"].split(":")[1]).hex()
@@ -151,14 +156,18 @@ def read_archives(selected: DataFrame, request_bytes: int = 8 << 20, gap: int =
                         raise ValueError(f"payload digest differs at {offset} in {file}")
                     whole = kind == "response"
                     out.append((fields["warc-record-id"][1:-1], kind, refers, len(payload) if whole else None, digest, payload if whole and payloads else None))
+                    held += len(payload) if payloads else 0
+                    if held >= request_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                 at = last
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, [pa.string()] * 3 + [pa.int64(), pa.string(), pa.binary()])],
-                ["record", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"],
-            )
 
     stripe = F.floor(F.col("offset") / request_bytes)
-    places = selected.repartition("file", stripe).sortWithinPartitions("file", "offset")
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n_tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-size // request_bytes))
+    places = selected.repartition(n_tasks, "file", stripe).sortWithinPartitions("file", "offset")
     return places.select("file", "offset", "length").mapInArrow(read, READ)
 
 
@@ -167,9 +176,10 @@ def archived_pages(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload.  Pages that repeat the response's page_id and payload are responses
     too; a null page_id revisits the largest one of its group.  Other columns are not read; an empty
-    table writes no archive.
+    table writes no archive.  The archives are read once: what the records say is written down.
     """
     back = read_archives(write_archives(plan_records(pages)), payloads=False).drop("payload")
+    back = materialise(back, "warc-records")
     page = F.element_at(F.split("record", ":"), 3)
     whole = back.where("record_type = 'response'").groupBy("record").agg(F.max("payload_bytes").alias("bytes"))
     whole = whole.withColumnRenamed("record", "refers_to")
