@@ -20,6 +20,8 @@ from .shared import materialise, scratch_dir
 #: Fixed values of the record format: 8 bytes length, 4 bytes its masked checksum, data, 4 bytes checksum.
 MASK_DELTA = 0xA282EAD8
 HEADER, FOOTER = 12, 4
+#: Bytes of records that are read and handed on at a time.
+REQUEST = 8 << 20
 INDEX_SCHEMA = "part int, file string, doc_id long, offset long, length long, n_tokens long, first long"
 
 #: A space between two characters that are not white space starts a word, whatever surrounds it.
@@ -215,7 +217,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", "h")
         .sortWithinPartitions("doc_id", "h")
         .select("doc_id", "text")
     )
@@ -226,21 +228,22 @@ def read_records(index: DataFrame, tokenizer: str) -> DataFrame:
     """Read the records that the index rows name, in any order, and check lengths and checksums.
 
     Returns doc_id, part, first (ids before it in its file), n_tokens and ids (unsigned 32-bit
-    little-endian).  Neighbouring records are read with one request.
+    little-endian).  Neighbouring records are read with one request of about REQUEST bytes and handed on
+    as one batch; the bytes of the records decide the number of tasks.
     """
     base = scratch_dir(index.sparkSession, "")
+    names = ["doc_id", "part", "first", "n_tokens", "ids"]
 
     def read(batches):
         store, _ = fs.FileSystem.from_uri(base)
         coder = encoder(tokenizer)
         for batch in batches:
             rows = batch.to_pydict()
-            out = []
             at = 0
             while at < batch.num_rows:
                 file, start = rows["file"][at], rows["offset"][at]
-                stop, last = start, at
-                while last < batch.num_rows and rows["file"][last] == file and rows["offset"][last] == stop and stop - start < 8 << 20:
+                stop, last, out = start, at, []
+                while last < batch.num_rows and rows["file"][last] == file and rows["offset"][last] == stop and stop - start < REQUEST:
                     stop += rows["length"][last]
                     last += 1
                 with store.open_input_file(file) as source:
@@ -249,14 +252,17 @@ def read_records(index: DataFrame, tokenizer: str) -> DataFrame:
                 for k in range(at, last):
                     data, _ = unframe(buffer, rows["offset"][k] - start)
                     out.append(np.frombuffer(data, coder.dtype).astype("<u4").tobytes())
+                some = batch.slice(at, last - at)
+                counts = pa.array([len(x) // 4 for x in out], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("part"), some.column("first"), counts, pa.array(out, pa.binary())], names
+                )
                 at = last
-            counts = [len(x) // 4 for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), batch.column("first"), pa.array(counts, pa.int64()), pa.array(out, pa.binary())],
-                ["doc_id", "part", "first", "n_tokens", "ids"],
-            )
 
-    return index.mapInArrow(read, "doc_id long, part int, first long, n_tokens long, ids binary")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n_tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // (2 * REQUEST)))
+    places = index.repartition(n_tasks, "file", F.floor(F.col("offset") / (2 * REQUEST))).sortWithinPartitions("file", "offset")
+    return places.mapInArrow(read, "doc_id long, part int, first long, n_tokens long, ids binary")
 
 
 def token_starts(index: DataFrame) -> DataFrame:
