@@ -154,7 +154,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) ->
     """Fit on at most train_rows labelled documents, a documented bound, picked by a hash of the id.
 
     Held-out ids and ids whose labels contradict each other are left out.  The picked ids (at most
-    train_rows numbers) are broadcast; only the picked documents' features reach the driver.
+    train_rows numbers) are broadcast; only the picked documents' features reach the driver, and of
+    rows that repeat an id only the least text.  Of a table's metadata only the length of the text may
+    enter a score, and the statistics have it.
     """
     picked = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -165,7 +167,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) ->
         .limit(train_rows)
         .select("__id", "__label")
     )
-    texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "__label", "text")
+    texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
 
     def extract(batches):
         slots = _Slots()
