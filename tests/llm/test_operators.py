@@ -22,7 +22,8 @@ def first(x):
 
 def test_sharding(docs, empty):
     got = sharding.shard_documents(docs, n_shards=7).collect()
-    assert len(got) == docs.count() and got[0].score is not None or True
+    assert len(got) == docs.count() and Counter(r.score for r in got) == Counter(r.score for r in docs.collect())
+    assert set(got[0].asDict()) == {*docs.columns, "shard", "slot"}
     sizes, slots = Counter(), defaultdict(list)
     for r in got:
         sizes[r.shard] += len((r.text or "").encode()) + 8
@@ -237,6 +238,9 @@ def test_archives(spark):
         want[(k, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if other else "response", keep if other else None)] += 1
     assert got == want
     assert warc.archived_pages(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(k, "u", chr(97 + k) * 3_000_000) for k in range(4)], "page_id long, url string, html string")
+    back = warc.read_archives(warc.write_archives(warc.plan_records(long)), request_bytes=4_000_000).collect()
+    assert sorted(bytes(r.payload).decode() for r in back) == sorted(r.html for r in long.collect())
     index = warc.write_archives(warc.plan_records(pages))
     some = warc.read_archives(index.where("url = 'http://again'")).collect()
     assert [bytes(r.payload) for r in some if r.payload is not None] == [b"y" * 1000]
@@ -256,10 +260,22 @@ def test_raking_meets_marginals(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_raking_on_tables_is_the_same(docs):
-    one = {(r.doc_id, r.text): r.probability for r in mixing.mix(docs, rounds=3).collect()}
-    two = {(r.doc_id, r.text): r.probability for r in mixing.mix(docs, rounds=3, most_cells=0).collect()}
-    assert all(abs(one[k] - two[k]) < 1e-6 for k in one)
+@pytest.mark.parametrize("given", ["tempered", "dict", "table"])
+def test_raking_on_tables_is_the_same(spark, docs, given):
+    """Whatever form the cells take; some cells are sampled whole."""
+    targets = {"source": {"s0": 0.3, "s1": 0.5, "": 0.2}, "lang": {"en": 0.6, "de": 0.3, "": 0.1}, "topic": {t: 1 / 6 for t in ("empty", "table", "loud", "numbers", "short", "prose")}}
+    targets = {"tempered": None, "dict": targets, "table": mixing._targets_table(spark, targets)}[given]
+    one = {(r.doc_id, r.text): r.probability for r in mixing.mix(docs, 0.7, 3, targets=targets).collect()}
+    two = {(r.doc_id, r.text): r.probability for r in mixing.mix(docs, 0.7, 3, targets=targets, most_cells=0).collect()}
+    assert all(abs(one[k] - two[k]) < 1e-8 for k in one) and len({round(p, 6) for p in one.values()}) > 3
+
+
+def test_mixture_reaches_its_targets(spark):
+    rows = [(k, "w " * (1 + k % 9), "ab"[k % 2], "xy"[k % 3 == 0], "pq"[k % 5 == 0]) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.7, "y": 0.3}, "topic": {"p": 0.75, "q": 0.25}}
+    got = {(r.dimension, r.value): r.share for r in mixing.reached_shares(mixing.mix(table, 0.1, targets=targets)).collect()}
+    assert all(abs(got[d, v] - s) < 1e-5 for d, shares in targets.items() for v, s in shares.items())
 
 
 def test_quality_learns_and_keeps_its_hands_off(spark, docs, empty):
@@ -274,6 +290,8 @@ def test_quality_learns_and_keeps_its_hands_off(spark, docs, empty):
     got = quality.score_quality(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert quality.score_quality(empty, model).count() == 0
+    again = d.unionByName(d.where("doc_id = 4").crossJoin(spark.range(300)).select("doc_id", F.lit("zz | !!").alias("text")))
+    assert np.allclose(quality.train_quality(again, labels).linear, model.linear)
     prior = quality.train_quality(d, labels.limit(0))
     assert {r.score for r in quality.score_quality(docs, prior).collect()} == {0.5}
     part = quality.features("a b a", quality._Slots())
