@@ -18,12 +18,21 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="strandlake-")
 
 
+def _own_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a folder of this machine is used.
+    Only where the session names none and driver and executors are one process, as in tests, a folder
+    of this machine is used; on a cluster that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not _own_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or _own_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +47,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, most: int = 4096) -> DataFrame:
+    """Inner join of rows with groups (one row a key, n of the rows have it), with no key in one task.
+
+    Groups of more than 1 / most of all rows are fewer than most, so they are broadcast, and their rows
+    stay where they are; the others are joined by key.
+    """
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.broadcast(groups.where(F.col(n) * most > total))
+    known = rows.join(hot, keys)
+    return known.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(n) * most <= total), keys))
+
+
 def utf8_bytes(text: Column) -> Column:
     """Bytes of the text in UTF-8; a null text has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

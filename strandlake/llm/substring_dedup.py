@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact_dedup import BITMAP
-from .shared import materialise
+from .shared import join_hot, materialise
 
 #: Words of a window; words of the phrases of which each window picks one.
 SPAN, PHRASE = 20, 8
@@ -230,9 +230,9 @@ def _passages(docs: DataFrame, known: Filter, single: bool) -> DataFrame:
 def _later(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows with occurrences of a sequence besides the first (smallest doc_id, then position), whose
     place is told."""
-    again = classes.where("n > 1").select("c1", "c2", "first")
+    again = classes.where("n > 1").select("c1", "c2", "first", "n")
     return (
-        rows.join(again, ["c1", "c2"])
+        join_hot(rows, again, ["c1", "c2"], "n")
         .where((F.col("times") > 1) | ~_place().eqNullSafe(F.col("first")))
         .select(
             "doc_id", "h", "pos", "len", F.when(F.col("times") > 1, F.col("pos")).alias("alone"),
@@ -364,7 +364,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed = classes.join(several, "key").select("c1", "first.*").select(F.expr(ROW_KEY).alias("key"))
     mixed = materialise(mixed, "mixed-sequences")
     windows = materialise(_passages(docs, Filter(mixed, mixed.count()), single=True), "windows")
-    later = _later(rows, classes).unionByName(_later(windows, _classes(windows)))
+    own = materialise(_classes(windows), "window-classes")
+    later = _later(rows, classes).unionByName(_later(windows, own))
     claims = materialise(_merged(later), "claims")
 
     spans = (
