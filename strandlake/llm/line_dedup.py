@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import join_hot, materialise
+
 #: Lines in a window.
 SPAN = 3
 
@@ -12,8 +14,8 @@ SPAN = 3
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Remove the lines that later occurrences of a three-line window cover.
 
-    Lines end at a line feed.  Every run of three consecutive lines is hashed (128 bits); windows seen
-    more than once are found by an aggregate, and each occurrence but the first (smallest doc_id, then
+    Lines end at a line feed.  Every run of three consecutive lines is hashed, and windows are told
+    apart by these 128 bits alone; windows seen more than once are found by an aggregate, and each occurrence but the first (smallest doc_id, then
     position) is removed whole.  Overlapping or touching occurrences merge into ranges, one row each.
 
     Replaces text and adds n_lines and n_removed; all other columns stay.  Null text has no lines and
@@ -34,9 +36,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .select("doc_id", "__h", F.posexplode(F.transform(F.sequence(F.lit(0), count - SPAN), window)).alias("pos", "w"))
         .select("doc_id", "__h", "pos", "w.w1", "w.w2")
     )
+    windows = materialise(windows, "line-windows")
     place = F.struct("doc_id", "__h", "pos")
     repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(repeated.drop("n"), ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
+    repeated = materialise(repeated, "repeated-windows")
+    later = join_hot(windows, repeated, ["w1", "w2"], "n").where(~place.eqNullSafe(F.col("first")))
 
     in_doc = Window.partitionBy("doc_id", "__h").orderBy("pos")
     gap = F.coalesce(F.col("pos") - F.lag("pos").over(in_doc) > SPAN, F.lit(False)).cast("int")
