@@ -21,12 +21,22 @@ def _part(value: str, low: str, step: str) -> Column:
 
 
 def _cut(keys: DataFrame, cuts: list[tuple]) -> DataFrame:
-    """__sub: the range of ids within a hot cell; 0 in the others.  At most hot_parts cells are hot."""
+    """__sub: the range of ids within a hot cell, by the ids that begin the ranges; 0 in other cells."""
     if not cuts:
         return keys.withColumn("__sub", F.lit(0))
-    table = keys.sparkSession.createDataFrame(cuts, "__cell int, __lo long, __step decimal(20,0)")
-    part = F.coalesce(_part("__d", "__lo", "__step"), F.lit(0))
-    return keys.join(F.broadcast(table), "__cell", "left").withColumn("__sub", part).drop("__lo", "__step")
+    table = keys.sparkSession.createDataFrame(cuts, "__cell int, __starts array<long>")
+    part = F.coalesce(F.size(F.filter("__starts", lambda s: s <= F.col("__d"))), F.lit(0))
+    return keys.join(F.broadcast(table), "__cell", "left").withColumn("__sub", part).drop("__starts")
+
+
+def _hot_cuts(keys: DataFrame, hot: dict[int, int]) -> list[tuple]:
+    """Of each hot cell, the ids that cut its rows into so many ranges of about as many rows each."""
+    if not hot:
+        return []
+    most = max(hot.values())
+    ids = F.percentile_approx("__d", [k / most for k in range(1, most)] or [0.5], 10_000).alias("ids")
+    found = keys.where(F.col("__cell").isin(list(hot))).groupBy("__cell").agg(ids, F.min("__d").alias("low")).collect()
+    return [(r["__cell"], sorted({i for i in r["ids"][:: max(1, most // hot[r["__cell"]])] if i > r["low"]})) for r in found]
 
 
 def _splitters(keys: DataFrame, units: list[tuple], total: int, n_shards: int, tolerance: float, probes: int) -> list:
@@ -93,7 +103,10 @@ def shard_documents(
     then counts bytes between probes inside the cells that hold unmet boundaries, until every boundary
     is within tolerance of its share or falls between two rows.  Only counts reach the driver (at most
     2^18 cells, and n_shards x probes a round).  One exchange by cell moves the rows; cells with much
-    of the data (copies of one text) are dealt by ranges of ids.
+    of the data (copies of one text) are dealt by ranges of ids, cut at counted quantiles of their rows.
+
+    So a shard's rows lie in many tasks, each with some cells of several shards: the layout is one
+    file set in which shard and slot name the place, and a partitioned write needs no further shuffle.
 
     Equal texts share a cell, and so a shard, unless a boundary cuts their cell.  A null text has size
     8 and is a text of its own; a null doc_id sorts as -1; rows equal in text and doc_id are never
@@ -114,7 +127,7 @@ def shard_documents(
 
     cells = keys.groupBy("__cell").agg(F.sum("__size"), F.min("__d"), F.max("__d")).collect()
     limit = max(1, total // hot_parts)
-    cuts = [(c, lo, Decimal(-(-(hi - lo + 1) // -(-size // limit)))) for c, size, lo, hi in cells if size > limit and hi > lo]
+    cuts = _hot_cuts(keys, {c: -(-size // limit) for c, size, lo, hi in cells if size > limit and hi > lo})
     units = sorted(
         map(
             tuple,

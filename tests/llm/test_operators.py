@@ -44,11 +44,27 @@ def test_sharding_cuts_a_hot_text(spark):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(6))
 
 
+@pytest.mark.parametrize("far", [[1 << 60], [None] * 300, [-(1 << 62)] * 3])
+def test_sharding_cuts_hot_cells_by_counts(spark, far):
+    """Outlying and null ids leave no range of ids with most of a hot text's rows."""
+    rows = [(k, "same text") for k in range(900)] + [(f, "same text") for f in far]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = table.select(F.lit(5).alias("__cell"), F.coalesce("doc_id", F.lit(-1)).alias("__d"))
+    subs = Counter(r["__sub"] for r in sharding._cut(keys, sharding._hot_cuts(keys, {5: 16})).collect())
+    assert len(subs) >= 10 and max(subs.values()) <= max(150, 2 * len(far))
+    got = sharding.shard_documents(table, n_shards=6, hot_parts=16).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("most_bits", [4, 27])
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda t: (F.crc32(F.coalesce(t, F.lit("")).cast("binary")) % 5).cast("string")])
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-def test_exact_duplicates(docs, empty, digest, keep):
+def test_exact_duplicates(docs, empty, digest, keep, most_bits):
     """A weak digest puts different texts together: the bytes tell them apart."""
-    got = exact_dedup.exact_duplicates(docs, keep, digest).collect()
+    got = exact_dedup.exact_duplicates(docs, keep, digest, most_bits).collect()
     groups = defaultdict(list)
     for r in docs.collect():
         groups[r.text or ""].append(r.doc_id)
