@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .variants import alleles, depth_stats, is_het, kind_of
+from .variants import allele_depths, alleles, depth_stats, is_het, kind_of
 from .windows import count_near, range_join
 
 #: Recognition sites (IUPAC) of the common restriction enzymes.
@@ -69,12 +69,14 @@ def is_variable(sites: DataFrame, calls: DataFrame, samples: list[str], name: st
 
 
 def is_variable_by_depth(sites: DataFrame, calls: DataFrame, samples: list[str], min_reads: int = 6, min_allele_reads: int = 3, max_maf: float = 1.0, name: str = "vd") -> DataFrame:
-    """The samples' reads together: enough of them, and at least two alleles with enough reads each."""
-    total = calls.where(F.col("sample").isin(samples)).groupBy("ord").agg(F.sum("rd").alias("r"), F.sum("ad").alias("a"))
-    n = F.col("r") + F.col("a")
-    two = (F.least("r", "a") >= min_allele_reads) & (F.greatest("r", "a") / F.when(n > 0, n) <= max_maf)
+    """The samples' reads together: enough of them, at least two alleles with enough reads each, and none
+    with more than max_maf of all."""
+    reads = allele_depths(calls.where(F.col("sample").isin(samples))).groupBy("ord")
+    total = reads.agg(F.sum("reads").alias("__n"), F.max("reads").alias("__top"), F.count_if(F.col("reads") >= min_allele_reads).alias("__many"))
+    n = F.col("__n")
+    two = (F.col("__many") >= 2) & (F.col("__top") / F.when(n > 0, n) <= max_maf)
     got = sites.join(total, "ord", "left").withColumn("variable", F.when(n >= min_reads, two))
-    return set_filter(got, name, ~F.coalesce("variable", F.lit(False))).drop("r", "a")
+    return set_filter(got, name, ~F.coalesce("variable", F.lit(False))).drop("__n", "__top", "__many")
 
 
 def het_in_samples(sites: DataFrame, calls: DataFrame, min_percent: int, name: str = "his") -> DataFrame:

@@ -53,11 +53,14 @@ def genotype_letter() -> Column:
 
 
 def rqtl_genotypes(calls: DataFrame) -> DataFrame:
-    """ord, map position in Mb as text, and the samples' genotype letters by order of first appearance."""
+    """ord, map position in Mb as text, and the samples' genotype letters by order of first appearance:
+    A to Z, then A1 to Z1 and so on."""
     text = F.when(F.col("called") & F.col("a2").isNotNull(), F.concat_ws("/", F.array_sort(F.array("a1", "a2")).cast("array<string>")))
     rows = calls.withColumn("g", text)
     first = rows.where("g IS NOT NULL").groupBy("ord", "g").agg(F.min("sample").alias("s")).withColumn("k", F.row_number().over(Window.partitionBy("ord").orderBy("s")))
-    coded = rows.join(first.select("ord", "g", F.substring(F.lit("ABCDEFGHIJ"), F.col("k"), F.lit(1)).alias("letter")), ["ord", "g"], "left")
+    turn = F.floor((F.col("k") - 1) / 26)
+    letter = F.concat(F.char((F.col("k") - 1) % 26 + 65), F.when(turn > 0, turn.cast("string")).otherwise(""))
+    coded = rows.join(first.select("ord", "g", letter.alias("letter")), ["ord", "g"], "left")
     return coded.groupBy("ord", "chrom", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("letter", F.lit("-")).alias("x")))), lambda s: s["x"]), ",").alias("letters")).withColumn(
         "position", F.format_string("%.6e", F.col("pos") / 1e6)
     )

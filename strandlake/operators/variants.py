@@ -80,10 +80,18 @@ def inbreeding(calls: DataFrame, min_calls: int = MIN_CALLS) -> DataFrame:
     return both.select("ord", (1 - F.col("obs_het") / F.when(F.col("exp_het") != 0, F.col("exp_het"))).alias("f"))
 
 
+def allele_depths(calls: DataFrame) -> DataFrame:
+    """ord, allele, reads: the reads of each allele over all samples."""
+    each = calls.select("ord", F.posexplode("depths").alias("allele", "reads"))
+    return each.groupBy("ord", "allele").agg(F.sum("reads").alias("reads"))
+
+
 def depth_stats(calls: DataFrame) -> DataFrame:
-    """Per site: depth, reference depth, and the share of the deeper of reference and alternative."""
-    got = calls.groupBy("ord").agg(F.sum("dp").alias("depth"), F.sum("rd").alias("rd"), F.sum("ad").alias("ad"))
-    return got.select("ord", "depth", "rd", (F.greatest("rd", "ad") / F.when(F.col("rd") + F.col("ad") > 0, F.col("rd") + F.col("ad"))).alias("maf_depth"))
+    """Per site: depth, reference depth, and the share of the deepest allele among the reads of all alleles."""
+    got = calls.groupBy("ord").agg(F.sum("dp").alias("depth"), F.sum("rd").alias("rd"))
+    deepest = allele_depths(calls).groupBy("ord").agg(F.max("reads").alias("top"), F.sum("reads").alias("all"))
+    share = F.col("top") / F.when(F.col("all") > 0, F.col("all"))
+    return got.join(deepest, "ord", "left").select("ord", "depth", "rd", share.alias("maf_depth"))
 
 
 def is_polymorphic(calls: DataFrame, threshold: float = 1.0, min_calls: int = MIN_CALLS) -> DataFrame:
@@ -146,10 +154,10 @@ def hets_to_missing(calls: DataFrame) -> DataFrame:
 def low_evidence_alleles(calls: DataFrame, threshold: float = 0.9999, method: str = "hw", generations: int = 7, min_calls: int = MIN_CALLS) -> DataFrame:
     """Homozygous calls whose reads do not show two equal alleles with enough probability lose the second.
 
-    hw: p / (p + 0.5^(n-1) (1-p)), p the allele's frequency, n its reads; sites below min_calls lose all
+    hw: p / (p + 0.5^(n-1) (1-p)), p the allele's frequency, n the reads of this allele alone; sites below min_calls lose all
     calls.  ril_self: paa / (paa + 0.5^n (1 - 2 paa)), paa = (2^g - 1) / 2^(g+1).  Adds outcome.
     """
-    reads = F.when(F.col("a1") == 0, F.col("rd")).otherwise(F.col("ad"))
+    reads = F.get("depths", F.col("a1"))
     if method == "hw":
         counts = allele_counts(calls).withColumn("total", F.sum("n").over(Window.partitionBy("ord")))
         enough = calls.groupBy("ord").agg((F.count_if("called") >= min_calls).alias("enough"))

@@ -98,7 +98,7 @@ def ld_marker_matrix(calls):
     return E.marker_matrix(L.parental_codes(calls, L.parent_alleles(calls, ["S1", "S2"], ["S3", "S4"])))
 
 
-@query("SELECT depth, CAST(round(round(maf, 9) * 100) AS INT) AS maf, count(*) AS n FROM (SELECT ord, CAST(sum(dp) AS BIGINT) AS depth, greatest(sum(rd), sum(ad)) / nullif(CAST(sum(rd) + sum(ad) AS DOUBLE), 0) AS maf FROM calls GROUP BY ord) GROUP BY ALL", "calls")
+@query("SELECT depth, CAST(round(round(maf, 9) * 100) AS INT) AS maf, count(*) AS n FROM (SELECT ord, depth, m AS maf FROM (SELECT ord, CAST(sum(dp) AS BIGINT) AS depth FROM calls GROUP BY ord) JOIN (SELECT ord, max(d) / nullif(CAST(sum(d) AS DOUBLE), 0) AS m FROM (SELECT ord, i, sum(d) AS d FROM (SELECT ord, unnest(depths) AS d, unnest(range(0, len(depths))) AS i FROM calls) GROUP BY ord, i) GROUP BY ord) USING (ord)) GROUP BY ALL", "calls")
 def vst_maf_by_depth(calls):
     return S.maf_by_depth(calls)
 

@@ -74,7 +74,11 @@ def vcf_inbreeding(calls):
     return rounded(V.inbreeding(calls, CALLS), "f")
 
 
-@query("SELECT ord, CAST(sum(dp) AS BIGINT) AS depth, CAST(sum(rd) AS BIGINT) AS rd, round(greatest(sum(rd), sum(ad)) / nullif(CAST(sum(rd) + sum(ad) AS DOUBLE), 0), 6) AS maf_depth FROM calls GROUP BY ord", "calls")
+#: Reads of each allele at each site: ord, i, d.
+_DEPTHS = "(SELECT ord, i, sum(d) AS d FROM (SELECT ord, unnest(depths) AS d, unnest(range(0, len(depths))) AS i FROM calls {}) GROUP BY ord, i)"
+
+
+@query(f"SELECT ord, depth, rd, round(m, 6) AS maf_depth FROM (SELECT ord, CAST(sum(dp) AS BIGINT) AS depth, CAST(sum(rd) AS BIGINT) AS rd FROM calls GROUP BY ord) JOIN (SELECT ord, max(d) / nullif(CAST(sum(d) AS DOUBLE), 0) AS m FROM {_DEPTHS.format('')} GROUP BY ord) USING (ord)", "calls")
 def vcf_depth_stats(calls):
     return rounded(V.depth_stats(calls), "maf_depth")
 
@@ -148,7 +152,7 @@ def gtf_het(calls):
     return V.hets_to_missing(calls).select("ord", "sample", "a1", "a2", "called")
 
 
-_EV = "SELECT ord, sample, a1, a2, called, CASE WHEN a1 = 0 THEN rd ELSE ad END AS r FROM calls"
+_EV = "SELECT ord, sample, a1, a2, called, depths[a1 + 1] AS r FROM calls"
 
 
 @query(
@@ -202,7 +206,7 @@ def ann_close_to_limit(sites, refs):
     return _annotated(A.close_to_limit(sites, refs, 50000))
 
 
-@query("SELECT s.ord, CAST(coalesce(greatest(r, a) / nullif(CAST(r + a AS DOUBLE), 0) > 0.7, false) AS INT) AS flagged FROM sites s LEFT JOIN (SELECT ord, sum(rd) AS r, sum(ad) AS a FROM calls GROUP BY ord) c USING (ord)", "sites", "calls")
+@query(f"SELECT s.ord, CAST(coalesce(m > 0.7, false) AS INT) AS flagged FROM sites s LEFT JOIN (SELECT ord, max(d) / nullif(CAST(sum(d) AS DOUBLE), 0) AS m FROM {_DEPTHS.format('')} GROUP BY ord) c USING (ord)", "sites", "calls")
 def ann_maf_depth(sites, calls):
     return _annotated(A.maf_depth_limit(sites, calls, 0.7))
 
@@ -217,7 +221,7 @@ def ann_is_variable(sites, calls):
     return A.is_variable(sites, calls, ["S1", "S3", "S5"]).select("ord", "variable", F.size("filters").alias("flagged"))
 
 
-@query("SELECT s.ord, CASE WHEN r + a >= 6 THEN least(r, a) >= 3 AND greatest(r, a) / CAST(r + a AS DOUBLE) <= 0.8 END AS variable FROM sites s LEFT JOIN (SELECT ord, sum(rd) AS r, sum(ad) AS a FROM calls WHERE sample IN ('S1', 'S3', 'S5') GROUP BY ord) USING (ord)", "sites", "calls")
+@query("SELECT s.ord, CASE WHEN n >= 6 THEN k >= 2 AND top / CAST(n AS DOUBLE) <= 0.8 END AS variable FROM sites s LEFT JOIN (SELECT ord, sum(d) AS n, max(d) AS top, count_if(d >= 3) AS k FROM " + _DEPTHS.format("WHERE sample IN ('S1', 'S3', 'S5')") + " GROUP BY ord) USING (ord)", "sites", "calls")
 def ann_is_variable_by_depth(sites, calls):
     return A.is_variable_by_depth(sites, calls, ["S1", "S3", "S5"], max_maf=0.8).select("ord", "variable")
 

@@ -40,14 +40,14 @@ SELECT ord, name, descr, pair, direction, seq, qual, CAST(length(seq) AS BIGINT)
         return f"""
 SELECT ord, chrom, pos, sample, called, CASE WHEN called THEN x END AS a1,
        CASE WHEN called AND y % 13 <> 0 THEN CASE WHEN y % 11 = 0 THEN 2 ELSE y % 2 END END AS a2,
-       dp, gq, CAST(dp - floor(dp * (x + y % 2) / 3.0) AS INT) AS rd, CAST(floor(dp * (x + y % 2) / 3.0) AS INT) AS ad
-FROM (SELECT l_orderkey AS ord, concat('chr', CAST(l_orderkey % 5 + 1 AS VARCHAR(9))) AS chrom, l_orderkey * 37 AS pos,
+       dp, gq, dp - e AS rd, e AS ad, {array.format("dp - e, e - CAST(floor(e / 3.0) AS INT), CAST(floor(e / 3.0) AS INT)")} AS depths
+FROM (SELECT *, CAST(floor(dp * (x + y % 2) / 3.0) AS INT) AS e FROM (SELECT l_orderkey AS ord, concat('chr', CAST(l_orderkey % 5 + 1 AS VARCHAR(9))) AS chrom, l_orderkey * 37 AS pos,
              concat('S', CAST(l_linenumber AS VARCHAR(9))) AS sample,
              CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) % 9 AS INT) <> 0 AS called,
              CAST(sum(CAST(l_quantity AS BIGINT)) % 2 AS INT) AS x, CAST({cents} % 143 AS INT) AS y,
              CAST(sum(CAST(l_quantity AS BIGINT)) AS INT) AS dp,
              CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) * 13 % 60 AS INT) AS gq
-      FROM lineitem GROUP BY l_orderkey, l_linenumber) AS t"""
+      FROM lineitem GROUP BY l_orderkey, l_linenumber) AS t) AS u"""
     if name == "sites":
         return f"""
 SELECT ord, concat('chr', CAST(ord % 5 + 1 AS VARCHAR(9))) AS chrom, ord * 37 AS pos,

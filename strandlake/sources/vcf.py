@@ -47,7 +47,8 @@ def sites_of(lines: DataFrame) -> DataFrame:
 
 
 def calls_of(lines: DataFrame, head: list[str]) -> DataFrame:
-    """ord, chrom, pos, sample, called, a1, a2, dp, gq, rd, ad: depths as the caller writes them."""
+    """ord, chrom, pos, sample, called, a1, a2, dp, gq, rd, ad, depths, as the caller writes them: reads of
+    the reference, of all other alleles, and of each allele by its number."""
     caller = caller_of(head)
     names = F.array(*[F.lit(s) for s in samples_of(head)])
     f = F.split("value", "\t")
@@ -64,17 +65,18 @@ def calls_of(lines: DataFrame, head: list[str]) -> DataFrame:
     numbers = lambda k: F.transform(F.split(get(k), ","), lambda x: x.try_cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     if caller == "gatk":
-        rd, ad = F.get(numbers("AD"), 0), total(F.slice(numbers("AD"), 2, 100))
+        depths = numbers("AD")
     elif caller == "varscan":
-        rd, ad = get("RD").try_cast("int"), get("AD").try_cast("int")
+        depths = F.array(get("RD").try_cast("int"), get("AD").try_cast("int"))
     elif caller == "freebayes":
-        rd, ad = get("RO").try_cast("int"), total(numbers("AO"))
+        depths = F.concat(F.array(get("RO").try_cast("int")), numbers("AO"))
     else:
-        rd = ad = F.lit(None).cast("int")
+        depths = F.lit(None).cast("array<int>")
+    rd, ad = F.get(depths, 0), total(F.slice(depths, F.lit(2), F.greatest(F.size(depths), F.lit(1))))
     return rows.select(
         "ord", "chrom", "pos", F.get(names, F.col("i")).alias("sample"), (allele(0).isNotNull() | allele(1).isNotNull()).alias("called"),
         allele(0).alias("a1"), allele(1).alias("a2"),
-        (rd + ad if caller == "freebayes" else get("DP").try_cast("int")).alias("dp"), get("GQ").try_cast("double").alias("gq"), rd.alias("rd"), ad.alias("ad"),
+        (rd + ad if caller == "freebayes" else get("DP").try_cast("int")).alias("dp"), get("GQ").try_cast("double").alias("gq"), rd.alias("rd"), ad.alias("ad"), depths.alias("depths"),
     )
 
 

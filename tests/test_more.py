@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import export, linkage, recombination, transcripts
+from strandlake.operators import export, linkage, recombination, transcripts, variants
 from strandlake.operators import hits as H
 from strandlake.sources import alignments as sources
+from strandlake.sources import vcf
 from strandlake.streaming.alignments import running_reference_counts, stream_sam
 
 CALLS = "ord long, chrom string, pos long, sample string, called boolean, a1 int, a2 int"
@@ -99,3 +100,23 @@ def test_tabular_and_sam(spark, tmp_path):
     run = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert [tuple(r) for r in spark.sql("select * from counts").collect()] == [("ref1", 1)]
+
+
+def test_letters_and_depths_have_no_cap(spark, tmp_path):
+    """Thirty genotypes and 150 alternative alleles."""
+    rows = [(1, "c", 10, f"S{k:02d}", True, k, k) for k in range(30)]
+    got = export.rqtl_genotypes(spark.createDataFrame(rows, "ord long, chrom string, pos long, sample string, called boolean, a1 int, a2 int")).first()
+    assert got.letters.split(",") == [*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A1", "B1", "C1", "D1"]
+    line = "\t".join(["1", "5", ".", "A", ",".join(["C"] * 150), ".", ".", ".", "GT:AD:DP", "0/1:" + ",".join(["2"] * 151) + ":302"])
+    head = ["##source=UnifiedGenotyper", "##GATKCommandLine=x", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "S1"])]
+    call = vcf.calls_of(spark.createDataFrame([(0, line)], "ord long, value string"), head).first()
+    assert (call.rd, call.ad, len(call.depths)) == (2, 300, 151)
+
+
+def test_depths_by_allele(spark):
+    """A homozygous second alternative is judged by its own reads; the deepest allele is the major one."""
+    rows = [(0, "c", 1, "S1", True, 2, 2, 22, 30.0, 1, 21, [1, 20, 1]), (0, "c", 1, "S2", True, 1, 1, 22, 30.0, 1, 21, [1, 20, 1]), (0, "c", 1, "S3", True, 0, 0, 5, 30.0, 5, 0, [5, 0, 0])]
+    table = spark.createDataFrame(rows, CALLS + ", dp int, gq double, rd int, ad int, depths array<int>")
+    got = {r["sample"]: r.outcome for r in variants.low_evidence_alleles(table, 0.99, "ril_self").collect()}
+    assert got["S1"] == "not_enough_evidence" and got["S2"] == "enough_evidence"
+    assert abs(variants.depth_stats(table).first().maf_depth - 40 / 49) < 1e-9
