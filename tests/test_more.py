@@ -117,6 +117,6 @@ def test_depths_by_allele(spark):
     """A homozygous second alternative is judged by its own reads; the deepest allele is the major one."""
     rows = [(0, "c", 1, "S1", True, 2, 2, 22, 30.0, 1, 21, [1, 20, 1]), (0, "c", 1, "S2", True, 1, 1, 22, 30.0, 1, 21, [1, 20, 1]), (0, "c", 1, "S3", True, 0, 0, 5, 30.0, 5, 0, [5, 0, 0])]
     table = spark.createDataFrame(rows, CALLS + ", dp int, gq double, rd int, ad int, depths array<int>")
-    got = {r["sample"]: r.outcome for r in variants.low_evidence_alleles(table, 0.99, "ril_self").collect()}
+    got = {r["sample"]: r.outcome for r in variants.low_evidence_alleles(table, 0.9999, "ril_self").collect()}
     assert got["S1"] == "not_enough_evidence" and got["S2"] == "enough_evidence"
     assert abs(variants.depth_stats(table).first().maf_depth - 40 / 49) < 1e-9
