@@ -119,20 +119,17 @@ def compare_units(units: DataFrame, links_of) -> DataFrame:
 
 
 def tiled_units(entries: DataFrame, reach: int, tile: int) -> DataFrame:
-    """Rows (band, pop, ...) to rows (unit, side, ...) of the units in which a band's rows are compared.
+    """Rows (band, total, pop, ...) to rows (unit, side, ...) of the units in which a band's rows are compared.
 
-    A band of at most tile rows is one unit; more are cut into tiles by pop (and the row's own column
-    fp), and tile pairs whose pops differ by more than reach are skipped.
+    A band of at most tile rows (total) is one unit; more are cut into tiles by pop (and the row's own
+    column fp), and tile pairs whose pops differ by more than reach are skipped.
     """
-    rest = [c for c in entries.columns if c not in ("band", "pop")]
+    rest = [c for c in entries.columns if c not in ("band", "pop", "total")]
+    small = entries.where(F.col("total").between(2, tile)).select(F.col("band").alias("unit"), F.lit(0).alias("side"), *rest)
+    entries = entries.where(F.col("total") > tile).drop("total")
     sizes = entries.groupBy("band", "pop").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("band").agg(F.sum("n").alias("total"))
-    small = entries.join(totals.where(F.col("total").between(2, tile)), "band")
-    small = small.select(F.col("band").alias("unit"), F.lit(0).alias("side"), *rest)
-
-    large = totals.where(F.col("total") > tile).select("band")
     parts = materialise(
-        sizes.join(large, "band").select("band", "pop", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "simhash-tiles"
+        sizes.select("band", "pop", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "simhash-tiles"
     )
     if parts.isEmpty():
         return small
@@ -171,6 +168,8 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 3, tile: int = 2048)
         ]
     )
     entries = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(bands).alias("band"))
+    totals = entries.groupBy("band").agg(F.count("*").alias("total")).where("total > 1")
+    entries = entries.join(totals, "band")
     return compare_units(tiled_units(entries, radius, tile), lambda rows: _links_of(rows, radius))
 
 
