@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import mean_code
+
 SANGER, ILLUMINA = 33, 64
 DUST_WINDOW, DUST_STEP = 64, 32
 #: SAM flag bits by name.
@@ -169,8 +171,7 @@ def dust_score(seq: Column) -> Column:
 
 
 def mean_quality(qual: Column, offset: int = SANGER) -> Column:
-    q = decode_quality(qual, offset)
-    return F.when(F.size(q) > 0, F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(q))
+    return mean_code(qual, offset)
 
 
 def masked_mean_quality(seq: Column, qual: Column, offset: int = SANGER) -> Column:

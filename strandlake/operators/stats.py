@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.reads import decode_quality, kmers
+from ..functions.vectors import count_kmers, count_places
 
 MIN_BINS, MAX_BINS, VALUES_PER_BIN = 20, 500, 10000
 
@@ -115,7 +117,14 @@ def nx(lengths: DataFrame, percent: int) -> DataFrame:
 
 
 def kmer_counts(df: DataFrame, k: int) -> DataFrame:
-    return df.select(F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n), case kept; each batch of reads is counted before anything is moved."""
+
+    def run(batches):
+        for batch in batches:
+            found, times = count_kmers(batch.column(0), k)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(times.astype(np.int64))], ["kmer", "n"])
+
+    return df.select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 def base_frequencies(df: DataFrame, positions: int | None = 41) -> DataFrame:
@@ -128,14 +137,23 @@ def base_frequencies(df: DataFrame, positions: int | None = 41) -> DataFrame:
 
 def quality_by_position(df: DataFrame, offset: int = 33) -> DataFrame:
     """(pos, value, n): the counters behind the per-position box plot of qualities."""
-    return df.select(F.posexplode(decode_quality(F.col("qual"), offset)).alias("pos", "value")).groupBy("pos", "value").agg(F.count("*").alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            pos, value, times = count_places(batch.column(0), offset)
+            rows = [pa.array(pos.astype(np.int32)), pa.array(value.astype(np.int32)), pa.array(times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(rows, ["pos", "value", "n"])
+
+    return df.select("qual").mapInArrow(run, "pos int, value int, n long").groupBy("pos", "value").agg(F.sum("n").alias("n"))
 
 
 def quality_shares(df: DataFrame, offset: int = 33) -> DataFrame:
     """Bases, those of at least Q20 and Q30, and their shares, over all reads."""
-    q = df.select(F.explode(decode_quality(F.col("qual"), offset)).alias("q"))
-    over = lambda t: F.count_if(F.col("q") >= t)
-    return q.agg(F.count("*").alias("bases"), over(20).alias("q20"), over(30).alias("q30"), (over(20) / F.count("*")).alias("share20"), (over(30) / F.count("*")).alias("share30"))
+    q = quality_by_position(df, offset)
+    bases = F.coalesce(F.sum("n"), F.lit(0))
+    over = lambda t: F.coalesce(F.sum(F.when(F.col("value") >= t, F.col("n"))), F.lit(0))
+    share = lambda t: over(t) / F.when(bases > 0, bases)
+    return q.agg(bases.alias("bases"), over(20).alias("q20"), over(30).alias("q30"), share(20).alias("share20"), share(30).alias("share30"))
 
 
 def array_stats(df: DataFrame, value: str, bins: int = 80) -> DataFrame:
@@ -156,10 +174,10 @@ def ascii_histogram(bins: list[tuple[int, int, int]], width: int = 100) -> str:
 
 def report(df: DataFrame, offset: int = 33) -> DataFrame:
     """(metric, value) over reads: number, bases, N50, N95, mean quality and the shares of Q20 and Q30."""
-    df = df.withColumn("__n", F.length("seq").cast("long")).persist()
+    df = df.withColumn("__n", F.length("seq").cast("long"))
     lengths = counter(df, F.col("__n"))
     basic = df.agg(F.count("*").cast("double").alias("reads"), F.sum("__n").cast("double").alias("bases"), F.avg("__n").alias("mean_length"))
-    q = df.select(F.explode(decode_quality(F.col("qual"), offset)).alias("q"))
-    quality = q.agg(F.avg("q").alias("mean_quality"), (F.count_if(F.col("q") >= 20) / F.count("*")).alias("q20"), (F.count_if(F.col("q") >= 30) / F.count("*")).alias("q30"))
+    mean = (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean_quality")
+    quality = quality_by_position(df, offset).agg(mean).crossJoin(quality_shares(df, offset).select(F.col("share20").alias("q20"), F.col("share30").alias("q30")))
     one = basic.crossJoin(quality).crossJoin(nx(lengths, 50)).crossJoin(nx(lengths, 95))
     return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in one.columns]), F.array(*[F.col(c).cast("double") for c in one.columns]))).alias("metric", "value"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.reads import decode_quality, let, longest_segment, slice_text, upper_segments
+from ..functions.reads import let, longest_segment, slice_text
+from ..functions.vectors import best_stretch, longest_upper
 
 SEGMENTS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -45,29 +46,12 @@ def outside(kind: str, keep: Column, length: Column) -> Column:
 
 def lower_case_segments(seq: Column) -> Column:
     """Recommend all but the longest upper-case run; a read without upper case goes whole."""
-    return outside("other", longest_segment(upper_segments(seq)), F.length(seq))
+    return outside("other", longest_upper(seq), F.length(seq))
 
 
 def quality_segments(qual: Column, window: int, threshold: float, left: bool = True, right: bool = True, offset: int = 33) -> Column:
     """Extend the best window both ways until a window's mean is below the threshold."""
-    def keep(sums, n):
-        best = F.array_position(sums, F.array_max(sums)).cast("int") - 1
-
-        def extents(at):
-            low = F.filter(F.transform(sums, lambda s, i: F.when(s < threshold * window, i)), lambda i: i.isNotNull())
-            start = F.coalesce(F.array_max(F.filter(low, lambda i: i < at)) + 1, F.lit(0)) if left else F.lit(0)
-            end = F.coalesce(F.array_min(F.filter(low, lambda i: i > at)) + window - 2, n - 1) if right else n - 1
-            return F.struct(start.alias("start"), end.alias("end"))
-
-        return F.when(F.array_max(sums) >= threshold * window, let(best, extents))
-
-    def means(q):
-        n = F.size(q)
-        places = F.filter(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: i + window - 1 <= n)
-        sums = F.transform(places, lambda i: sum((F.get(q, i + k) for k in range(window - 1)), F.get(q, i - 1)))
-        return let(sums, lambda s: outside("quality", keep(s, n), n))
-
-    return let(decode_quality(qual, offset), means)
+    return outside("quality", best_stretch(qual, window, threshold, left, right, offset), F.length(qual))
 
 
 def merge_segments(segments: Column, near: int = 1) -> Column:
