@@ -40,6 +40,16 @@ def close_to_snp(sites: DataFrame, distance: int, kind: str) -> DataFrame:
     return set_filter(sites.join(near.withColumn("__near", F.lit(True)), "ord", "left"), f"cs{distance}", F.col("__near")).drop("__near")
 
 
+def close_to_varied(sites: DataFrame, calls: DataFrame, distance: int, max_maf_depth: float, kind: str | None = None) -> DataFrame:
+    """Only neighbours (of a kind) whose deepest allele has at most that share of the reads count."""
+    others = sites if kind is None else sites.where(kind_of(F.col("ref"), F.col("alts")) == kind)
+    low = depth_stats(calls).where((F.col("maf_depth") > 0) & (F.col("maf_depth") <= max_maf_depth)).select("ord")
+    others = others.join(low, "ord", "left_semi").select("ord", "chrom", "pos")
+    near = range_join(sites.select("ord", "chrom", "pos"), others, "chrom", distance).where("pos <> pos_2").select("ord").distinct()
+    name = f"cs{kind[0] if kind else ''}{distance}_{max_maf_depth:.2f}"
+    return set_filter(sites.join(near.withColumn("__near", F.lit(True)), "ord", "left"), name, F.col("__near")).drop("__near")
+
+
 def high_variable_region(sites: DataFrame, max_variability: float, window: int) -> DataFrame:
     """More sites than that share of the bases of the window around the site."""
     near = count_near(sites, window // 2)
@@ -68,15 +78,27 @@ def is_variable(sites: DataFrame, calls: DataFrame, samples: list[str], name: st
     return set_filter(got, name, ~F.coalesce("variable", F.lit(False))).drop("__n")
 
 
-def is_variable_by_depth(sites: DataFrame, calls: DataFrame, samples: list[str], min_reads: int = 6, min_allele_reads: int = 3, max_maf: float = 1.0, name: str = "vd") -> DataFrame:
-    """The samples' reads together: enough of them, at least two alleles with enough reads each, and none
-    with more than max_maf of all."""
-    reads = allele_depths(calls.where(F.col("sample").isin(samples))).groupBy("ord")
-    total = reads.agg(F.sum("reads").alias("__n"), F.max("reads").alias("__top"), F.count_if(F.col("reads") >= min_allele_reads).alias("__many"))
-    n = F.col("__n")
-    two = (F.col("__many") >= 2) & (F.col("__top") / F.when(n > 0, n) <= max_maf)
-    got = sites.join(total, "ord", "left").withColumn("variable", F.when(n >= min_reads, two))
-    return set_filter(got, name, ~F.coalesce("variable", F.lit(False))).drop("__n", "__top", "__many")
+def is_variable_by_depth(
+    sites: DataFrame, calls: DataFrame, samples: list[str], min_reads: int = 6, min_allele_reads: int = 3, max_maf: float = 1.0, name: str = "vd",
+    in_union: bool = True, in_all: bool = True, reference_free: bool = True,
+) -> DataFrame:
+    """Adds variable, from the reads of the samples together or (in_union false) of each sample by itself,
+    of which all (or any) must vary.
+
+    Variable are at least two alleles with enough reads each, and none with more than max_maf of all;
+    unless reference_free a single allele that is not the reference will do.  It is null where a group
+    has too few reads, or no allele with enough of them.
+    """
+    by = [] if in_union else ["sample"]
+    enough = F.col("reads") >= min_allele_reads
+    groups = allele_depths(calls.where(F.col("sample").isin(samples)), *by).groupBy("ord", *by)
+    groups = groups.agg(F.sum("reads").alias("n"), F.max("reads").alias("top"), F.count_if(enough).alias("many"), F.bool_or(enough & (F.col("allele") == 0)).alias("ref"))
+    alone = (F.col("many") == 1) & (F.lit(reference_free) | F.col("ref"))
+    varies = F.when((F.col("n") >= min_reads) & (F.col("many") > 0), ~alone & (F.col("top") / F.when(F.col("n") > 0, F.col("n")) <= max_maf))
+    seen = groups.groupBy("ord").agg(F.count(varies).alias("__known"), (F.bool_and if in_all else F.bool_or)(varies).alias("__varies"))
+    wanted = 1 if in_union else len(set(samples))
+    got = sites.join(seen, "ord", "left").withColumn("variable", F.when(F.col("__known") == wanted, F.col("__varies")))
+    return set_filter(got, name, ~F.coalesce("variable", F.lit(False))).drop("__known", "__varies")
 
 
 def het_in_samples(sites: DataFrame, calls: DataFrame, min_percent: int, name: str = "his") -> DataFrame:

@@ -94,14 +94,21 @@ def maf_by_depth(calls: DataFrame) -> DataFrame:
     return got.groupBy(F.col("depth"), per_cent(F.col("maf_depth")).alias("maf")).agg(F.count("*").alias("n"))
 
 
+def call_kind() -> Column:
+    return F.when(genotype_type() == 1, "HET").when(genotype_type().isNotNull(), "HOM")
+
+
 def sample_counters(calls: DataFrame, min_gq: int) -> DataFrame:
     """(sample, kind, depth, n) of HOM and HET calls with at least the quality."""
-    kind = F.when(genotype_type() == 1, "HET").when(genotype_type().isNotNull(), "HOM")
-    return calls.where(F.col("gq") >= min_gq).withColumn("kind", kind).where("kind IS NOT NULL").groupBy("sample", "kind", F.col("dp").alias("depth")).agg(F.count("*").alias("n"))
+    calls = calls.where(F.col("gq") >= min_gq).withColumn("kind", call_kind()).where("kind IS NOT NULL")
+    return calls.groupBy("sample", "kind", F.col("dp").alias("depth")).agg(F.count("*").alias("n"))
 
 
-def quality_boxes(calls: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Quartiles of genotype qualities by depth, of all called genotypes below the depth."""
+def quality_boxes(calls: DataFrame, max_depth: int = 100, by_kind: bool = False) -> DataFrame:
+    """Quartiles of genotype qualities by depth, of all called genotypes below the depth, or of HOM and
+    HET calls apart."""
     from .stats import counter, quartiles
 
-    return quartiles(counter(calls.where(F.col("called") & (F.col("dp") < max_depth)), F.col("gq"), "dp"), "dp")
+    by = ["kind", "dp"] if by_kind else ["dp"]
+    calls = calls.where(F.col("called") & (F.col("dp") < max_depth)).withColumn("kind", call_kind())
+    return quartiles(counter(calls.where("kind IS NOT NULL") if by_kind else calls, F.col("gq"), *by), *by)

@@ -80,10 +80,10 @@ def inbreeding(calls: DataFrame, min_calls: int = MIN_CALLS) -> DataFrame:
     return both.select("ord", (1 - F.col("obs_het") / F.when(F.col("exp_het") != 0, F.col("exp_het"))).alias("f"))
 
 
-def allele_depths(calls: DataFrame) -> DataFrame:
-    """ord, allele, reads: the reads of each allele over all samples."""
-    each = calls.select("ord", F.posexplode("depths").alias("allele", "reads"))
-    return each.groupBy("ord", "allele").agg(F.sum("reads").alias("reads"))
+def allele_depths(calls: DataFrame, *by: str) -> DataFrame:
+    """ord, allele, reads: the reads of each allele over all samples (or by more columns, such as sample)."""
+    each = calls.select("ord", *by, F.posexplode("depths").alias("allele", "reads"))
+    return each.groupBy("ord", *by, "allele").agg(F.sum("reads").alias("reads"))
 
 
 def depth_stats(calls: DataFrame) -> DataFrame:

@@ -119,6 +119,17 @@ def vst_quality_boxes(calls):
     return S.quality_boxes(calls)
 
 
+@query(
+    f"""WITH s AS (SELECT kind, dp, list_sort(list(gq)) AS v, count(*) AS n FROM (SELECT *, CASE {_GT} WHEN 1 THEN 'HET' WHEN 0 THEN 'HOM' WHEN 2 THEN 'HOM' END AS kind FROM calls) WHERE called AND dp < 100 AND kind IS NOT NULL GROUP BY kind, dp)
+SELECT kind, dp, n AS count, CASE WHEN n < 4 THEN NULL WHEN (n + 1) % 4 = 0 THEN CAST(v[(n + 1) // 4] AS DOUBLE) ELSE (v[(n + 1) // 4] + v[(n + 1) // 4 + 1]) / 2.0 END AS q1,
+ CASE WHEN n % 2 = 1 THEN CAST(v[n // 2 + 1] AS DOUBLE) ELSE (v[n // 2] + v[n // 2 + 1]) / 2.0 END AS median,
+ CASE WHEN n < 4 THEN NULL WHEN (n + 1) * 3 % 4 = 0 THEN CAST(v[(n + 1) * 3 // 4] AS DOUBLE) ELSE (v[(n + 1) * 3 // 4] + v[(n + 1) * 3 // 4 + 1]) / 2.0 END AS q3 FROM s""",
+    "calls",
+)
+def vst_quality_boxes_by_kind(calls):
+    return S.quality_boxes(calls, by_kind=True)
+
+
 @query(
     f"""WITH {_BL}
 SELECT s.ord, a.qname, CAST(CASE WHEN (a.flag & 16) > 0 THEN 49 - (qs + t - rs) ELSE qs + t - rs END AS BIGINT) AS from5, CAST(49 - CASE WHEN (a.flag & 16) > 0 THEN 49 - (qs + t - rs) ELSE qs + t - rs END AS BIGINT) AS from3

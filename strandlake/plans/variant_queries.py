@@ -221,11 +221,28 @@ def ann_is_variable(sites, calls):
     return A.is_variable(sites, calls, ["S1", "S3", "S5"]).select("ord", "variable", F.size("filters").alias("flagged"))
 
 
-@query("SELECT s.ord, CASE WHEN n >= 6 THEN k >= 2 AND top / CAST(n AS DOUBLE) <= 0.8 END AS variable FROM sites s LEFT JOIN (SELECT ord, sum(d) AS n, max(d) AS top, count_if(d >= 3) AS k FROM " + _DEPTHS.format("WHERE sample IN ('S1', 'S3', 'S5')") + " GROUP BY ord) USING (ord)", "sites", "calls")
+@query("SELECT s.ord, CASE WHEN n >= 6 AND k > 0 THEN k >= 2 AND top / CAST(n AS DOUBLE) <= 0.8 END AS variable FROM sites s LEFT JOIN (SELECT ord, sum(d) AS n, max(d) AS top, count_if(d >= 3) AS k FROM " + _DEPTHS.format("WHERE sample IN ('S1', 'S3', 'S5')") + " GROUP BY ord) USING (ord)", "sites", "calls")
 def ann_is_variable_by_depth(sites, calls):
     return A.is_variable_by_depth(sites, calls, ["S1", "S3", "S5"], max_maf=0.8).select("ord", "variable")
 
 
+@query(
+    """WITH a AS (SELECT ord, sample, unnest(depths) AS d, unnest(range(0, len(depths))) AS i FROM calls WHERE sample IN ('S1', 'S2')),
+e AS (SELECT ord, sample, sum(d) AS n, max(d) AS top, count_if(d >= 3) AS k, bool_or(i = 0 AND d >= 3) AS r FROM a GROUP BY ord, sample),
+v AS (SELECT ord, CASE WHEN n >= 6 AND k > 0 THEN NOT (k = 1 AND r) AND top / CAST(n AS DOUBLE) <= 0.95 END AS x FROM e)
+SELECT s.ord, CASE WHEN c = 2 THEN one END AS one, CASE WHEN c = 2 THEN each END AS each FROM sites s LEFT JOIN (SELECT ord, count(x) AS c, bool_or(x) AS one, bool_and(x) AS each FROM v GROUP BY ord) USING (ord)""",
+    "sites", "calls",
+)
+def ann_is_variable_by_depth_of_samples(sites, calls):
+    told = lambda in_all, name: A.is_variable_by_depth(sites, calls, ["S1", "S2"], max_maf=0.95, in_union=False, in_all=in_all, reference_free=False).select("ord", F.col("variable").alias(name))
+    return told(False, "one").join(told(True, "each"), "ord")
+
+
+@query(f"SELECT s.ord, CAST(count(o.ord) > 0 AS INT) AS flagged FROM sites s LEFT JOIN (SELECT x.ord, chrom, pos FROM sites x JOIN (SELECT ord, max(d) / nullif(CAST(sum(d) AS DOUBLE), 0) AS m FROM {_DEPTHS.format('')} GROUP BY ord) c ON x.ord = c.ord WHERE m <= 0.7) o ON s.chrom = o.chrom AND abs(s.pos - o.pos) <= 185 AND s.pos <> o.pos GROUP BY s.ord", "sites", "calls")
+def ann_close_to_varied(sites, calls):
+    return _annotated(A.close_to_varied(sites, calls, 185, 0.7))
+
+
 @query("SELECT s.ord, CAST(coalesce(p >= 40, false) AS INT) AS flagged FROM sites s LEFT JOIN (SELECT ord, floor(count_if(coalesce(a1 <> a2, false)) * 100.0 / count(*)) AS p FROM calls WHERE called GROUP BY ord) USING (ord)", "sites", "calls")
 def ann_het_in_samples(sites, calls):
     return _annotated(A.het_in_samples(sites, calls, 40))
