@@ -101,3 +101,11 @@ def oligo_segments(hits: DataFrame) -> DataFrame:
     """Trim segments of reads from hits of oligos stretched to the whole oligo."""
     s = F.struct(F.lit("vector").alias("kind"), F.least("q_start", "q_end").alias("start"), F.greatest("q_start", "q_end").alias("end"))
     return elongate(hits).groupBy("query").agg(F.array_sort(F.collect_list(s)).alias("segments"))
+
+
+def adapter_segments(hits: DataFrame) -> DataFrame:
+    """Trim segments from the first base of an adapter, stretched to the whole adapter, to the read's 3' end.
+
+    The segment of the leftmost hit holds those of all others, so a read has one."""
+    start = F.min(F.least("q_start", "q_end"))
+    return elongate(hits).groupBy("query").agg(F.array(F.struct(F.lit("other").alias("kind"), start.alias("start"), (F.max("q_len") - 1).alias("end"))).alias("segments"))

@@ -56,6 +56,17 @@ def check_interleaved(df: DataFrame) -> DataFrame:
     return pairs.where((F.col("names") != 1) | (F.col("reads") != 2) | (F.col("directions") != F.array(F.lit("fwd"), F.lit("rev"))))
 
 
+def group_pairs(df: DataFrame, size: int, template: str = "template") -> DataFrame:
+    """Groups of size neighbours in order of ord: adds n, group_no and problem, which tells groups whose
+    names differ and a last group that is too small; it is null in sound groups, and for size 1."""
+    rows = index_rows(df).withColumn("group_no", F.floor(F.col("n") / size))
+    if size == 1:
+        return rows.withColumn("problem", F.lit(None).cast("string"))
+    w = Window.partitionBy("group_no")
+    differ = F.coalesce(F.min(template).over(w) != F.max(template).over(w), F.lit(False))
+    return rows.withColumn("problem", F.when(F.count("*").over(w) < size, "fewer reads").when(differ, "names differ"))
+
+
 def deinterleave(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = index_rows(df)
     return numbered.where("n % 2 = 0").drop("n"), numbered.where("n % 2 = 1").drop("n")

@@ -201,6 +201,20 @@ def trm_oligo_segments(hits):
     return got.select("query", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
+@query("SELECT query, CAST(min(least(q_start, q_end) - least(least(s_start, s_end), least(q_start, q_end))) AS INT) AS s, CAST(159 AS INT) AS e FROM hits WHERE identity >= 90 GROUP BY query", "hits")
+def trm_adapters(hits):
+    got = H.adapter_segments(hits.where("identity >= 90")).select("query", F.explode("segments").alias("x"))
+    return got.select("query", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+
+
+@query("WITH g AS (SELECT name, pair, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 4.0) AS BIGINT) AS group_no FROM reads), c AS (SELECT group_no, count(*) AS n, min(pair // 3) AS a, max(pair // 3) AS b FROM g GROUP BY group_no) SELECT name, group_no, CASE WHEN n < 4 THEN 'fewer reads' WHEN a <> b THEN 'names differ' END AS problem FROM g JOIN c USING (group_no)", "reads")
+def jon_group_pairs(reads):
+    from ..operators.pairs import group_pairs
+
+    rows = reads.select("name", "ord", F.floor(F.col("pair") / 3).alias("template"))
+    return group_pairs(rows, 4).select("name", "group_no", "problem")
+
+
 @query("SELECT qname, CAST(e + 1 AS INT) AS start, CAST(99 AS INT) AS \"end\" FROM (SELECT query AS qname, arg_max(q_end, q_end) AS e FROM hits WHERE q_start = 0 GROUP BY query) WHERE e < 99", "hits")
 def trm_chimeras(hits):
     rows = hits.select(F.col("query").alias("qname"), "q_start", "q_end", F.lit(100).alias("length"), F.col("part_no").alias("ord"))
