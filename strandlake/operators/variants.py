@@ -80,9 +80,14 @@ def inbreeding(calls: DataFrame, min_calls: int = MIN_CALLS) -> DataFrame:
     return both.select("ord", (1 - F.col("obs_het") / F.when(F.col("exp_het") != 0, F.col("exp_het"))).alias("f"))
 
 
+def depths_of(calls: DataFrame) -> Column:
+    """Reads of each allele of a call; calls without depths have those of the reference and of one alternative."""
+    return F.col("depths") if "depths" in calls.columns else F.array("rd", "ad")
+
+
 def allele_depths(calls: DataFrame, *by: str) -> DataFrame:
     """ord, allele, reads: the reads of each allele over all samples (or by more columns, such as sample)."""
-    each = calls.select("ord", *by, F.posexplode("depths").alias("allele", "reads"))
+    each = calls.select("ord", *by, F.posexplode(depths_of(calls)).alias("allele", "reads"))
     return each.groupBy("ord", *by, "allele").agg(F.sum("reads").alias("reads"))
 
 
@@ -157,7 +162,7 @@ def low_evidence_alleles(calls: DataFrame, threshold: float = 0.9999, method: st
     hw: p / (p + 0.5^(n-1) (1-p)), p the allele's frequency, n the reads of this allele alone; sites below min_calls lose all
     calls.  ril_self: paa / (paa + 0.5^n (1 - 2 paa)), paa = (2^g - 1) / 2^(g+1).  Adds outcome.
     """
-    reads = F.get("depths", F.col("a1"))
+    reads = F.get(depths_of(calls), F.col("a1"))
     if method == "hw":
         counts = allele_counts(calls).withColumn("total", F.sum("n").over(Window.partitionBy("ord")))
         enough = calls.groupBy("ord").agg((F.count_if("called") >= min_calls).alias("enough"))
