@@ -59,6 +59,22 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, most:
     return known.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(n) * most <= total), keys))
 
 
+def join_salted(rows: DataFrame, table: DataFrame, key: str, spread: str, most: int = 4096, share: int = 256) -> DataFrame:
+    """Inner join of rows with a table of one row a key, no key's rows in one task and nothing of the table broadcast.
+
+    A share is 1 / most of all rows, or share rows where that is more.  Keys that more rows name are fewer
+    than most; only these keys are broadcast, and their rows are dealt by the hash of spread to one copy of
+    the table's row for each share, less than 2 * most copies in all.  A null key joins nothing.
+    """
+    counts = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "key-counts")
+    unit = max(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // most, share)
+    hot = F.broadcast(counts.where(F.col("n") > unit).select(key, F.ceil(F.col("n") / unit).cast("int").alias("__shares")))
+    shares = F.coalesce("__shares", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__share", F.pmod(F.xxhash64(spread), shares).cast("int")).drop("__shares")
+    copies = table.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
+    return dealt.join(copies, [key, "__share"]).drop("__share")
+
+
 def utf8_bytes(text: Column) -> Column:
     """Bytes of the text in UTF-8; a null text has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
