@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise, scratch_dir
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -21,15 +21,18 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) to one row (u, root) per node that is not the smallest of its component.
 
-    Ends when a round changes no edge; each round is written to the shared folder, so lineage stays
-    short.  Minima are combined before each shuffle; the joins are plain inner joins, whose skewed
-    partitions Spark splits.  Null or equal ends are no links.
+    Ends when a round changes no edge; each round is written to the shared folder and the one before
+    removed, so lineage stays short.  Minima are combined before each shuffle; the joins are plain inner
+    joins, whose skewed partitions Spark splits.  Null or equal ends are no links.
     """
-    edges = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    spark, folder = edges.sparkSession, scratch_dir(edges.sparkSession, "edges")
+    edges = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges", folder)
     seen = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark[0] == 0 or mark == seen:
             return edges.withColumnRenamed("v", "root")
         seen = mark
-        edges = materialise(_stars(edges), "edges")
+        last, folder = folder, scratch_dir(spark, "edges")
+        edges = materialise(_stars(edges), "edges", folder)
+        discard(spark, last)

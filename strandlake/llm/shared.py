@@ -36,13 +36,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here."""
-    path = scratch_dir(df.sparkSession, label)
+def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder, or one within it, and read it back: lineage ends here."""
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that scratch_dir gave, once all that is made from its tables has been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,14 +65,14 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, most:
     return known.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(n) * most <= total), keys))
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, spread: str, most: int = 4096, share: int = 256) -> DataFrame:
+def join_salted(rows: DataFrame, table: DataFrame, key: str, spread: str, most: int = 4096, share: int = 256, folder: str | None = None) -> DataFrame:
     """Inner join of rows with a table of one row a key, no key's rows in one task and nothing of the table broadcast.
 
     A share is 1 / most of all rows, or share rows where that is more.  Keys that more rows name are fewer
     than most; only these keys are broadcast, and their rows are dealt by the hash of spread to one copy of
     the table's row for each share, less than 2 * most copies in all.  A null key joins nothing.
     """
-    counts = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "key-counts")
+    counts = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), "key-counts", folder)
     unit = max(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // most, share)
     hot = F.broadcast(counts.where(F.col("n") > unit).select(key, F.ceil(F.col("n") / unit).cast("int").alias("__shares")))
     shares = F.coalesce("__shares", F.lit(1))
