@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import mean_code
@@ -87,8 +87,8 @@ def longest_segment(segments: Column) -> Column:
     return F.array_max(keyed)["s"]
 
 
-def pair_of_title(title: Column) -> Column:
-    """Struct of template name and direction (fwd, rev, null where no rule matches).
+def pair_of_title(title: Column, strict: bool = False) -> Column:
+    """Struct of template name and direction (fwd, rev, null where no rule matches, or an error if strict).
 
     Three rules in turn: name then / or | or backslash then digits; name, white space, digits, colon;
     name, dot, word character.  1 or f is forward, 2 or r reverse.
@@ -97,9 +97,30 @@ def pair_of_title(title: Column) -> Column:
     name = F.coalesce(*[F.when(title.rlike(r), F.regexp_extract(title, r, 1)) for r in rules])
     mark = F.coalesce(*[F.when(title.rlike(r), F.regexp_extract(title, r, 2)) for r in rules])
     direction = F.when(mark.isin("1", "f"), "fwd").when(mark.isin("2", "r"), "rev")
+    if strict:
+        direction = F.coalesce(direction, F.raise_error(F.concat(F.lit("no pair direction in title: "), F.coalesce(title, F.lit("null")))))
     return F.struct(name.alias("template"), direction.alias("direction"))
 
 
+def guess_fastq_version(reads: DataFrame, longest: int = 250) -> DataFrame:
+    """One row, version: fastq (Sanger) where any quality letter is below 64, else fastq-illumina; an error
+    where the letters don't tell and a read is longer than longest.  All reads are looked at; without
+    qualities it is fastq-illumina."""
+    found = reads.agg(F.min(F.array_min(decode_quality(F.col("qual"), 0))).alias("low"), F.max(F.length("seq")).alias("n"))
+    unclear = F.raise_error(F.lit(f"reads longer than {longest} and no quality letter below 64: the version can't be told"))
+    return found.select(F.when(F.col("low") < 64, "fastq").when(F.col("n") > longest, unclear).otherwise("fastq-illumina").alias("version"))
+
+
+def with_letters(reads: DataFrame, seq: Column | None = None, qual: Column | None = None, name: Column | None = None) -> DataFrame:
+    """Reads with another sequence, qualities or name; an error where there are qualities and their number
+    is not the sequence's."""
+    new = {c: x for c, x in (("seq", seq), ("qual", qual), ("name", name)) if x is not None}
+    out = reads.withColumns(new)
+    fits = F.col("qual").isNull() | F.coalesce(F.length("seq") == F.length("qual"), F.lit(False))
+    checked = F.when(fits, F.col("qual")).otherwise(F.raise_error(F.concat(F.lit("qualities don't fit the sequence of "), F.coalesce("name", F.lit("null")))))
+    return out.withColumn("qual", checked)
+
+
 def make_flag(bits: list[str]) -> int:
     return sum(FLAG_BITS[b] for b in set(bits))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import index_rows
 from .windows import range_join
 
 #: IUPAC codes of two bases.
@@ -66,9 +67,25 @@ def rqtl_genotypes(calls: DataFrame) -> DataFrame:
     )
 
 
-def marker_matrix(codes: DataFrame) -> DataFrame:
-    """A row per sample: its parental codes at the markers in order of ord, - where it has none."""
-    markers = codes.groupBy().agg(F.array_sort(F.collect_set("ord")).alias("m"))
-    rows = codes.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("ord", F.coalesce("code", F.lit("-")).alias("c")))).alias("x"))
-    wide = rows.crossJoin(F.broadcast(markers))
-    return wide.select("sample", F.array_join(F.transform("m", lambda o: F.coalesce(F.try_element_at("x", o), F.lit("-"))), "").alias("codes"))
+def _filled(cells: Column, at: str, text: str, width: Column) -> Column:
+    """Texts of cells, ascending by their places, in a row; - stands width times for each place between them that has none."""
+    before = lambda i: F.when(i > 0, F.get(cells, i - 1)[at]).otherwise(F.lit(-1))
+    return F.array_join(F.transform(cells, lambda c, i: F.concat(F.repeat(F.lit("-"), ((c[at] - before(i) - 1) * width).cast("int")), c[text])), "")
+
+
+def marker_matrix(codes: DataFrame, block: int = 1000) -> DataFrame:
+    """A row per sample: its parental codes at the markers in order of ord, - where it has none.
+
+    Markers are numbered in parallel; codes are put together in blocks of markers, then the blocks of a
+    sample, so no task holds all samples' codes.  The result's texts are as long as there are markers.
+    """
+    numbered = index_rows(codes.select("ord").distinct(), "k")
+    total = F.broadcast(numbered.agg(F.count("*").alias("total")))
+    cell = F.struct((F.col("k") % block).alias("k"), F.coalesce("code", F.lit("-")).alias("code"))
+    blocks = codes.join(numbered, "ord").groupBy("sample", F.expr(f"k div {block}").alias("b")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    size = F.least(F.lit(block), F.col("total") - F.col("b") * block)
+    rest = F.repeat(F.lit("-"), (size - 1 - F.element_at("cells", -1)["k"]).cast("int"))
+    blocks = blocks.crossJoin(total).select("sample", "total", "b", F.concat(_filled(F.col("cells"), "k", "code", F.lit(1)), rest).alias("text"))
+    samples = blocks.groupBy("sample", "total").agg(F.array_sort(F.collect_list(F.struct("b", "text"))).alias("blocks"))
+    behind = F.greatest(F.lit(0), F.col("total") - (F.element_at("blocks", -1)["b"] + 1) * block)
+    return samples.select("sample", F.concat(_filled(F.col("blocks"), "b", "text", F.lit(block)), F.repeat(F.lit("-"), behind.cast("int"))).alias("codes"))

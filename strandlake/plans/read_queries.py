@@ -93,8 +93,7 @@ def src_guess_type(reads):
 
 @query("SELECT CASE WHEN min(ascii(substr(qual, i, 1))) < 64 THEN 'fastq' ELSE 'fastq-illumina' END AS version FROM reads, LATERAL (SELECT unnest(range(1, length(qual) + 1)) AS i)")
 def src_guess_fastq_version(reads):
-    low = reads.agg(F.min(F.array_min(R.decode_quality(F.col("qual"), 0))).alias("m"))
-    return low.select(F.when(F.col("m") < 64, "fastq").otherwise("fastq-illumina").alias("version"))
+    return R.guess_fastq_version(reads)
 
 
 # Filters -------------------------------------------------------------------------------------------

@@ -168,3 +168,30 @@ def test_write_reads(spark, tmp_path):
     files = sorted((tmp_path / "out").glob("part-*.gz"))
     text = "".join(gzip.decompress(f.read_bytes()).decode() for f in files)
     assert text == FASTQ.replace("+r2", "+")
+
+
+def test_fastq_version(spark):
+    version = lambda *rows: R.guess_fastq_version(spark.createDataFrame(list(rows), "seq string, qual string")).collect()[0].version
+    assert version(("ACT", "hhh"), ("AC", "h!")) == "fastq"
+    assert version(("ACT", "hhh"), ("A" * 250, "h" * 250), (None, None)) == "fastq-illumina"
+    assert version(("A" * 251, "h" * 251), ("A", "!")) == "fastq"
+    with pytest.raises(Exception, match="can't be told"):
+        version(("A" * 251, "h" * 251))
+
+
+def test_titles_without_direction_are_errors_if_strict(spark):
+    title = F.col("title")
+    assert one(spark, R.pair_of_title(title, strict=True), title="read/1").direction == "fwd"
+    for bad in ("read/3", "read"):
+        assert one(spark, R.pair_of_title(title), title=bad).direction is None
+        with pytest.raises(Exception, match="no pair direction"):
+            one(spark, R.pair_of_title(title, strict=True), title=bad)
+
+
+def test_copies_with_other_letters(spark):
+    reads = spark.createDataFrame([("r", "ACTG", "hhhh"), ("f", "ACTG", None)], "name string, seq string, qual string")
+    cut = R.with_letters(reads, F.substring("seq", 1, 2), F.substring("qual", 1, 2), F.concat("name", F.lit("_cut"))).orderBy("name").collect()
+    assert [tuple(r) for r in cut] == [("f_cut", "AC", None), ("r_cut", "AC", "hh")]
+    assert R.with_letters(reads.where("qual IS NULL"), F.lit("A")).count() == 1
+    with pytest.raises(Exception, match="don't fit"):
+        R.with_letters(reads, F.lit("A")).collect()

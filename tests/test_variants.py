@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import alignments as B
-from strandlake.operators import annotate, hits, linkage, windows
+from strandlake.operators import annotate, export, hits, linkage, windows
 from strandlake.operators import variants as V
 from strandlake.sources import vcf
 
@@ -114,3 +114,12 @@ def test_vcf_round_trip(spark, tmp_path):
     vcf.write_vcf(head, body.coalesce(1), (tmp_path / "out").as_uri())
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert "20\t14370\trs1\tG\tA\t29.0\tPASS\t.\tGT\t0/0\t1/0" in text and text.startswith("##fileformat")
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 1000])
+def test_marker_matrix_fills_places_without_codes(spark, block):
+    cells = {"S1": {0: "A", 3: "B", 9: None}, "S2": {7: "-", 8: "H"}, "S3": {12: "A"}, "S4": {n: "AB"[n % 2] for n in (0, 3, 7, 8, 9, 12)}}
+    codes = spark.createDataFrame([(o, s, c) for s, row in cells.items() for o, c in row.items()], "ord long, sample string, code string")
+    want = {s: "".join(row.get(o) or "-" for o in (0, 3, 7, 8, 9, 12)) for s, row in cells.items()}
+    assert {r.sample: r.codes for r in export.marker_matrix(codes, block).collect()} == want
+    assert export.marker_matrix(codes.where("ord < 0"), block).count() == 0
