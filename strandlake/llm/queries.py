@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .decontaminate import op9_prefix_filtered_decontamination
 from .exact_dedup import op5_lsm_exact_dedup
+from .kmeans import op11_centroid_gemm
 from .line_dedup import op4_line_windows
+from .merkle import op12_merkle_manifest
 from .mixing import op3_rake_mixture
 from .quality import op8_factorisation_machine
 from .sharding import op1_histogram_sort
@@ -24,4 +26,6 @@ QUERIES = {
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_prefix_filtered_decontamination": op9_prefix_filtered_decontamination,
     "op10_warc_index_first": op10_warc_index_first,
+    "op11_centroid_gemm": op11_centroid_gemm,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
