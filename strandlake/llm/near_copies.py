@@ -191,14 +191,14 @@ def sifted(docs: DataFrame, known: Filter, inside: bool = True) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _similar(batch, step: int = 256):
+def similar_rows(batch, shingle: int = SHINGLE, step: int = 256):
     """Which rows (u, v, text_u, text_v) are similar enough; sets of step rows are held at a time."""
     top, bottom = SIMILARITY
     for low in range(0, batch.num_rows, step):
         u, v, text_u, text_v = (c.to_pylist() for c in batch.slice(low, step).columns)
         texts = dict(zip(u, text_u)) | dict(zip(v, text_v))
         sets, names = {}, list(texts)
-        for at, row, value, n_rows in shingle_sets(list(texts.values())):
+        for at, row, value, n_rows in shingle_sets(list(texts.values()), shingle):
             cuts = np.searchsorted(row, np.arange(n_rows + 1)).tolist()
             sets |= {names[at + k]: value[x:y] for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:]))}
         for pair in zip(u, v):
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(list(_similar(batch)), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(list(similar_rows(batch)), pa.bool_()))
 
     one, two = (texts.select(F.col("sig").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
     # Many pairs may name one v, so texts of u come last: they are not moved again.

@@ -7,6 +7,7 @@ from .exact_dedup import op5_lsm_exact_dedup
 from .kmeans import op11_centroid_gemm
 from .line_dedup import op4_line_windows
 from .merkle import op12_merkle_manifest
+from .minhash import op13_minhash_multi_index
 from .mixing import op3_rake_mixture
 from .quality import op8_factorisation_machine
 from .sharding import op1_histogram_sort
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_warc_index_first": op10_warc_index_first,
     "op11_centroid_gemm": op11_centroid_gemm,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minhash_multi_index": op13_minhash_multi_index,
 }
