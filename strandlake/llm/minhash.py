@@ -24,6 +24,8 @@ CHUNKS, CHUNK, ERRORS = 13, 6, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 #: Pairs farther apart than this aren't confirmed.
 FARTHEST = 34
+#: Bytes of a set's bitmap of parities.
+PARITY = 128
 #: Odd multipliers, one for each position.
 _MULTIPLIERS = _mix(np.arange(1, CHUNKS * CHUNK + 1, dtype=np.uint64) * np.uint64(ROLL[0])) | np.uint64(1)
 
@@ -40,6 +42,19 @@ def signatures(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
     return out
 
 
+def parities(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """n_rows x PARITY bytes: bit k tells whether an odd number of a set's shingles fall on k.  Two of these
+    never differ in more bits than the sets differ in shingles."""
+    out, bits = np.zeros((n_rows, PARITY), np.uint8), 8 * PARITY
+    for low in range(0, n_rows, 1024):
+        a, b = np.searchsorted(row, (low, low + 1024))
+        n = min(1024, n_rows - low)
+        place = (row[a:b] - low) * bits + (value[a:b] & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=n * bits) & 1
+        out[low : low + n] = np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little")
+    return out
+
+
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
     """rows x keys: a hash of each chunk without each choice of ERRORS of its positions.
 
@@ -56,7 +71,8 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, h (hash of the text), s1 and s2 (which set it has, in 128 bits), size, signature of each row."""
+    """doc_id, h (hash of the text), s1 and s2 (which set it has, in 128 bits), size, marks (signature and
+    parities) of each row."""
 
     def run(batches):
         for batch in batches:
@@ -68,48 +84,60 @@ def _prints(docs: DataFrame, folder: str) -> DataFrame:
                 for salt in ROLL:
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(value + np.uint64(salt)), dtype=np.uint64)))
                     got.append((sums[ends] - sums[ends - size]).view(np.int64))
-                for x, y in zip(columns, (*got, size, signatures(row, value, n_rows))):
+                marks = np.concatenate((signatures(row, value, n_rows), parities(row, value, n_rows)), axis=1)
+                for x, y in zip(columns, (*got, size, marks)):
                     x.append(y)
             if not columns[0]:
                 continue
             s1, s2, size, marks = map(np.concatenate, columns)
             marks = pa.array([m.tobytes() for m in marks], pa.binary())
             rest = [pa.array(s1), pa.array(s2), pa.array(size.astype(np.int64)), marks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "h", "s1", "s2", "size", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "h", "s1", "s2", "size", "marks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    schema = f"doc_id {kind}, h bigint, s1 bigint, s2 bigint, size bigint, signature binary"
+    schema = f"doc_id {kind}, h bigint, s1 bigint, s2 bigint, size bigint, marks binary"
     return materialise(read.mapInArrow(run, schema), "minhash-prints", folder)
 
 
-def _matrix(signature: list | pa.Array) -> np.ndarray:
-    parts = signature if isinstance(signature, list) else signature.to_pylist()
-    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
+def _signatures(marks: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)[:, :-PARITY]
+
+
+def _parities(marks: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)[:, -PARITY:]).view("<u8")
+
+
+def _maybe(signature: tuple, parity: tuple, size: tuple) -> np.ndarray:
+    """Which pairs of sets, given by two arrays each, may be links: by signatures and by parities."""
+    top, bottom = SIMILARITY
+    near = (signature[0] != signature[1]).sum(axis=1) <= FARTHEST
+    apart = np.bitwise_count(parity[0] ^ parity[1]).sum(axis=1, dtype=np.int64)
+    return near & (apart * (top + bottom) <= (size[0] + size[1]) * (bottom - top))
 
 
 def _shared_keys(sets: DataFrame, folder: str) -> DataFrame:
-    """id, size, key: of each set the keys of its chunks that another set has too.
+    """id, size, key, at (which of a set's keys): of each set the keys that another set has too.
 
     A filter of 16 MB at most leaves out nearly all keys of one set only before anything is moved."""
 
     def every(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(_matrix(batch.column(0))).ravel().view(np.int64))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(_signatures(batch.column(0).to_pylist())).ravel().view(np.int64))], ["key"])
 
-    keys = sets.select("signature").mapInArrow(every, "key long")
+    keys = sets.select("marks").mapInArrow(every, "key long")
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     many = materialise(many, "minhash-many", folder)
     known = sets.sparkSession.sparkContext.broadcast(Filter(many, many.count()))
 
     def some(batches):
         for batch in batches:
-            keys = chunk_keys(_matrix(batch.column(2)))
+            keys = chunk_keys(_signatures(batch.column(2).to_pylist()))
             row, at = np.nonzero(known.value.has(keys))
             taken = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(keys[row, at].view(np.int64))], ["id", "size", "key"])
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(keys[row, at].view(np.int64)), pa.array(at)], ["id", "size", "key", "at"])
 
-    found = sets.select("id", "size", "signature").mapInArrow(some, "id long, size long, key long")
+    found = sets.select("id", "size", "marks").mapInArrow(some, "id long, size long, key long, at long")
     return materialise(found, "minhash-keys", folder)
 
 
@@ -122,15 +150,16 @@ def _alike(a, b):
 def _near(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Of the pairs (u, v) those whose signatures are not too far apart."""
     pairs = materialise(pairs, "minhash-stars", folder)
-    one, two = (sets.select(F.col("id").alias(c), F.col("signature").alias(f"s_{c}")) for c in "uv")
+    one, two = (sets.select(F.col("id").alias(c), F.col("marks").alias(f"m_{c}"), F.col("size").alias(f"n_{c}")) for c in "uv")
 
     def run(batches):
         for batch in batches:
-            near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1) <= FARTHEST
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(near))
+            marks, size = [batch.column(k).to_pylist() for k in (2, 3)], tuple(batch.column(k).to_numpy() for k in (4, 5))
+            use = _maybe(tuple(map(_signatures, marks)), tuple(map(_parities, marks)), size)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(use))
 
     both = join_salted(pairs.join(one, "u"), two, "v", "u", folder=folder)
-    return both.select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "m_u", "m_v", "n_u", "n_v").mapInArrow(run, "u long, v long")
 
 
 def _row_key() -> Column:
@@ -162,19 +191,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str)
     return links
 
 
-def _apart_in_units(rows: list[np.ndarray], step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a unit's sets that lie in different components and may be links."""
-    unit, side, ids, root, size, signature = rows
-    marks, found = _matrix(signature.tolist()), []
+def _apart_in_units(rows: list[np.ndarray], step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit's sets that lie in different components and may be links; of a pair's common keys only
+    the first reports it."""
+    unit, side, ids, root, size, at, marks = rows
+    marks = marks.tolist()
+    signature, parity, found = _signatures(marks), _parities(marks), [np.zeros((0, 2), np.int64)]
     for i, j in tile_pairs(unit, side):
         use = (root[i] != root[j]) & _alike(size[i], size[j])
         i, j = i[use], j[use]
         for k in range(0, len(i), step):
             a, b = i[k : k + step], j[k : k + step]
-            near = (marks[a] != marks[b]).sum(axis=1) <= FARTHEST
-            a, b = ids[a[near]], ids[b[near]]
+            use = _maybe((signature[a], signature[b]), (parity[a], parity[b]), (size[a], size[b]))
+            a, b = a[use], b[use]
+            first = (chunk_keys(signature[a]) == chunk_keys(signature[b])).argmax(axis=1) == at[a]
+            a, b = ids[a[first]], ids[b[first]]
             found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
-    pairs = np.unique(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=0)
+    pairs = np.concatenate(found)
     return pairs[:, 0], pairs[:, 1]
 
 
@@ -189,10 +222,11 @@ def minhash_components(docs: DataFrame, tile: int = 2048) -> DataFrame:
        hash at each of 78 positions.
     2. Multi-index join: signatures are split into 13 chunks of 6 positions.  Two at most 25 positions apart
        have a chunk with at most one error, and meet at one of the six keys that leave a position out: that
-       is sure.  At a similarity of 0.8, a position differs with probability 0.2: 99 % of such pairs are
+       is sure.  At a similarity of 0.8, a position differs with probability 0.2: 99.6 % of such pairs are
        within 25, and as pairs farther apart meet wherever a chunk has at most one error, all but 1 in 10^6
-       of the pairs at exactly 0.8 meet (0.345^13), and of those at 0.85 all but 1 in 10^9.  Of these,
-       signatures more than 34 apart are passed over (again 1 in 10^6 at exactly 0.8).
+       of the pairs at exactly 0.8 meet (0.345^13), and of those at 0.85 all but 4 in 10^9.  Of these,
+       signatures more than 34 apart are passed over (6 in 10^7 at exactly 0.8), and, surely no links,
+       those whose bitmaps of parities differ in more bits than similar sets can differ in shingles.
     3. Each set is compared with the least and the last of those with which it shares a key; links are
        confirmed on the sets of whole texts (shingles by 64 bits).  Sets that share a key and are still in
        different components are compared in tiles, and what may be a link is confirmed.
@@ -205,7 +239,7 @@ def minhash_components(docs: DataFrame, tile: int = 2048) -> DataFrame:
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     kept, work, stage = (scratch_dir(spark, f"minhash-{c}") for c in ("kept", "work", "stars"))
     prints = _prints(docs, kept)
-    row = F.min(F.struct("doc_id", "h", "size", "signature")).alias("row")
+    row = F.min(F.struct("doc_id", "h", "size", "marks")).alias("row")
     sets = prints.where("size > 0").groupBy("s1", "s2").agg(row, F.min("doc_id").alias("first"), F.count("*").alias("n"))
     sets = sets.select("s1", "s2", "row.*", "first", "n", F.monotonically_increasing_id().alias("id"))
     sets = materialise(sets, "minhash-sets", kept)
@@ -216,7 +250,7 @@ def minhash_components(docs: DataFrame, tile: int = 2048) -> DataFrame:
     lead = materialise(lead, "minhash-leads", work)
     stars = join_hot(keys, lead, ["key"], "n").select("id", "size", F.explode(F.array("least", "most")).alias("lead"))
     stars = stars.where((F.col("id") != F.col("lead.id")) & _alike(F.col("size"), F.col("lead.size")))
-    stars = stars.select(F.greatest("id", "lead.id").alias("u"), F.least("id", "lead.id").alias("v")).distinct()
+    stars = stars.select(F.col("id").alias("u"), F.col("lead.id").alias("v")).distinct()
     links = _confirmed(_near(stars, sets, stage), sets, docs, stage)
 
     first = connected_components(links).withColumnRenamed("u", "id")
@@ -226,10 +260,10 @@ def minhash_components(docs: DataFrame, tile: int = 2048) -> DataFrame:
     mixed = materialise(mixed.where("least <> most").select("key", "total"), "minhash-mixed", work)
     # Sizes of similar sets lie in the same class or in neighbouring ones.
     pop = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIMILARITY[1] / SIMILARITY[0])) + 1e-9).cast("int")
-    open_ = join_hot(rooted, mixed, ["key"], "total").join(sets.select("id", "signature"), "id")
-    open_ = open_.select(F.col("key").alias("band"), "total", pop.alias("pop"), F.col("id").alias("fp"), "root", "size", "signature")
+    open_ = join_hot(rooted, mixed, ["key"], "total").join(sets.select("id", "marks"), "id")
+    open_ = open_.select(F.col("key").alias("band"), "total", pop.alias("pop"), F.col("id").alias("fp"), "root", "size", "at", "marks")
     units = tiled_units(materialise(open_, "minhash-open", work), 1, tile)
-    more = materialise(compare_units(units, _apart_in_units).distinct(), "minhash-apart", work)
+    more = materialise(compare_units(units, _apart_in_units), "minhash-apart", work)
     more = _confirmed(more, sets, docs, scratch_dir(spark, "minhash-tiles"))
 
     roots = connected_components(first.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more))
