@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .exact_dedup import filter_bits, hit_filter, probe
 from .shared import discard, join_salted, materialise, scratch_dir
 from .simhash import compare_units, tile_pairs, tiled_units
 from .substring_dedup import ROLL, Filter, _mix, chunks, word_hashes
@@ -215,9 +216,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -
     """
     pairs = materialise(pairs, "near-pairs", folder)
     used = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    wanted = materialise(sets.join(used, "sig", "left_semi").select("sig", "h", row_key().alias("key")), "near-wanted", folder)
-    read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").select(row_key().alias("key"), "h", "text")
-    read = sifted(read, Filter(wanted.select("key"), wanted.count())).join(wanted, ["key", "h"]).dropDuplicates(["key", "h"])
+    wanted = materialise(sets.join(used, "sig", "left_semi").select("sig", "h", row_key().alias("digest")), "near-wanted", folder)
+    bits = filter_bits(wanted.count())
+    read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").select(row_key().alias("digest"), "h", "text")
+    read = probe(read, hit_filter(wanted, bits), bits).where("may_hit").drop("may_hit")
+    read = read.dropDuplicates(["digest", "h"]).join(wanted, ["digest", "h"])
     texts = materialise(read.select("sig", "text"), "near-texts", folder)
 
     def run(batches):
