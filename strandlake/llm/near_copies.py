@@ -26,7 +26,7 @@ SLOTS, WORDS = 1 << 19, 4
 _BITS = [f"b{k}" for k in range(WORDS)]
 
 
-def shingle_sets(texts: list, shingle: int = SHINGLE):
+def shingle_sets(texts: list | pa.Array, shingle: int = SHINGLE):
     """Of neighbouring texts at a time: number of the first, row (the text of each value, counted from
     it), value (distinct shingle hashes, ascending in each text), n_rows.
 
@@ -77,7 +77,7 @@ def _counters(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for _, _, value, _ in shingle_sets(batch.column(0).to_pylist()):
+            for _, _, value, _ in shingle_sets(batch.column(0)):
                 total += np.bincount(_slot(value), minlength=SLOTS)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
@@ -101,7 +101,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             columns = [[] for _ in range(4)]
-            for _, row, value, n_rows in shingle_sets(batch.column(2).to_pylist()):
+            for _, row, value, n_rows in shingle_sets(batch.column(2)):
                 size = np.bincount(row, minlength=n_rows)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(value + np.uint64(ROLL[1])), dtype=np.uint64)))
                 ends = np.cumsum(size)

@@ -204,9 +204,10 @@ def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFra
     def run(batches):
         slots = _Slots()
         for batch in batches:
-            texts, scores = batch.column(text_at).to_pylist(), []
-            for k in range(0, len(texts), 200):
-                scores.append(shared.value.score([features(t, slots) for t in texts[k : k + 200]]))
+            scores = []
+            for k in range(0, batch.num_rows, 200):
+                texts = batch.column(text_at).slice(k, 200).to_pylist()
+                scores.append(shared.value.score([features(t, slots) for t in texts]))
             found = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 

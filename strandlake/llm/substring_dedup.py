@@ -88,10 +88,19 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, h
 
 
-def chunks(texts: list, most: int = 1 << 18):
+def _each(texts, step: int = 256):
+    """Texts of a list, or of an Arrow column without having all of them as Python's strings at once."""
+    if isinstance(texts, list):
+        yield from texts
+        return
+    for k in range(0, len(texts), step):
+        yield from texts.slice(k, step).to_pylist()
+
+
+def chunks(texts: list | pa.Array, most: int = 1 << 18):
     """(number of the first, encoded texts) of neighbouring texts, about most bytes together."""
     at, held, size = 0, [], 0
-    for k, text in enumerate(texts):
+    for k, text in enumerate(_each(texts)):
         held.append((text or "").encode("utf-8", "replace"))
         size += len(held[-1])
         if size >= most or k + 1 == len(texts):
