@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reads import FLAG_BITS, has_flag
@@ -76,22 +76,46 @@ def flag_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array_compact(bits)).alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
 
 
-def position_depths(df: DataFrame) -> DataFrame:
-    """Reads over each covered position: ref, pos, depth, and depths with mapq above each threshold."""
-    rows = df.where(mapped()).select("ref", "mapq", F.explode(blocks(F.col("pos"), F.col("cigar"))).alias("b"))
-    rows = rows.select("ref", "mapq", F.explode(F.sequence("b.ref_start", "b.ref_end")).alias("pos"))
-    over = [F.count_if(F.col("mapq") > q).alias(f"over{q}") for q in MAPQS]
-    return rows.groupBy("ref", "pos").agg(F.count("*").alias("depth"), *over)
+def depth_runs(df: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Runs of neighbouring positions with equal depths: ref, start, end (not in it), depth (above 0), and the
+    depths of the reads with mapq above each threshold.
+
+    A block's ends are events that change the depths.  They are summed by position; bins of width positions
+    add theirs up, a running sum over a reference's bins gives the depths at which a bin begins, and one
+    within the bin those of its runs.  What is moved grows with the blocks and not with their bases, and
+    a task holds the events of one bin.
+    """
+    kinds = ["depth", *[f"over{q}" for q in MAPQS]]
+    counted = [F.lit(True), *[F.col("mapq") > q for q in MAPQS]]
+    rows = df.where(mapped()).select(
+        "ref", F.explode(blocks(F.col("pos"), F.col("cigar"))).alias("b"), *[F.coalesce(c, F.lit(False)).cast("long").alias(k) for k, c in zip(kinds, counted)]
+    )
+    ends = F.explode(F.array(F.struct(F.col("b.ref_start").alias("pos"), F.lit(1).alias("by")), F.struct((F.col("b.ref_end") + 1).alias("pos"), F.lit(-1).alias("by"))))
+    events = rows.select("ref", ends.alias("e"), *kinds).groupBy("ref", F.col("e.pos").alias("pos")).agg(*[F.sum(F.col("e.by") * F.col(k)).alias(k) for k in kinds])
+    events = events.withColumn("bin", F.floor(F.col("pos") / width))
+    bins = events.groupBy("ref", "bin").agg(F.min("pos").alias("first"), *[F.sum(k).alias(f"in_{k}") for k in kinds])
+    along = Window.partitionBy("ref").orderBy("bin")
+    before = [F.coalesce(F.sum(f"in_{k}").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"at_{k}") for k in kinds]
+    bins = bins.select("ref", "bin", F.lead("first").over(along).alias("following"), *before)
+    within = Window.partitionBy("ref", "bin").orderBy("pos")
+    found = events.withColumn("end", F.lead("pos").over(within)).withColumns({k: F.sum(k).over(within) for k in kinds}).join(bins, ["ref", "bin"])
+    found = found.select("ref", F.col("pos").alias("start"), F.coalesce("end", "following").alias("end"), *[(F.col(k) + F.col(f"at_{k}")).alias(k) for k in kinds])
+    return found.where("depth > 0")
+
+
+def _bases() -> Column:
+    return F.sum(F.col("end") - F.col("start")).alias("n")
 
 
 def coverage_distribution(df: DataFrame) -> DataFrame:
-    return position_depths(df).groupBy("depth").agg(F.count("*").alias("n"))
+    """(depth, n): how many positions that a read covers have each depth."""
+    return depth_runs(df).groupBy("depth").agg(_bases())
 
 
 def coverage_by_mapq(df: DataFrame) -> DataFrame:
     """(mapq, depth, n), mapq strictly greater."""
     each = F.explode(F.array(*[F.struct(F.lit(q).alias("mapq"), F.col(f"over{q}").alias("depth")) for q in MAPQS]))
-    return position_depths(df).select(each.alias("x")).groupBy("x.mapq", "x.depth").agg(F.count("*").alias("n"))
+    return depth_runs(df).select("start", "end", each.alias("x")).groupBy("x.mapq", "x.depth").agg(_bases())
 
 
 def genome_coverage(df: DataFrame, refs: DataFrame) -> DataFrame:

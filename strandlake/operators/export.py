@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import index_rows
+from .ranges import index_rows
 from .windows import range_join
 
 #: IUPAC codes of two bases.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import with_neighbour
+
 
 def duplicates(df: DataFrame, length: int | None = None, pair: str | None = None) -> DataFrame:
     """Adds is_first: the first read (or pair) by ord of each sequence (prefix).
@@ -26,8 +28,13 @@ def duplicates(df: DataFrame, length: int | None = None, pair: str | None = None
 
 def unique_adjacent(df: DataFrame, key: str, partition: list[str]) -> DataFrame:
     """Rows whose key differs from the row before, by ord within the partition."""
-    before = F.lag(key).over(Window.partitionBy(*partition).orderBy("ord"))
-    return df.withColumn("__b", before).where(~F.col(key).eqNullSafe(F.col("__b")) | F.col("__b").isNull()).drop("__b")
+    rows = with_neighbour(df, key, "__b", partition)
+    return rows.where(~F.col(key).eqNullSafe(F.col("__b.v")) | F.col("__b.v").isNull()).drop("__b")
+
+
+def pairwise(df: DataFrame, value: str, partition: list[str]) -> DataFrame:
+    """Adds following: the value of the next row by ord within the partition, null at its end."""
+    return with_neighbour(df, value, "following", partition, after=True).withColumn("following", F.col("following.v"))
 
 
 def head(df: DataFrame, n: int) -> DataFrame:

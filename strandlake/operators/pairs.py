@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import index_rows, run_numbers
+
 
 def flag_reads(df: DataFrame, predicate: Column, pair: list[str] | None = None, reverse: bool = False, failed_drags_pair: bool = True) -> DataFrame:
     """Adds passed.  reverse negates each read's result first; then all reads of a pair must pass, or
@@ -19,10 +21,8 @@ def flag_reads(df: DataFrame, predicate: Column, pair: list[str] | None = None,
 
 def group_adjacent(df: DataFrame, key: str = "template", partition: list[str] | None = None) -> DataFrame:
     """Adds group_no: runs of adjacent rows (by ord) with the same key; a null key is a run of its own.
-    partition (a file, a chromosome) bounds what one task orders."""
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy("ord")
-    fresh = F.coalesce(F.col(key) != F.lag(key).over(w), F.lit(True)).cast("int")
-    return df.withColumn("__new", fresh).withColumn("group_no", F.sum("__new").over(w)).drop("__new")
+    Runs end with a partition (a file, a chromosome); its rows lie in as many tasks as they need."""
+    return run_numbers(df, key, "group_no", partition or [])
 
 
 def match_pairs(df: DataFrame, template: str = "template") -> DataFrame:
@@ -31,23 +31,12 @@ def match_pairs(df: DataFrame, template: str = "template") -> DataFrame:
     return df.withColumn("route", F.when(n == 2, "pair").when(n == 1, "orphan").otherwise("discarded"))
 
 
-def index_rows(df: DataFrame, name: str = "n") -> DataFrame:
-    """A gapless number in order of ord, without one task ordering all rows: ranges are numbered in
-    parallel and the ranges' counts are added up."""
-    dealt = df.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("__part", F.spark_partition_id())
-    dealt = dealt.persist()
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy("ord")) - 1
-    return dealt.withColumn("__i", inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__i")).drop("__part", "__i", "__start")
-
-
 def interleave(forward: DataFrame, reverse: DataFrame) -> DataFrame:
-    """Two files' reads in turn: adds n (the pair) and side; the shorter file just ends earlier."""
+    """Two files' reads in turn: adds n (the pair) and side, whose order is the order of the reads; the shorter
+    file just ends earlier."""
     one = index_rows(forward).withColumn("side", F.lit(0))
     two = index_rows(reverse).withColumn("side", F.lit(1))
-    return one.unionByName(two).orderBy("n", "side")
+    return one.unionByName(two)
 
 
 def check_interleaved(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.reads import flag_names
 from ..operators import alignments as B
 from ..operators import hits as H
 from ..operators import pairs, stats
+from ..operators.ranges import rank_in
 from .views import view, with_views
 
 QUERIES: dict = {}
@@ -33,9 +34,7 @@ def bam_filter(a):
 
 @query("SELECT ord, row_number() OVER (PARTITION BY ref ORDER BY pos, ord) AS n FROM alignments WHERE ref IS NOT NULL", "alignments")
 def bam_sort(a):
-    from pyspark.sql import Window
-
-    return a.where("ref IS NOT NULL").select("ord", F.row_number().over(Window.partitionBy("ref").orderBy("pos", "ord")).cast("long").alias("n"))
+    return rank_in(a.where("ref IS NOT NULL").select("ref", "pos", "ord"), "ref", "n").select("ord", (F.col("n") + 1).alias("n"))
 
 
 @query("SELECT count(*) AS n FROM alignments WHERE ref = 'ref2' AND pos BETWEEN 500 AND 39999", "alignments")

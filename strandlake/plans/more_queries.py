@@ -243,7 +243,7 @@ def flt_features(hits):
 
 @query("SELECT r.name, row_number() OVER (ORDER BY a.ref NULLS LAST, a.pos NULLS FIRST, r.ord) AS n FROM reads r LEFT JOIN (SELECT 'read' || substr(qname, 2) AS name, min({'ref': ref, 'pos': pos}) AS p FROM alignments WHERE ref IS NOT NULL GROUP BY 1) b ON r.name = b.name LEFT JOIN LATERAL (SELECT b.p.ref AS ref, b.p.pos AS pos) a ON true", "reads", "alignments")
 def ord_sort_by_coordinate(reads, a):
-    from ..operators.pairs import index_rows
+    from ..operators.ranges import index_rows
 
     places = a.where(B.mapped()).withColumn("qname", F.concat(F.lit("read"), F.substring("qname", 2, 20)))
     best = places.groupBy(F.col("qname").alias("name")).agg(F.min(F.struct("ref", "pos")).alias("p"))
@@ -289,6 +289,6 @@ def ord_length(reads):
 
 @query("SELECT name, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 25.0) AS BIGINT) AS packet FROM reads", "reads")
 def ord_packets(reads):
-    from ..operators.pairs import index_rows
+    from ..operators.ranges import index_rows
 
     return index_rows(reads.select("name", "ord")).select("name", F.floor(F.col("n") / 25).alias("packet"))

@@ -310,9 +310,7 @@ def agg_count_seqs(reads):
 
 @query("SELECT name, lead(name) OVER (PARTITION BY descr ORDER BY ord) AS following FROM reads")
 def ord_pairwise(reads):
-    from pyspark.sql import Window
-
-    return reads.select("name", F.lead("name").over(Window.partitionBy("descr").orderBy("ord")).alias("following"))
+    return order.pairwise(reads.select("name", "descr", "ord"), "name", ["descr"]).select("name", "following")
 
 
 # Statistics ----------------------------------------------------------------------------------------

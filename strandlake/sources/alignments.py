@@ -57,7 +57,7 @@ def read_tabular(spark: SparkSession, path: str, columns: list[str] | None = Non
 def read_cigar_like(spark: SparkSession, path: str) -> DataFrame:
     """Lines cigar_like: query, length, start, end, strand, subject, the same four, score and more; ends become inclusive."""
     rows = spark.read.text(path).where(F.col("value").startswith("cigar_like:"))
-    f = F.split(F.trim(F.substring("value", 12, 10_000)), r"\s+")
+    f = F.split(F.trim(F.substr("value", F.lit(12))), r"\s+")
     return rows.select(
         f[0].alias("query"), f[1].cast("int").alias("q_len"), f[2].cast("int").alias("q_start"), (f[3].cast("int") - 1).alias("q_end"), f[4].alias("q_strand"),
         f[5].alias("subject"), f[6].cast("int").alias("s_len"), f[7].cast("int").alias("s_start"), (f[8].cast("int") - 1).alias("s_end"), f[9].alias("s_strand"),
