@@ -116,51 +116,6 @@ def oligo_hits(reads: DataFrame, oligos: list[tuple[str, str]], min_identity: fl
     return reads.select("name", "seq").mapInPandas(search, "query string, subject string, q_start int, q_end int, s_start int, s_end int, identity double, partial boolean")
 
 
-def smith_waterman(query: str, subject: str, match: int = 5, mismatch: int = -4, gap_open: float = 10, gap_extend: float = 0.5) -> list[tuple[int, int]]:
-    """Pairs of aligned places of the best local alignment with affine gaps."""
-    n, m = len(query), len(subject)
-    h, e, f = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            e[i, j] = max(e[i, j - 1] - gap_extend, h[i, j - 1] - gap_open)
-            f[i, j] = max(f[i - 1, j] - gap_extend, h[i - 1, j] - gap_open)
-            h[i, j] = max(0, h[i - 1, j - 1] + (match if query[i - 1] == subject[j - 1] else mismatch), e[i, j], f[i, j])
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    out = []
-    while i > 0 and j > 0 and h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (match if query[i - 1] == subject[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            out.append((int(i), int(j)))
-        elif h[i, j] == e[i, j]:
-            while j > 0 and h[i, j - 1] - gap_open != e[i, j]:
-                j -= 1
-            j -= 1
-        else:
-            while i > 0 and h[i - 1, j] - gap_open != f[i, j]:
-                i -= 1
-            i -= 1
-    return out[::-1]
-
-
-def amino_change(orf: str, reference: str, pos: int, ref: str, alt: str) -> tuple[str, str] | str | None:
-    """Amino acids of the reference and of the alternative at a place of the genome, through the alignment
-    of the frame with it; INDEL where lengths differ, None outside the frame."""
-    if len(ref) != len(alt):
-        return "INDEL"
-    place = {s: q for q, s in smith_waterman(orf.upper(), reference.upper())}.get(pos)
-    if place is None:
-        return None
-    codon = orf[place // 3 * 3 : place // 3 * 3 + 3].upper()
-    k = place % 3
-    changed = codon[:k] + alt.upper() + codon[k + 1 :]
-    return translate(codon), translate(changed)
-
-
-def severity(changes: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Adds severe: the substitution score of (aa1, aa2) in the given matrix table is below 0."""
-    return changes.join(F.broadcast(matrix), ["aa1", "aa2"], "left").withColumn("severe", F.col("score") < 0)
-
-
 def hit_features(hits: DataFrame) -> DataFrame:
     """Features of reads from hits: type, ends, strand and the subject, a list per query."""
     strand: Column = F.when((F.col("q_start") <= F.col("q_end")) == (F.col("s_start") <= F.col("s_end")), 1).otherwise(-1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignments as B
 from ..operators import export as E
+from ..operators import frames as FR
 from ..operators import hits as H
 from ..operators import linkage as L
 from ..operators import recombination as R
@@ -292,3 +293,66 @@ def ord_packets(reads):
     from ..operators.ranges import index_rows
 
     return index_rows(reads.select("name", "ord")).select("name", F.floor(F.col("n") / 25).alias("packet"))
+
+
+# Frames: each long read is a reference; its frame lacks 33 of its bases and, of every other read, is reversed.  Reads
+# in which the first bases of either part come again have none.
+
+_FRAMES = """u AS (SELECT ord, name AS chrom, upper(seq) AS s FROM reads WHERE len >= 500 AND instr(substr(upper(seq), 32), substr(upper(seq), 31, 40)) = 0 AND instr(substr(upper(seq), 215), substr(upper(seq), 214, 40)) = 0),
+f AS (SELECT ord, chrom, s, substr(s, 31, 150) || substr(s, 214, 150) AS laid FROM u)"""
+_SITES = """x AS (SELECT ord * 1000 + p AS ord, chrom, p AS pos, substr(s, CAST(p AS INT) + 1, 1) AS ref,
+       [CASE WHEN p % 2 = 0 THEN 'A' ELSE 'C' END, CASE WHEN p % 4 < 2 THEN 'G' ELSE 'TT'[1:1 + p % 8 // 7] END] AS alts FROM u, (SELECT unnest([5, 31, 52, 90, 125, 174, 179, 181, 205, 213, 216, 218, 251, 255, 300, 361, 362, 400]) AS p))"""
+# The right segment begins as far left as the bases on both sides of the gap agree.
+_PARTS = """g AS (SELECT *, (SELECT coalesce(min(k), 150) - 0 FROM (SELECT unnest(range(0, 150)) AS k) WHERE substr(s, 180 - CAST(k AS INT), 1) <> substr(s, 213 - CAST(k AS INT), 1)) AS k FROM f),
+h AS (SELECT ord, chrom, s, laid, 30 AS rs, 179 - k AS re, 0 AS os, 149 - k AS oe, k FROM g UNION ALL SELECT ord, chrom, s, laid, 213 - k, 362, 150 - k, 299, k FROM g)"""
+_CODONS = """y AS (SELECT x.ord, alts, ord_f % 2 = 1 AS turned, os + pos - rs AS l, rs, re, os, oe, s, laid FROM (SELECT ord AS ord_f, chrom, s, laid, rs, re, os, oe FROM h) AS h JOIN x ON x.chrom = h.chrom AND pos BETWEEN rs AND re
+       WHERE length(x.ref) = 1 AND length(alts[1]) = 1 AND length(alts[2]) = 1),
+z AS (SELECT *, CASE WHEN turned THEN 299 - l ELSE l END % 3 AS k, CASE WHEN turned THEN l - 2 + (299 - l) % 3 ELSE l - l % 3 END AS c FROM y),
+w AS (SELECT ord, alts, turned, k, substr(laid, CAST(c AS INT) + 1, 3) AS a, substr(s, CAST(rs + c - os AS INT) + 1, 3) AS b FROM z WHERE c >= os AND c + 2 <= oe),
+v AS (SELECT ord, k, CASE WHEN turned THEN reverse(translate(a, 'ACGT', 'TGCA')) ELSE a END AS a, CASE WHEN turned THEN reverse(translate(b, 'ACGT', 'TGCA')) ELSE b END AS b,
+      list_transform(alts, lambda q: CASE WHEN turned THEN translate(q, 'ACGT', 'TGCA') ELSE q END) AS alts FROM w),
+t AS (SELECT ord, a, b, unnest(alts) AS q, unnest([1, 2]) AS n, k FROM v),
+r AS (SELECT ord, n, a, b, substr(a, 1, CAST(k AS INT)) || q || substr(a, CAST(k AS INT) + 2) AS c FROM t),
+o AS (SELECT ord, n, {a} AS ra, {b} AS rb, {c} AS aa FROM r),
+m AS (SELECT ord, any_value(ra) AS ra, list(aa ORDER BY n) AS aas FROM o WHERE ra = rb GROUP BY ord)""".format(
+    **{k: f"CASE WHEN regexp_matches({k}, '^[TCAG]{{3}}$') THEN substr('{T.AMINO_ACIDS}', 16 * (instr('TCAG', substr({k}, 1, 1)) - 1) + 4 * (instr('TCAG', substr({k}, 2, 1)) - 1) + instr('TCAG', substr({k}, 3, 1)), 1) ELSE 'X' END" for k in "abc"}
+)
+
+
+def _frames(reads):
+    """Frames with their references, and sites on these."""
+    long = reads.where("len >= 500").select("ord", F.col("name").alias("chrom"), F.upper("seq").alias("s"))
+    once = [F.instr(F.substr("s", F.lit(k + 1)), F.substring("s", k, 40)) == 0 for k in (31, 214)]
+    long = long.where(once[0] & once[1])
+    laid = F.concat(F.substring("s", 31, 150), F.substring("s", 214, 150))
+    turned = F.when(F.col("ord") % 2 == 1, F.reverse(F.translate(laid, "ACGT", "TGCA"))).otherwise(laid)
+    places = [5, 31, 52, 90, 125, 174, 179, 181, 205, 213, 216, 218, 251, 255, 300, 361, 362, 400]
+    sites = long.select("ord", "chrom", "s", F.explode(F.array(*[F.lit(p).cast("long") for p in places])).alias("pos"))
+    p = F.col("pos")
+    other = F.when(p % 4 < 2, "G").when(p % 8 == 7, "TT").otherwise("T")
+    alts = F.array(F.when(p % 2 == 0, "A").otherwise("C"), other)
+    sites = sites.select((F.col("ord") * 1000 + p).alias("ord"), "chrom", "pos", F.substr(F.col("s"), p.cast("int") + 1, F.lit(1)).alias("ref"), alts.alias("alts"))
+    return long.select("chrom", turned.alias("orf"), F.col("s").alias("reference")), sites
+
+
+@query(f"WITH {_FRAMES}, {_PARTS} SELECT chrom, ord % 2 = 1 AS reversed, rs AS ref_start, re AS ref_end, os AS orf_start, oe AS orf_end FROM h WHERE re >= rs", "reads")
+def ext_frame_segments(reads):
+    frames, _ = _frames(reads)
+    return FR.frame_segments(frames).select("chrom", "reversed", "ref_start", "ref_end", "orf_start", "orf_end")
+
+
+@query(f"WITH {_FRAMES}, {_SITES}, {_PARTS}, {_CODONS} SELECT x.ord, CASE WHEN length(alts[2]) > 1 THEN 'INDEL' WHEN len(list_filter(aas, lambda e: e <> ra)) > 0 THEN ra || '->' || array_to_string(aas, ',') END AS aac FROM x LEFT JOIN m ON m.ord = x.ord", "reads")
+def ann_amino_change(reads):
+    frames, sites = _frames(reads)
+    return FR.amino_change(sites, FR.frame_segments(frames)).select("ord", "aac")
+
+
+@query(f"WITH {_FRAMES}, {_SITES}, {_PARTS}, {_CODONS} SELECT x.ord, length(alts[2]) > 1 OR coalesce(len(list_filter(aas, lambda e: e <> ra AND (ascii(e) * ascii(ra)) % 7 < 3)) > 0, false) AS severe FROM x LEFT JOIN m ON m.ord = x.ord", "reads")
+def ann_amino_severity(reads):
+    """With scores by a rule of the letters, in place of a published matrix."""
+    frames, sites = _frames(reads)
+    letters = reads.sparkSession.createDataFrame([(c,) for c in sorted(set(T.AMINO_ACIDS + "X"))], "aa string")
+    pairs = letters.select(F.col("aa").alias("aa1"), F.lit(1).alias("one")).join(letters.select(F.col("aa").alias("aa2"), F.lit(1).alias("one")), "one")
+    scores = pairs.select("aa1", "aa2", F.when((F.ascii("aa1") * F.ascii("aa2")) % 7 < 3, -1).otherwise(1).alias("score"))
+    found = FR.amino_severity(sites, FR.frame_segments(frames), scores)
+    return found.select("ord", F.array_contains("filters", "cas").alias("severe"))

@@ -75,13 +75,6 @@ def test_oligos_and_mates(spark):
     assert got["many_mlc.part4"] == "T" * 9
 
 
-def test_amino_changes():
-    genome = "GGGG" + "ATGGCTTGTAAA" + "CCCC"
-    assert transcripts.amino_change("ATGGCTTGTAAA", genome, 8, "C", "A") == ("A", "D")
-    assert transcripts.amino_change("ATGGCTTGTAAA", genome, 0, "G", "A") is None
-    assert transcripts.amino_change("ATGGCTTGTAAA", genome, 8, "C", "CA") == "INDEL"
-
-
 def test_tabular_and_sam(spark, tmp_path):
     (tmp_path / "a.tab").write_text("# comment\nq1 s1 98.5 50 0 0 1 50 101 150 1e-10 90\nq1\ts1\t90\t20\t0\t0\t60\t80\t30\t11\t0.1\t20\n")
     got = sources.read_tabular(spark, (tmp_path / "a.tab").as_uri()).orderBy("part_no").collect()
