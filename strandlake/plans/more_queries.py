@@ -11,8 +11,10 @@ from ..operators import hits as H
 from ..operators import linkage as L
 from ..operators import recombination as R
 from ..operators import stats, trim
+from ..operators import tiles as TI
 from ..operators import transcripts as T
 from ..operators import variant_stats as S
+from ..operators.annotate import ENZYMES, site_pattern
 from ..sources.fastx import join_qualities
 from .alignment_queries import _BL
 from .variant_queries import _GT, _HAP
@@ -356,3 +358,47 @@ def ann_amino_severity(reads):
     scores = pairs.select("aa1", "aa2", F.when((F.ascii("aa1") * F.ascii("aa2")) % 7 < 3, -1).otherwise(1).alias("score"))
     found = FR.amino_severity(sites, FR.frame_segments(frames), scores)
     return found.select("ord", F.array_contains("filters", "cas").alias("severe"))
+
+
+# Differences to references whose base at place p is told by p, and reads that have another one where 13 divides p + ord.
+
+_PLACES = """q AS (SELECT ord, pos, CAST(substr(ref, 4) AS BIGINT) AS r, cigar, i, CASE cigar WHEN '10S40M' THEN pos + i - 10 WHEN '20M2D30M' THEN pos + i + CASE WHEN i < 20 THEN 0 ELSE 2 END
+        WHEN '25M1I24M' THEN pos + i - CASE WHEN i < 25 THEN 0 ELSE 1 END ELSE pos + i END AS p FROM alignments, (SELECT unnest(range(0, 50)) AS i) WHERE ref IS NOT NULL),
+b AS (SELECT *, substr('ACGT', CAST((p * p // 7 + p * 3 + r) % 4 AS INT) + 1, 1) AS base FROM q WHERE NOT (cigar = '10S40M' AND i < 10) AND NOT (cigar = '25M1I24M' AND i = 25)),
+l AS (SELECT ord, i * 2 AS k, CASE WHEN (p + ord) % 13 <> 0 THEN '=' ELSE base END AS x FROM b
+      UNION ALL SELECT DISTINCT ord, 39, '^' || lower(substr('ACGT', CAST(((pos + 20) * (pos + 20) // 7 + (pos + 20) * 3 + r) % 4 AS INT) + 1, 1) || substr('ACGT', CAST(((pos + 21) * (pos + 21) // 7 + (pos + 21) * 3 + r) % 4 AS INT) + 1, 1)) FROM q WHERE cigar = '20M2D30M'),
+j AS (SELECT ord, string_agg(x, '' ORDER BY k) AS x FROM l GROUP BY ord),
+t AS (SELECT ord, x, regexp_extract_all(x, '=+|\\^[a-z]+|[A-Z]') AS t FROM j)"""
+
+
+@query(f"""WITH {_PLACES} SELECT t.ord, array_to_string(list_transform(t, lambda y, i: CASE WHEN y[1] = '=' THEN '' ELSE CAST(CASE WHEN i > 1 AND t[i - 1][1] = '=' THEN length(t[i - 1]) ELSE 0 END AS VARCHAR) || upper(y) END), '')
+ || CASE WHEN t[-1][1] = '=' THEN CAST(length(t[-1]) AS VARCHAR) ELSE '0' END AS md, CAST(length(regexp_replace(x, '[=^]', '', 'g')) + CASE WHEN cigar = '25M1I24M' THEN 1 ELSE 0 END AS INTEGER) AS nm FROM t JOIN alignments a ON a.ord = t.ord""", "alignments", "refs")
+def bam_difference_tags(a, refs):
+    def base(p, r):
+        return F.substr(F.lit("ACGT"), ((F.floor(p * p / 7) + p * 3 + r) % 4 + 1).cast("int"), F.lit(1))
+
+    refs = refs.where(F.col("ref").startswith("ref"))
+    bases = F.transform(F.sequence(F.lit(0).cast("long"), F.col("length") - 1), lambda p: base(p, F.substr("ref", F.lit(4)).cast("long")))
+    references = refs.select("ref", F.array_join(bases, "").alias("seq"))
+    r = F.substr("ref", F.lit(4)).cast("long")
+
+    def letter(i):
+        p = F.col("pos") + i
+        c = F.col("cigar")
+        p = F.when(c == "10S40M", p - 10).when((c == "20M2D30M") & (i >= 20), p + 2).when((c == "25M1I24M") & (i > 25), p - 1).otherwise(p)
+        clipped, put_in = (c == "10S40M") & (i < 10), (c == "25M1I24M") & (i == 25)
+        return F.when(clipped | put_in, "T").when((p + F.col("ord")) % 13 != 0, base(p, r)).otherwise(F.translate(base(p, r), "ACGT", "CGTA"))
+
+    reads = a.withColumn("seq", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long")), letter), ""))
+    return TI.difference_tags(reads, references)
+
+
+_CUTS = "[" + ", ".join(f"{{'n': '{n}', 'p': '{site_pattern(x)}'}}" for n, x in sorted(ENZYMES.items())) + "]"
+
+
+@query(f"""WITH {_FRAMES}, {_SITES}, c AS (SELECT x.ord, ref, alts, substr(s, CAST(greatest(pos - 99, 0) AS INT) + 1, CAST(pos - greatest(pos - 99, 0) AS INT)) AS b, substr(s, CAST(pos AS INT) + length(ref) + 1, 100) AS e FROM x JOIN u ON u.chrom = x.chrom)
+SELECT ord, array_to_string(list_transform(list_filter({_CUTS}, lambda z: CAST(regexp_matches(b || ref || e, z.p) AS INT) + CAST(regexp_matches(b || alts[1] || e, z.p) AS INT) + CAST(regexp_matches(b || alts[2] || e, z.p) AS INT) BETWEEN 1 AND 2), lambda z: z.n), ',') AS enzymes FROM c""", "reads")
+def ann_cap_enzymes_of_references(reads):
+    frames, sites = _frames(reads)
+    found = TI.cap_enzymes_of(sites, frames.select(F.col("chrom").alias("ref"), F.col("reference").alias("seq")))
+    return found.select("ord", F.array_join("enzymes", ",").alias("enzymes"))
