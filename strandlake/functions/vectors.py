@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int>"
+#: Bytes of the texts that are worked on at a time: what numpy needs for them is some fifty times as much.
+CHUNK = 1 << 20
+
+
+def sliced(texts: pa.Array, most: int | None = None):
+    """Neighbouring texts of at most so many bytes together, or one longer text; an empty array as it is."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts) or low == 0:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + (most or CHUNK), side="right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
+def _by_slices(run):
+    """run over an array, a slice at a time."""
+
+    def whole(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([run(part) for part in sliced(texts)])
+
+    return whole
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +63,7 @@ def mean_code(text: Column, offset: int) -> Column:
         means = (sums[ends[1:]] - sums[ends[:-1]] - n * offset) / np.maximum(n, 1)
         return pa.array(means, mask=n == 0)
 
-    return F.arrow_udf(run, "double")(text)
+    return F.arrow_udf(_by_slices(run), "double")(text)
 
 
 def longest_upper(seq: Column) -> Column:
@@ -63,7 +86,7 @@ def longest_upper(seq: Column) -> Column:
         start[rows], end[rows] = first[best] - ends[rows], last[best] - ends[rows]
         return _spans(start, end, np.isin(np.arange(len(texts)), rows))
 
-    return F.arrow_udf(run, SPAN)(seq)
+    return F.arrow_udf(_by_slices(run), SPAN)(seq)
 
 
 def best_stretch(qual: Column, window: int, threshold: float, left: bool, right: bool, offset: int) -> Column:
@@ -94,11 +117,10 @@ def best_stretch(qual: Column, window: int, threshold: float, left: bool, right:
         known[used] = most >= threshold * window
         return _spans(start, end, known)
 
-    return F.arrow_udf(run, SPAN)(qual)
+    return F.arrow_udf(_by_slices(run), SPAN)(qual)
 
 
-def count_kmers(texts: pa.Array, k: int) -> tuple[list[str], np.ndarray]:
-    """The different k-mers of the texts and how often each occurs."""
+def _kmers_of(texts: pa.Array, k: int) -> tuple[list[str], np.ndarray]:
     codes, ends = code_points(texts)
     n = np.clip(np.diff(ends) - k + 1, 0, None)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[:-1], n)
@@ -113,9 +135,25 @@ def count_kmers(texts: pa.Array, k: int) -> tuple[list[str], np.ndarray]:
     return [x.tobytes().decode("utf-32-le") for x in found], times
 
 
+def count_kmers(texts: pa.Array, k: int) -> tuple[list[str], np.ndarray]:
+    """The different k-mers of the texts and how often each occurs."""
+    total: dict[str, int] = {}
+    for part in sliced(texts):
+        for kmer, n in zip(*_kmers_of(part, k)):
+            total[kmer] = total.get(kmer, 0) + int(n)
+    return list(total), np.fromiter(total.values(), np.int64, len(total))
+
+
 def count_places(texts: pa.Array, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """pos, value (code point less offset), n: how often each value is at each place of the texts."""
-    codes, ends = code_points(texts)
-    place = np.arange(len(codes)) - np.repeat(ends[:-1], np.diff(ends))
-    found, times = np.unique(place << 21 | codes.astype(np.int64), return_counts=True)
+    keys, counts = [], []
+    for part in sliced(texts):
+        codes, ends = code_points(part)
+        place = np.arange(len(codes)) - np.repeat(ends[:-1], np.diff(ends))
+        found, times = np.unique(place << 21 | codes.astype(np.int64), return_counts=True)
+        keys.append(found)
+        counts.append(times)
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    times = np.zeros(len(found), np.int64)
+    np.add.at(times, at, np.concatenate(counts))
     return found >> 21, (found & ((1 << 21) - 1)) - offset, times

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.reads import dust_score
 from ..functions.vectors import count_kmers, count_places
 
 MIN_BINS, MAX_BINS, VALUES_PER_BIN = 20, 500, 10000
@@ -172,12 +175,117 @@ def ascii_histogram(bins: list[tuple[int, int, int]], width: int = 100) -> str:
     return "\n".join(rows)
 
 
+def sequence_counters(df: DataFrame, kmer: int | None = 3, offset: int = 33) -> DataFrame:
+    """All counters of a report on reads (seq, qual) in one pass and one shuffle: section, pos, value, text, n.
+
+    length has value; quality has pos and value; base has pos and text (A, C, G, T, else N); kmer has text;
+    dust has value, the whole part of the reads' scores.  Each batch is counted before anything is moved.
+    Null and empty reads count as reads of no bases.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sizes, times = np.unique(batch.column(2).to_numpy(zero_copy_only=False), return_counts=True)
+            parts = [("length", None, sizes, None, times)]
+            pos, value, times = count_places(batch.column(1), offset)
+            parts.append(("quality", pos, value, None, times))
+            pos, code, times = count_places(batch.column(0), 0)
+            upper = np.where((code >= 97) & (code <= 122), code - 32, code)
+            known = np.where(np.isin(upper, np.frombuffer(b"ACGT", np.uint8)), upper, ord("N"))
+            place, at = np.unique(pos << 8 | known, return_inverse=True)
+            parts.append(("base", place >> 8, None, [chr(x) for x in (place & 255).tolist()], np.bincount(at, times, len(place)).astype(np.int64)))
+            if kmer:
+                texts, times = count_kmers(batch.column(0), kmer)
+                parts.append(("kmer", None, None, texts, times))
+            score = batch.column(3).drop_null().to_numpy(zero_copy_only=False)
+            scores, times = np.unique(score, return_counts=True)
+            parts.append(("dust", None, scores, None, times))
+            for section, pos, value, text, n in parts:
+                size = len(n)
+                column = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([section] * size, pa.string()), column(pos, pa.int64()), column(value, pa.int64()), column(text, pa.string()), pa.array(n, pa.int64())],
+                    ["section", "pos", "value", "text", "n"],
+                )
+
+    read = df.select(F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual")).select(
+        "seq", "qual", F.length("seq").cast("long").alias("size"), F.floor(F.round(dust_score(F.col("seq")), 6)).cast("long").alias("dust")
+    )
+    found = read.mapInArrow(run, "section string, pos long, value long, text string, n long")
+    # A condition on the aggregate's own section stays above the shuffle, so all parts of a report share it.
+    totals = found.groupBy(F.col("section").alias("__s"), "pos", "value", "text").agg(F.max("section").alias("section"), F.sum("n").alias("n"))
+    return totals.select("section", "pos", "value", "text", "n")
+
+
+def _metrics(row: DataFrame, section: str, *keys: str) -> DataFrame:
+    """A row's (or, with keys, each row's) numbers as rows: section, metric, pos, text, value."""
+    names = [c for c in row.columns if c not in keys]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]))
+    pos, text = (F.col(k) if k in keys else F.lit(None) for k in ("pos", "text"))
+    return row.select(F.lit(section).alias("section"), pos.cast("long").alias("pos"), text.cast("string").alias("text"), pairs.alias("m")).select("section", "m.metric", "pos", "text", "m.value")
+
+
+def sequence_report(counters: DataFrame, nxs: tuple[int, ...] = (50, 95), top: int = 20, low_complexity: int = 7) -> DataFrame:
+    """The whole report on reads from sequence_counters: section, metric, pos, text, value.
+
+    length: Nx and moments; quality: shares q20 and q30 in per cent and moments; quality_box: quartiles by
+    pos; base: counts by pos and text; kmer: moments of the counts; kmer_top: the most common ones, ties by
+    text; dust: the share above low_complexity and moments.  All parts read one shuffle's output.
+    """
+    of = lambda section, *columns: counters.where(F.col("section") == section).select(*columns)
+    length, quality, dust = of("length", "value", "n"), of("quality", "pos", "value", "n"), of("dust", "value", "n")
+    parts = [_metrics(nx(length, x), "length") for x in nxs] + [_metrics(moments(length), "length")]
+    share = lambda t: (100 * F.sum(F.when(F.col("value") >= t, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"q{t}")
+    over = quality.groupBy("value").agg(F.sum("n").alias("n"))
+    parts += [_metrics(over.agg(share(20), share(30)), "quality"), _metrics(moments(over), "quality")]
+    parts.append(_metrics(quartiles(quality, "pos"), "quality_box", "pos"))
+    parts.append(_metrics(of("base", "pos", "text", "n"), "base", "pos", "text"))
+    kmers = of("kmer", "text", "n")
+    parts.append(_metrics(moments(kmers.groupBy(F.col("n").alias("value")).agg(F.count("*").alias("n"))), "kmer"))
+    parts.append(_metrics(kmers.orderBy(F.desc("n"), "text").limit(top), "kmer_top", "text"))
+    above = (100 * F.sum(F.when(F.col("value") > low_complexity, F.col("n")).otherwise(0)) / F.sum("n")).alias("above")
+    parts += [_metrics(dust.agg(above), "dust"), _metrics(moments(dust), "dust")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def ascii_boxes(boxes: list[tuple], width: int = 60) -> str:
+    """A line per (label, min, q1, median, q3, max): the range as dashes, the box as =, the median as |."""
+    known = [b for b in boxes if b[1] is not None]
+    low, high = min((b[1] for b in known), default=0), max((b[5] for b in known), default=0)
+    scale = (width - 1) / (high - low) if high > low else 0
+    size = max((len(str(b[0])) for b in boxes), default=1)
+    lines = []
+    for label, least, q1, median, q3, most in boxes:
+        row = [" "] * width
+        if least is not None:
+            at = [round((x - low) * scale) if x is not None else None for x in (least, q1, median, q3, most)]
+            row[at[0] : at[4] + 1] = "-" * (at[4] - at[0] + 1)
+            if at[1] is not None and at[3] is not None:
+                row[at[1] : at[3] + 1] = "=" * (at[3] - at[1] + 1)
+            if at[2] is not None:
+                row[at[2]] = "|"
+        lines.append(f"{label:>{size}}: {''.join(row).rstrip()}")
+    return "\n".join([f"axis from {low} to {high}", *lines])
+
+
+def ascii_shares(counts: dict[int, dict[str, int]], letters: str = "ACTGN", width: int = 50) -> str:
+    """A line per place: the shares of the letters as runs of each, in order of letters."""
+    size, lines = max((len(str(p)) for p in counts), default=1), []
+    for place in sorted(counts):
+        total = sum(counts[place].values())
+        ends = np.cumsum([counts[place].get(c, 0) for c in letters])
+        cuts = [0, *[int(round(e * width / total)) if total else 0 for e in ends.tolist()]]
+        lines.append(f"{place:>{size}}: " + "".join(c * (b - a) for c, a, b in zip(letters, cuts, cuts[1:])))
+    return "\n".join(lines)
+
+
 def report(df: DataFrame, offset: int = 33) -> DataFrame:
-    """(metric, value) over reads: number, bases, N50, N95, mean quality and the shares of Q20 and Q30."""
-    df = df.withColumn("__n", F.length("seq").cast("long"))
-    lengths = counter(df, F.col("__n"))
-    basic = df.agg(F.count("*").cast("double").alias("reads"), F.sum("__n").cast("double").alias("bases"), F.avg("__n").alias("mean_length"))
-    mean = (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean_quality")
-    quality = quality_by_position(df, offset).agg(mean).crossJoin(quality_shares(df, offset).select(F.col("share20").alias("q20"), F.col("share30").alias("q30")))
-    one = basic.crossJoin(quality).crossJoin(nx(lengths, 50)).crossJoin(nx(lengths, 95))
-    return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in one.columns]), F.array(*[F.col(c).cast("double") for c in one.columns]))).alias("metric", "value"))
+    """(metric, value) over reads: number, bases, N50, N95, mean quality and the shares of Q20 and Q30, in one pass."""
+    counters = sequence_counters(df, None, offset)
+    length = counters.where("section = 'length'").select("value", "n")
+    quality = counters.where("section = 'quality'").groupBy("value").agg(F.sum("n").alias("n"))
+    total = F.sum(F.col("value") * F.col("n"))
+    basic = length.agg(F.sum("n").alias("reads"), total.alias("bases"), (total / F.sum("n")).alias("mean_length"))
+    share = lambda t: (F.sum(F.when(F.col("value") >= t, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"q{t}")
+    scores = quality.agg((total / F.sum("n")).alias("mean_quality"), share(20), share(30))
+    return reduce(lambda a, b: a.unionByName(b), [_metrics(x, "") for x in (basic, scores, nx(length, 50), nx(length, 95))]).select("metric", "value")

@@ -17,6 +17,7 @@ from ..operators import variant_stats as S
 from ..operators.annotate import ENZYMES, site_pattern
 from ..sources.fastx import join_qualities
 from .alignment_queries import _BL
+from .read_queries import DUST_SQL
 from .variant_queries import _GT, _HAP
 from .views import view, with_views
 
@@ -164,6 +165,39 @@ def agg_report(reads):
     return stats.report(reads).withColumn("value", F.round("value", 6))
 
 
+def _moments_sql(section: str, rows: str) -> str:
+    """Rows of a section with the moments of (value, n)."""
+    names = {"min": "min(value)", "max": "max(value)", "count": "sum(n)", "sum": "sum(value * n)", "average": "sum(value * n) / sum(n)", "variance": "sum(CAST(value AS DOUBLE) * value * n) / sum(n) - pow(sum(value * n) / sum(n), 2)"}
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, '{k}' AS metric, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS text, CAST({v} AS DOUBLE) AS value FROM {rows}" for k, v in names.items())
+
+
+def _one_sql(section: str, metric: str, value: str) -> str:
+    return f"SELECT '{section}', '{metric}', NULL, NULL, CAST({value} AS DOUBLE)"
+
+
+_REPORT = f"""WITH dust AS (SELECT CAST(floor(dust) AS BIGINT) AS value, count(*) AS n FROM ({{dust}}) WHERE dust IS NOT NULL GROUP BY 1),
+len AS (SELECT len AS value, count(*) AS n FROM reads GROUP BY 1),
+place AS (SELECT i - 1 AS pos, ascii(substr(qual, CAST(i AS INT), 1)) - 33 AS q, upper(substr(seq, CAST(i AS INT), 1)) AS b, CASE WHEN i + 2 <= len THEN substr(seq, CAST(i AS INT), 3) END AS k FROM (SELECT seq, qual, len, unnest(range(1, len + 1)) AS i FROM reads)),
+qual AS (SELECT q AS value, count(*) AS n FROM place GROUP BY 1),
+kmer AS (SELECT k AS text, count(*) AS n FROM place WHERE k IS NOT NULL GROUP BY 1), often AS (SELECT n AS value, count(*) AS n FROM kmer GROUP BY 1),
+boxes AS (SELECT pos, list_sort(list(q)) AS v, count(*) AS n FROM place GROUP BY pos),
+box AS (SELECT pos, n AS count, CASE WHEN n < 4 THEN NULL WHEN (n + 1) % 4 = 0 THEN CAST(v[(n + 1) // 4] AS DOUBLE) ELSE (v[(n + 1) // 4] + v[(n + 1) // 4 + 1]) / 2.0 END AS q1,
+ CASE WHEN n % 2 = 1 THEN CAST(v[n // 2 + 1] AS DOUBLE) ELSE (v[n // 2] + v[n // 2 + 1]) / 2.0 END AS median,
+ CASE WHEN n < 4 THEN NULL WHEN (n + 1) * 3 % 4 = 0 THEN CAST(v[(n + 1) * 3 // 4] AS DOUBLE) ELSE (v[(n + 1) * 3 // 4] + v[(n + 1) * 3 // 4 + 1]) / 2.0 END AS q3 FROM boxes)
+SELECT section, metric, pos, text, round(value, 4) AS value FROM ({_moments_sql("length", "len")} UNION ALL {_moments_sql("quality", "qual")} UNION ALL {_moments_sql("kmer", "often")} UNION ALL {_moments_sql("dust", "dust")}
+UNION ALL {_one_sql("length", "n50", _NX.format(50))} UNION ALL {_one_sql("length", "n95", _NX.format(95))}
+UNION ALL {_one_sql("quality", "q20", "(SELECT 100.0 * sum(CASE WHEN value >= 20 THEN n ELSE 0 END) / sum(n) FROM qual)")} UNION ALL {_one_sql("quality", "q30", "(SELECT 100.0 * sum(CASE WHEN value >= 30 THEN n ELSE 0 END) / sum(n) FROM qual)")}
+UNION ALL {_one_sql("dust", "above", "(SELECT 100.0 * sum(CASE WHEN value > 7 THEN n ELSE 0 END) / sum(n) FROM dust)")}
+UNION ALL SELECT 'quality_box', m, pos, NULL, CASE m WHEN 'count' THEN count WHEN 'q1' THEN q1 WHEN 'median' THEN median ELSE q3 END FROM box, (SELECT unnest(['count', 'q1', 'median', 'q3']) AS m)
+UNION ALL SELECT 'base', 'n', pos, CASE WHEN b IN ('A', 'C', 'G', 'T') THEN b ELSE 'N' END AS t, count(*) FROM place GROUP BY pos, t
+UNION ALL SELECT 'kmer_top', 'n', NULL, text, n FROM (SELECT * FROM kmer ORDER BY n DESC, text LIMIT 20))"""
+
+
+@query(_REPORT.format(dust=DUST_SQL), "reads")
+def agg_sequence_report(reads):
+    return stats.sequence_report(stats.sequence_counters(reads)).withColumn("value", F.round("value", 4))
+
+
 @query("SELECT name, qual FROM reads", "reads")
 def src_fasta_and_qual(reads):
     scores = F.array_join(F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: (F.ascii(c) - 33).cast("string")), " ")

@@ -122,8 +122,7 @@ _filter(
 )
 _filter("all_n", lambda: R.has_real_bases(F.regexp_replace("seq", "[ACGT]", "N")), "regexp_replace(seq, '[ACGT]', 'N', 'g') = '' OR regexp_matches(regexp_replace(seq, '[ACGT]', 'N', 'g'), '[^Nn*-]')")
 
-@query(
-    """WITH win AS (
+DUST_SQL = """WITH win AS (
   SELECT name, true AS full_, substr(upper(seq), i * 32 + 1, 64) AS w FROM (SELECT name, seq, unnest(range(0, CASE WHEN len > 64 THEN CAST(floor((len - 64) / 32.0) AS BIGINT) + 1 ELSE 0 END)) AS i FROM reads)
   UNION ALL SELECT name, false, substr(upper(seq), CASE WHEN len > 64 THEN CAST(floor((len - 64) / 32.0) AS BIGINT) + 1 ELSE 0 END * 32 + 1) FROM reads),
 num AS (SELECT row_number() OVER (ORDER BY name, full_, w) AS id, name, full_, w, length(w) AS m FROM win WHERE full_ OR length(w) > 5),
@@ -131,7 +130,9 @@ tri AS (SELECT id, substr(w, i, 3) AS t FROM (SELECT id, w, unnest(range(1, m -
 raw AS (SELECT id, sum(k * (k - 1) / 2.0) AS raw FROM (SELECT id, t, count(*) AS k FROM tri GROUP BY id, t) GROUP BY id),
 sc AS (SELECT name, avg(CASE WHEN full_ THEN raw / 62.0 ELSE raw / (m - 3) * 62 / (m - 2) END) * 100 / 31 AS dust FROM num JOIN raw USING (id) GROUP BY name)
 SELECT name, round(CASE WHEN len = 3 THEN 0.0 WHEN len > 5 THEN dust END, 6) AS dust FROM reads LEFT JOIN sc USING (name)"""
-)
+
+
+@query(DUST_SQL)
 def agg_dust(reads):
     return reads.select("name", F.round(R.dust_score(F.col("seq")), 6).alias("dust"))
 
