@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reads import FLAG_BITS, has_flag
+from .stats import quartiles
 
 MAPQS = (0, 20, 30, 40)
 
@@ -187,3 +188,19 @@ def site_read_positions(df: DataFrame, sites: DataFrame) -> DataFrame:
     flipped = has_flag(F.col("flag"), "strand")
     from5 = F.when(flipped, F.col("n") - 1 - place).otherwise(place)
     return both.select("ord", "qname", "rg", "mapq", from5.alias("from5"), (F.col("n") - 1 - from5).alias("from3"))
+
+
+def site_position_stats(df: DataFrame, sites: DataFrame, max_pos: int | None = None) -> DataFrame:
+    """Where in the reads of each read group sites lie, and the sites' qualities there: rg (null: none), side (5 or 3),
+    place (from 1 at that end, up to max_pos), reads, and the count, q1, median and q3 of the qualities."""
+    found = site_read_positions(df, sites).join(sites.select("ord", "qual"), "ord")
+    ends = F.explode(F.array(F.struct(F.lit(5).alias("side"), (F.col("from5") + 1).alias("place")), F.struct(F.lit(3).alias("side"), (F.col("from3") + 1).alias("place"))))
+    rows = found.select("rg", "qual", ends.alias("e")).select("rg", "qual", "e.*")
+    rows = rows if max_pos is None else rows.where(F.col("place") <= max_pos)
+    keys = ["rg", "side", "place"]
+    counts = rows.groupBy(*keys, F.col("qual").alias("value")).agg(F.count("*").alias("n"))
+    reads = counts.groupBy(*keys).agg(F.sum("n").alias("reads"))
+    boxes = quartiles(counts.where("value IS NOT NULL"), *keys)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = reads.alias("a").join(boxes.alias("b"), same, "left")
+    return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], "reads", F.coalesce("count", F.lit(0)).alias("count"), "q1", "median", "q3")

@@ -56,6 +56,13 @@ def high_variable_region(sites: DataFrame, max_variability: float, window: int)
     return set_filter(near, f"hv{max_variability}", (F.col("near") + 1) / F.lit(float(window)) > max_variability).drop("near")
 
 
+def high_variable_sequence(sites: DataFrame, refs: DataFrame, max_variability: float) -> DataFrame:
+    """More sites on the whole reference than that share of its bases; sites on unknown references aren't flagged."""
+    counts = sites.groupBy("chrom").agg(F.count("*").alias("__n")).join(refs.select(F.col("ref").alias("chrom"), F.col("length").alias("__length")), "chrom")
+    rows = sites.join(counts, "chrom", "left")
+    return set_filter(rows, f"hv{max_variability}", F.col("__n") / F.col("__length") > max_variability).drop("__n", "__length")
+
+
 def close_to_limit(sites: DataFrame, refs: DataFrame, distance: int) -> DataFrame:
     placed = sites.join(refs.select(F.col("ref").alias("chrom"), F.col("length").alias("__length")), "chrom", "left")
     flagged = (F.col("pos") < distance) | (F.col("__length") - F.col("pos") < distance)

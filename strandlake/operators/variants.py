@@ -16,6 +16,12 @@ def is_het() -> Column:
     return F.col("called") & (F.col("a1") != F.col("a2"))
 
 
+def called_alleles(most: int | None = None) -> Column:
+    """Alleles of a call in order, those above most left out; empty without a call."""
+    both = F.filter(F.array("a1", "a2"), lambda a: a.isNotNull() & (F.lit(most is None) | (a <= (most or 0))))
+    return F.when(F.col("called"), both).otherwise(F.array().cast("array<int>"))
+
+
 def genotype_type() -> Column:
     """0 homozygous reference, 1 heterozygous, 2 homozygous alternative; null without two alleles."""
     return F.when(F.col("called"), F.when(F.col("a1") != F.col("a2"), 1).when(F.col("a1") == 0, 0).when(F.col("a2").isNotNull(), 2))

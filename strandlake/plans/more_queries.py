@@ -9,6 +9,7 @@ from ..operators import export as E
 from ..operators import frames as FR
 from ..operators import hits as H
 from ..operators import linkage as L
+from ..operators import merge as ME
 from ..operators import recombination as R
 from ..operators import stats, trim
 from ..operators import tiles as TI
@@ -145,6 +146,59 @@ def jon_site_read_positions(a, sites):
     return B.site_read_positions(a, placed).select("ord", "qname", "from5", "from3")
 
 
+@query(
+    f"""WITH {_BL},
+p5 AS (SELECT s.qual, a.rg, CASE WHEN (a.flag & 16) > 0 THEN 49 - (qs + t - rs) ELSE qs + t - rs END AS from5
+FROM (SELECT ord, qual, pos % 50000 AS t, 'ref' || CAST(ord % 5 AS VARCHAR) AS r FROM sites) s JOIN b ON b.ref = r AND t BETWEEN rs AND re JOIN alignments a ON a.ord = b.ord),
+e AS (SELECT rg, 5 AS side, from5 + 1 AS place, qual FROM p5 UNION ALL SELECT rg, 3, 50 - from5, qual FROM p5),
+g AS (SELECT rg, side, place, count(*) AS reads, count(qual) AS n, list_sort(list(qual) FILTER (qual IS NOT NULL)) AS v FROM e WHERE place <= 40 GROUP BY ALL)
+SELECT rg, side, CAST(place AS BIGINT) AS place, reads, n AS count,
+ CASE WHEN n < 4 THEN NULL WHEN (n + 1) % 4 = 0 THEN v[(n + 1) // 4] ELSE (v[(n + 1) // 4] + v[(n + 1) // 4 + 1]) / 2.0 END AS q1,
+ CASE WHEN n = 0 THEN NULL WHEN n % 2 = 1 THEN v[n // 2 + 1] ELSE (v[n // 2] + v[n // 2 + 1]) / 2.0 END AS median,
+ CASE WHEN n < 4 THEN NULL WHEN (n + 1) * 3 % 4 = 0 THEN v[(n + 1) * 3 // 4] ELSE (v[(n + 1) * 3 // 4] + v[(n + 1) * 3 // 4 + 1]) / 2.0 END AS q3 FROM g""",
+    "alignments", "sites",
+)
+def vst_site_position_stats(a, sites):
+    placed = sites.select("ord", "qual", (F.col("pos") % 50000).alias("pos"), F.concat(F.lit("ref"), (F.col("ord") % 5).cast("string")).alias("chrom"))
+    return B.site_position_stats(a, placed, 40)
+
+
+@query("SELECT ord, CAST(coalesce(n / CAST(length AS DOUBLE) > 0.0015, false) AS INT) AS flagged FROM (SELECT *, count(*) OVER (PARTITION BY chrom) AS n FROM sites) s LEFT JOIN refs r ON r.ref = s.chrom", "sites", "refs")
+def ann_high_variable_sequence(sites, refs):
+    from ..operators.annotate import high_variable_sequence
+
+    found = high_variable_sequence(sites, refs, 0.0015)
+    return found.select("ord", (F.size("filters") > 0).cast("int").alias("flagged"))
+
+
+@query("SELECT ord, sample, concat_ws('/', CASE WHEN called AND a1 <= 1 THEN a1 END, CASE WHEN called AND a2 <= 1 THEN a2 END) AS alleles FROM calls", "calls")
+def vcf_called_alleles(calls):
+    from ..operators.variants import called_alleles
+
+    return calls.select("ord", "sample", F.array_join(called_alleles(1).cast("array<string>"), "/").alias("alleles"))
+
+
+_MERGED = """h AS (SELECT ref, CASE WHEN ref < 'd' THEN 0 ELSE 1 END AS file, row_number() OVER (ORDER BY ref) AS k FROM refs),
+d AS (SELECT ref, row_number() OVER (ORDER BY file, k) - 1 AS n FROM h)"""
+
+
+@query(f"""WITH {_MERGED} SELECT CAST(ord % 2 AS INTEGER) AS file, ord, CASE WHEN ord % 2 = 1 AND rg LIKE 'c%' THEN rg || '.1' ELSE rg END AS rg, CAST(n AS INTEGER) AS ref_number,
+row_number() OVER (ORDER BY n NULLS LAST, pos NULLS LAST, ord % 2, ord) - 1 AS place FROM alignments a LEFT JOIN d ON d.ref = a.ref""", "alignments", "refs")
+def bam_merge(a, refs):
+    """Two files: reads of even and odd ord.  Read groups whose names begin with c are of other samples in the second."""
+    from ..operators.ranges import index_rows
+
+    files = [a.where(F.col("ord") % 2 == k) for k in (0, 1)]
+    numbered = index_rows(refs.withColumn("ord", F.col("ref")), "number", parts=4).drop("ord")
+    headers = [numbered.where("ref < 'd'"), numbered]
+    names = a.select(F.col("rg").alias("id")).where("id IS NOT NULL").distinct()
+    groups = [names.withColumn("sample", F.lit("one")), names.withColumn("sample", F.when(F.col("id").startswith("c"), "two").otherwise("one"))]
+    merged = ME.merge_alignments(files, headers, groups)
+    key = F.struct(F.coalesce("ref_number", F.lit(1 << 30)).alias("r"), F.coalesce("pos", F.lit(1 << 60)).alias("p"), "file", "ord")
+    placed = index_rows(merged.withColumn("key", key), "place", by="key")
+    return placed.select("file", "ord", "rg", "ref_number", "place")
+
+
 @query("SELECT len AS value, count(*) AS n FROM reads GROUP BY len", "reads")
 def agg_merge_counters(reads):
     one, two = (stats.counter(reads.where(F.col("direction") == d), F.col("len")) for d in ("fwd", "rev"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +31,30 @@ def samples_of(head: list[str]) -> list[str]:
     return head[-1].split("\t")[len(FIXED) :] if head else []
 
 
+def definitions_of(head: list[str], kind: str) -> dict[str, dict[str, str]]:
+    """The header's definitions of a kind (INFO, FILTER, FORMAT), by id: their other fields by name."""
+    out = {}
+    for line in head:
+        if line.startswith(f"##{kind}=<"):
+            fields = {k: a or b for k, a, b in re.findall(r'(\w+)=(?:"((?:[^"\\]|\\.)*)"|([^,>]*))', line.split("<", 1)[1])}
+            out[fields.pop("ID", "")] = fields
+    return out
+
+
 def _dot(c: Column) -> Column:
     return F.when(c != ".", c)
 
 
 def sites_of(lines: DataFrame) -> DataFrame:
-    """ord, chrom, pos (0-based), ids, ref, alts, qual, filters (null: not filtered, empty: passed), info."""
+    """ord, chrom, pos (0-based), ids, ref, alts, qual, filters (null: not filtered, empty: passed), info
+    (of a key that comes again the first value)."""
     f = F.split("value", "\t")
     pairs = F.transform(F.split(f[7], ";"), lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.coalesce(F.get(F.split(x, "=", 2), 1), F.lit("true")).alias("v")))
     return lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(
         "ord", f[0].alias("chrom"), (f[1].cast("long") - 1).alias("pos"), F.split(_dot(f[2]), ";").alias("ids"), f[3].alias("ref"),
         F.coalesce(F.split(_dot(f[4]), ","), F.array().cast("array<string>")).alias("alts"), _dot(f[5]).cast("double").alias("qual"),
         F.when(f[6] == "PASS", F.array().cast("array<string>")).otherwise(F.split(_dot(f[6]), ";")).alias("filters"),
-        F.map_from_entries(F.array_distinct(F.when(f[7] != ".", pairs).otherwise(F.array().cast("array<struct<k:string,v:string>>")))).alias("info"),
+        F.map_from_entries(F.filter(pairs, lambda p, i: (f[7] != ".") & (F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1))).alias("info"),
         F.get(f, 8).alias("format"),
     )
 
