@@ -24,7 +24,7 @@ class _Slots(dict):
     """Feature of each word, remembered; forgotten as a whole when there are very many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = slot = zlib.crc32(word) % WORDS
         return slot

@@ -82,7 +82,7 @@ class _Known(dict):
 class Encoder:
     """Encodes whole texts, remembering the ids of words: a byte-level tokenizer cuts at word starts first."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -196,10 +196,10 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
         coder, offset, first, out = encoder(tokenizer), 0, 0, None
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             offsets, lengths, counts, firsts = [], [], [], []
             for lo in range(0, len(texts), 256):
-                for data in coder.encode([t or "" for t in texts[lo : lo + 256]]):
+                for data in coder.encode([t or "" for t in texts.slice(lo, 256).to_pylist()]):
                     record = frame(data + end)
                     out = out or store.open_output_stream(file, compression=None)
                     out.write(record)
