@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,29 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at a time: Spark's own 10,000 whole texts would be held by the JVM, by Arrow
+#: and by the worker at once.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """What is planned and run within hands at most BATCH_ROWS rows to Python at a time."""
+    before = spark.conf.get(_BATCH_CONF)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder, or one within it, and read it back: lineage ends here."""
     path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
