@@ -9,10 +9,12 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, utf8_bytes
+from .shared import discard, materialise, scratch_dir, utf8_bytes
 
 #: Bytes that a row counts for besides its text.
 ROW_OVERHEAD = 8
+#: Bits of a cell's number that tell groups of rows with equal ids apart; no group is under 2^-16 of all bytes.
+TIE_BITS = 20
 
 
 def _part(value: str, low: str, step: str) -> Column:
@@ -24,7 +26,7 @@ def _cut(keys: DataFrame, cuts: list[tuple]) -> DataFrame:
     """__sub: the range of ids within a hot cell, by the ids that begin the ranges; 0 in other cells."""
     if not cuts:
         return keys.withColumn("__sub", F.lit(0))
-    table = keys.sparkSession.createDataFrame(cuts, "__cell int, __starts array<long>")
+    table = keys.sparkSession.createDataFrame(cuts, "__cell long, __starts array<long>")
     part = F.coalesce(F.size(F.filter("__starts", lambda s: s <= F.col("__d"))), F.lit(0))
     return keys.join(F.broadcast(table), "__cell", "left").withColumn("__sub", part).drop("__starts")
 
@@ -39,6 +41,29 @@ def _hot_cuts(keys: DataFrame, hot: dict[int, int]) -> list[tuple]:
     return [(r["__cell"], sorted({i for i in r["ids"][:: max(1, most // hot[r["__cell"]])] if i > r["low"]})) for r in found]
 
 
+def _ties(keys: DataFrame, cells: list[tuple], total: int, n_shards: int, slack: float, limit: int) -> list[tuple]:
+    """(cell, id, number within the cell from 1) of equal ids with more than slack bytes in several rows.
+
+    Only cells that hold a boundary or more than limit bytes are looked at, as ties elsewhere do no harm."""
+    below, looked, j = 0, [], 1
+    for cell, size, *_ in sorted(cells):
+        inside = below + size > total * j // n_shards
+        while j < n_shards and below + size > total * j // n_shards:
+            j += 1
+        if inside or size > limit:
+            looked.append(cell)
+        below += size
+    if not looked:
+        return []
+    groups = keys.where(F.col("__cell").isin(looked)).groupBy("__cell", "__d").agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
+    found, last, number = [], None, 0
+    for cell, d in sorted(map(tuple, groups.where((F.col("n") > 1) & (F.col("size") > slack)).select("__cell", "__d").collect())):
+        number = number + 1 if cell == last else 1
+        found.append((cell, d, number))
+        last = cell
+    return found
+
+
 def _splitters(keys: DataFrame, units: list[tuple], total: int, n_shards: int, tolerance: float, probes: int) -> list:
     """Boundaries (cell, id, rows below): each starts a shard.  A round probes all open ones at once."""
     spark, slack, closed, opened = keys.sparkSession, tolerance * total / n_shards, {}, {}
@@ -62,7 +87,7 @@ def _splitters(keys: DataFrame, units: list[tuple], total: int, n_shards: int, t
         steps = {j: -(-(hi - lo + 1) // probes) for j, (_, lo, hi, _, _) in opened.items()}
         table = spark.createDataFrame(
             [(j, c, lo, hi, Decimal(steps[j])) for j, (c, lo, hi, _, _) in opened.items()],
-            "__j int, __cell int, __lo long, __hi long, __step decimal(20,0)",
+            "__j int, __cell long, __lo long, __hi long, __step decimal(20,0)",
         )
         counts = (
             keys.join(F.broadcast(table), "__cell")
@@ -108,10 +133,14 @@ def shard_documents(
     So a shard's rows lie in many tasks, each with some cells of several shards: the layout is one
     file set in which shard and slot name the place, and a partitioned write needs no further shuffle.
 
-    Equal texts share a cell, and so a shard, unless a boundary cuts their cell.  A null text has size
-    8 and is a text of its own; a null doc_id sorts as -1; rows equal in text and doc_id are never
-    parted; an empty table gives an empty table.
+    Equal texts share a cell, and so a shard, unless a boundary cuts their cell: the law is of bytes, and
+    a group of copies may be larger than a shard.  Rows of one cell with equal ids (copies that repeat
+    their id, null ids) are parted too where they weigh more than the tolerance and a boundary may fall
+    among them, or where their cell is hot: these rows alone are written, each with a number that is its
+    third key.  Groups of less than 2^-16 of all bytes stay whole.  A null text has size 8 and is a text
+    of its own; a null doc_id sorts as -1; an empty table gives an empty table.
     """
+    spark = docs.sparkSession
     sized = docs.withColumns(
         {
             "__h": F.xxhash64("text"),
@@ -119,14 +148,28 @@ def shard_documents(
             "__size": utf8_bytes(F.col("text")) + ROW_OVERHEAD,
         }
     )
-    keys = materialise(sized.select("__h", "__d", "__size"), "shard-keys")
+    folder = scratch_dir(spark, "shards")
+    keys = materialise(sized.select("__h", "__d", "__size"), "keys", folder)
     total = keys.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
     bits = min(18, max(12, ceil(log2(max(1, total / cell_bytes)))))
-    cell = F.shiftright("__h", 64 - bits).cast("int")
-    keys = keys.withColumn("__cell", cell)
+    cell = F.shiftleft(F.shiftright("__h", 64 - bits), TIE_BITS)
+    keys, sized = keys.withColumn("__cell", cell), sized.withColumn("__cell", cell)
 
-    cells = keys.groupBy("__cell").agg(F.sum("__size"), F.min("__d"), F.max("__d")).collect()
     limit = max(1, total // hot_parts)
+    measures = F.sum("__size"), F.min("__d"), F.max("__d")
+    cells = [tuple(r) for r in keys.groupBy("__cell").agg(*measures).collect()]
+    ties = _ties(keys, cells, total, n_shards, max(tolerance * total / n_shards, total / (1 << 16)), limit)
+    if ties:
+        # Equal ids become a cell of their own, behind their cell's other rows, with row numbers for ids.
+        table = F.broadcast(spark.createDataFrame(ties, "__cell long, __d long, __tie int"))
+        tied = sized.join(table, ["__cell", "__d"]).withColumns(
+            {"__cell": F.col("__cell") + F.col("__tie"), "__d": F.monotonically_increasing_id()}
+        )
+        tied = materialise(tied.drop("__tie"), "shard-ties")
+        sized = sized.join(table, ["__cell", "__d"], "left_anti").unionByName(tied)
+        keys = keys.join(table, ["__cell", "__d"], "left_anti").unionByName(tied.select(*keys.columns))
+        cells = [tuple(r) for r in keys.groupBy("__cell").agg(*measures).collect()]
+
     cuts = _hot_cuts(keys, {c: -(-size // limit) for c, size, lo, hi in cells if size > limit and hi > lo})
     units = sorted(
         map(
@@ -138,12 +181,13 @@ def shard_documents(
         )
     )
     bounds = _splitters(keys, units, total, n_shards, tolerance, probes)
+    discard(spark, folder)
 
     ranks, rows = [], 0
     for c, sub, *_, n in units:
         ranks.append((c, sub, rows))
         rows += n
-    ranks = docs.sparkSession.createDataFrame(ranks, "__cell int, __sub int, __rank long")
+    ranks = spark.createDataFrame(ranks, "__cell long, __sub int, __rank long")
     above = [
         (F.col("__cell") > c) | ((F.col("__cell") == c) & (F.col("__d") >= F.lit(d if d < 1 << 63 else Decimal(d))))
         for c, d, _ in bounds
@@ -152,7 +196,7 @@ def shard_documents(
     first_rank = F.element_at(F.array(*[F.lit(r).cast("long") for r in [0, *(r for *_, r in bounds)]]), F.col("shard") + 1)
     in_unit = Window.partitionBy("__cell", "__sub").orderBy("__d", "__h", "__size")
     return (
-        _cut(sized.withColumn("__cell", cell), cuts)
+        _cut(sized, cuts)
         .join(F.broadcast(ranks), ["__cell", "__sub"])
         .withColumn("shard", shard)
         .withColumn("slot", F.row_number().over(in_unit) - 1 + F.col("__rank") - first_rank)

@@ -59,6 +59,33 @@ def test_sharding_cuts_hot_cells_by_counts(spark, far):
     assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("repeated", [(7, "a text that comes many times"), (None, "a text that comes many times")])
+def test_sharding_parts_rows_that_repeat(spark, repeated):
+    """A third of the rows are equal in id and text, or have no id: the law of bytes holds for them too."""
+    rows = [(k, f"text {k} " + "x" * (k % 37)) for k in range(2000)] + [repeated] * 1000
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard_documents(table).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += len(r.text) + 8
+        slots[r.shard].append(r.slot)
+    assert sorted(sizes) == list(range(24)) and max(sizes.values()) - min(sizes.values()) <= 2 * 60
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    keys = table.select(F.lit(0).cast("long").alias("__cell"), F.monotonically_increasing_id().alias("__d"))
+    parts = Counter(r["__sub"] for r in sharding._cut(keys, sharding._hot_cuts(keys, {0: 60})).collect())
+    assert max(parts.values()) <= len(rows) / 20
+
+
+def test_sharding_without_any_ids(spark):
+    rows = [(None, "t" * (k % 50 + 1)) for k in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n_shards=5).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += len(r.text) + 8
+    assert len(got) == 3000 and max(sizes.values()) - min(sizes.values()) <= 2 * 58
+
+
 @pytest.mark.parametrize("most_bits", [4, 27])
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda t: (F.crc32(F.coalesce(t, F.lit("")).cast("binary")) % 5).cast("string")])
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
