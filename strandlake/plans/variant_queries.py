@@ -9,6 +9,9 @@ from ..operators import linkage as L
 from ..operators import variant_stats as S
 from ..operators import variants as V
 from ..operators import windows as W
+from ..sources.bgzf_vcf import fetch_range, index_bgzf_vcf, write_bgzf_vcf
+from ..sources.scratch import scratch_uri
+from ..sources.vcf import format_sites, sites_of
 from .views import view, with_views
 
 QUERIES: dict = {}
@@ -111,6 +114,18 @@ def src_fetch_range(sites):
     return sites.where("chrom = 'chr2' AND pos >= 2000 AND pos < 90000").select("ord", "chrom", "pos", "ref")
 
 
+@query("SELECT chrom, pos, ref, len(alts) AS n_alts FROM sites WHERE chrom = 'chr2' AND pos < 90000 AND pos + length(ref) > 2000", "sites")
+def src_fetch_indexed(sites):
+    """All sites are written block-compressed and indexed; the range is fetched through the index."""
+    spark = sites.sparkSession
+    uri, index = scratch_uri(spark, "sites"), scratch_uri(spark, "sites-index")
+    bare = sites.withColumns({"ids": F.lit(None).cast("array<string>"), "filters": F.lit(None).cast("array<string>")})
+    lines = format_sites(bare.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos"))
+    write_bgzf_vcf(lines, uri, ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"])
+    index_bgzf_vcf(spark, uri, index)
+    return sites_of(fetch_range(spark, uri, index, "chr2", 2000, 90000)).select("chrom", "pos", "ref", F.size("alts").cast("long").alias("n_alts"))
+
+
 # Filters -------------------------------------------------------------------------------------------
 
 _FLAGS = f"""WITH {_ST}{_HET}, fl AS (SELECT s.ord, coalesce(maf < 0.95, false) AS polymorphic, coalesce(c.n >= 3, false) AS called, len(alts) = 1 AS biallelic,
