@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .exact_dedup import filter_bits, hit_filter, probe
+from .shared import discard, materialise, scratch_dir
 from .substring_dedup import chunks, word_hashes
 
 #: Words of a window, and of the shingles that are ordered by rarity.
@@ -161,6 +164,13 @@ def _count_shingles(docs: DataFrame, block, shingles: dict[int, np.ndarray]) ->
     return totals
 
 
+SPANS = "array<struct<start:int,end:int>>"
+#: Arrow types of n_words, spans and items.
+_ARROW = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
+#: A word of a text in which A-Z still are A-Z.
+_CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """Find benchmark items in whole documents: adds n_words, spans and items (columns of these names are replaced).
 
@@ -172,67 +182,132 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
 
     Distinct items are collected in blocks of about block_bytes of text, or one longer item: as many
     blocks as the benchmark needs.  What is broadcast is about 45 bytes for each word of a block, 36 MB
-    at the default.  One block is at work at a time; with several, the documents are written after
-    each.  Documents are neither shuffled nor collected.  Null texts have no words; items without words
-    have no windows; a null item_id counts as an empty name, items of equal names as one; an empty
-    benchmark marks nothing.
+    at the default.  One block is at work at a time; with several, each writes only the spans and items
+    of the texts that it hits, by their digests, and documents join these once.  Documents are neither
+    written nor collected, and only those that hits may belong to are shuffled.  Null texts have no words;
+    items without words have no windows; a null item_id counts as an empty name, items of equal names as
+    one; an empty benchmark marks nothing.
     """
-    spark = docs.sparkSession
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text")
     ).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))
-    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    new = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
-    kept = [f for f in docs.schema.fields if f.name not in {n.name for n in new}]
-    schema = T.StructType(kept + new)
-    arrow = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
-    out = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
-    text_at = [f.name for f in kept].index("text")
-
+    docs = docs.drop("n_words", "spans", "items")
+    if n_blocks > 1:
+        return _mark_by_blocks(docs, items, n_blocks)
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>").fields)
+    return docs.mapInArrow(_marker(_broadcast(docs, items), docs.columns.index("text")), schema)
+
+
+def _broadcast(docs: DataFrame, items: DataFrame):
+    """A block of the items, whose prefixes are chosen by all documents."""
+    context = docs.sparkSession.sparkContext
+    block = Block([tuple(r) for r in items.collect()])
+    shared = context.broadcast(block)
+    block.choose(_count_shingles(docs, shared, block.shingles))
+    shared.unpersist()
+    return context.broadcast(block)
+
+
+def _mark_by_blocks(docs: DataFrame, items: DataFrame, n_blocks: int) -> DataFrame:
+    spark, schema = docs.sparkSession, f"digest string, spans {SPANS}, items array<string>"
+    folder = scratch_dir(spark, "marks")
     for k in range(n_blocks):
-        block = Block([tuple(r) for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k).collect()])
-        shared = spark.sparkContext.broadcast(block)
-        block.choose(_count_shingles(docs, shared, block.shingles))
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(block), text_at, len(kept), arrow), schema)
-        shared.unpersist()
-        if n_blocks > 1:
-            out = materialise(out, "marked")
-    return out
+        block = _broadcast(docs, items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k))
+        materialise(docs.select("text").mapInArrow(_finder(block), schema), f"block={k}", folder)
+        block.unpersist()
+    found = spark.read.schema(f"{schema}, block string").parquet(folder)
+    # Copies of a text have equal marks: one of each block is enough.
+    one = found.groupBy("digest", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("n"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    together = one.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), names.alias("items"), F.max("n").alias("n"))
+    marks = materialise(together.mapInArrow(_merge_spans, together.schema), "marked-texts")
+    discard(spark, folder)
+
+    # Other columns get names that nothing here has.
+    names = [c if c == "text" else f"__kept_{k}" for k, c in enumerate(docs.columns)]
+    size, rows = marks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = filter_bits(size)
+    after = dict(zip(names, docs.columns))
+    docs = probe(docs.toDF(*names).withColumn("digest", F.sha2("text", 256)), hit_filter(marks, bits), bits)
+    may, few = docs.where("may_hit"), F.col("n") * 4096 <= rows
+    # Texts with more than a 4,096th of the marked rows are fewer than 4,096: their marks go to their rows.
+    hot = F.broadcast(marks.where(~few))
+    known = may.join(hot, "digest").unionByName(may.join(hot.select("digest"), "digest", "left_anti").join(marks.where(few), "digest", "left"))
+    out = known.unionByName(docs.where("NOT may_hit"), allowMissingColumns=True)
+    return out.select(
+        *[F.col(n).alias(c) for n, c in after.items()],
+        F.coalesce(F.regexp_count("text", F.lit(_CASED_WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce("spans", F.array().cast(SPANS)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+
 
+def _marks(block, texts: list):
+    """Of a batch's texts: the words of each, and its merged spans and sorted items by place, where it has any."""
+    counts, spans, names = [], {}, {}
+    for first, n, ids in _numbered(block, texts):
+        counts += n.tolist()
+        begin = np.cumsum(n + 1) - n - 1
+        start, end, window = block.find(ids)
+        row = np.searchsorted(begin, start, side="right") - 1
+        for r in np.unique(row).tolist():
+            mine = row == r
+            edges = np.zeros(n[r] + 2, np.int64)
+            np.add.at(edges, start[mine] - begin[r] + 1, 1)
+            np.add.at(edges, end[mine] - begin[r] + 1, -1)
+            cuts = np.flatnonzero(np.diff((np.cumsum(edges) > 0).view(np.int8))).tolist()
+            spans[first + r] = [{"start": s, "end": e} for s, e in zip(cuts[::2], cuts[1::2])]
+            w = np.unique(window[mine])
+            names[first + r] = sorted({block.names[o] for x in w.tolist() for o in block.owner[block.owners[x] : block.owners[x + 1]].tolist()})
+    return counts, spans, names
+
+
+def _marker(block, text_at: int):
+    """Documents with what a block marks in them."""
 
-def _marker(block, text_at: int, n_kept: int, arrow: list):
     def mark(batches):
-        b = block.value
         for batch in batches:
-            columns = batch.columns[:n_kept]
-            before = list(zip(batch.column(n_kept + 1).to_pylist(), batch.column(n_kept + 2).to_pylist()))
-            counts, spans, names = [], [list(old) for old, _ in before], [list(had) for _, had in before]
-            for first, n, ids in _numbered(b, columns[text_at].to_pylist()):
-                counts += n.tolist()
-                begin = np.cumsum(n + 1) - n - 1
-                start, end, window = b.find(ids)
-                row = np.searchsorted(begin, start, side="right") - 1
-                for r in np.unique(row).tolist():
-                    mine = row == r
-                    edges = np.zeros(n[r] + 2, np.int64)
-                    np.add.at(edges, start[mine] - begin[r] + 1, 1)
-                    np.add.at(edges, end[mine] - begin[r] + 1, -1)
-                    hit = np.cumsum(edges) > 0
-                    for s in spans[first + r]:
-                        hit[s["start"] + 1 : s["end"] + 1] = True
-                    cuts = np.flatnonzero(np.diff(hit.view(np.int8))).tolist()
-                    spans[first + r] = [{"start": s, "end": e} for s, e in zip(cuts[::2], cuts[1::2])]
-                    w = np.unique(window[mine])
-                    own = {b.names[o] for x in w.tolist() for o in b.owner[b.owners[x] : b.owners[x + 1]].tolist()}
-                    names[first + r] = sorted(own.union(names[first + r]))
-            fresh = [pa.array(x, t) for x, t in zip((counts, spans, names), arrow)]
-            yield pa.RecordBatch.from_arrays([*columns, *fresh], batch.schema.names)
+            counts, spans, names = _marks(block.value, batch.column(text_at).to_pylist())
+            rows = range(len(counts))
+            fresh = [counts, [spans.get(r, []) for r in rows], [names.get(r, []) for r in rows]]
+            arrays = [pa.array(x, t) for x, t in zip(fresh, _ARROW)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "n_words", "spans", "items"])
 
     return mark
 
 
+def _finder(block):
+    """Digest, spans and items of the texts that a block hits."""
+
+    def find(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            _, spans, names = _marks(block.value, texts)
+            digests = [hashlib.sha256(texts[r].encode()).hexdigest() for r in spans]
+            arrays = [pa.array(digests, pa.string()), pa.array(list(spans.values()), _ARROW[1]), pa.array([names[r] for r in spans], _ARROW[2])]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "spans", "items"])
+
+    return find
+
+
+def _merge_spans(batches):
+    """Spans of several blocks, in any order, to ranges that neither touch nor overlap."""
+    for batch in batches:
+        at, out = batch.schema.get_field_index("spans"), []
+        for spans in batch.column(at).to_pylist():
+            merged = []
+            for s in sorted(spans, key=lambda s: s["start"]):
+                if merged and s["start"] <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                else:
+                    merged.append(dict(s))
+            out.append(merged)
+        columns = [pa.array(out, _ARROW[1]) if k == at else c for k, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 def op9_prefix_filtered_decontamination(spark, sf_dir: str) -> DataFrame:
     """Per document how many words benchmark windows hit, and which items."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

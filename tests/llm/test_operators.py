@@ -233,6 +233,36 @@ def test_decontamination(spark, docs, empty, block):
     assert decontaminate.mark_contaminated(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_blocks_write_marks_and_no_documents(spark, docs, tmp_path, monkeypatch):
+    """Ten blocks and more: what they write stays far below one copy of the documents."""
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    copied = next(r for r in docs.orderBy("doc_id").collect() if r.doc_id is not None and len((r.text or "").split()) > 60)
+    items = [(f"i{k}", " ".join(texts[k].split()[4:40])) for k in range(40)] + [("j", texts[9] + " more"), ("long", copied.text)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    hot = docs.unionByName(docs.where(F.col("doc_id") == copied.doc_id).limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(1000), F.lit(1100)))))
+    clean = spark.range(2000, 2200).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda k: F.hex(F.xxhash64("id", k))), " ").alias("text"))
+    hot = hot.unionByName(clean, allowMissingColumns=True).repartition(4).cache()
+    sizes, write = [], decontaminate.materialise
+
+    def weigh(df, label, folder=None):
+        got = write(df, label, folder)
+        sizes.append((label, sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))))
+        return got
+
+    monkeypatch.setattr(decontaminate, "materialise", weigh)
+    monkeypatch.setattr(decontaminate, "scratch_dir", lambda _, label: f"file://{tmp_path}/{label}")
+    total = sum(len(t.encode()) for _, t in set(items))
+    got = decontaminate.mark_contaminated(hot.withColumn("digest", F.lit("clash")), bench, block_bytes=total // 12).collect()
+    assert sum(label.startswith("block=") for label, _ in sizes) >= 10 and sizes[-1][0] == "marked-texts"
+    assert not list(tmp_path.rglob("block=*")) and len(got) == hot.count()
+    one = Counter((r.doc_id, r.text, r.n_words, str(r.spans), str(r.items)) for r in decontaminate.mark_contaminated(hot, bench).collect())
+    assert Counter((r.doc_id, r.text, r.n_words, str(r.spans), str(r["items"])) for r in got) == one
+    assert all(r.digest == "clash" for r in got) and sum(bool(r.spans) for r in got) > 100
+    # Each block writes some kilobytes; one copy of the texts would be 10 MB.
+    assert max(size for _, size in sizes) < hot.agg(F.sum(F.octet_length("text"))).first()[0] / 50
+    hot.unpersist()
+
+
 def test_token_records(docs, empty):
     path = token_records.default_tokenizer()
     got = sorted(token_records.encoded_documents(docs, path).collect(), key=lambda r: r.start)
