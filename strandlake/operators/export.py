@@ -23,15 +23,18 @@ def iupac(ref: Column, alts: Column) -> Column:
 
 def flanked_alleles(sites: DataFrame, references: DataFrame, length: int = 60, min_length: int = 0) -> DataFrame:
     """ord and text left[ref/alt]right, the flanks as they are in references (chrom, seq), with codes where
-    other sites fall.  Flanks end at the ends of the reference; those shorter than min_length give null."""
+    other sites fall (of several at a place the one of least ord).  Flanks end at the ends of the reference; those shorter than min_length give null."""
     rows = sites.join(references, "chrom")
     left = F.substring("seq", F.greatest(F.col("pos") - length, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(length)))
     stop = F.col("pos") + F.length("ref")
     right = F.substring("seq", stop + 1, F.lit(length))
     rows = rows.select("ord", "chrom", "pos", "ref", "alts", left.alias("left"), right.alias("right"))
     others = sites.select("ord", "chrom", "pos", iupac(F.col("ref"), F.col("alts")).alias("code"))
-    near = range_join(sites.select("ord", "chrom", "pos", F.length("ref").alias("n")), others, "chrom", length).where("ord <> ord_2")
-    marks = near.groupBy("ord").agg(F.collect_list(F.struct((F.col("pos_2") - F.col("pos")).alias("away"), F.col("code_2").alias("code"))).alias("marks"))
+    ends = sites.select("ord", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("stop"))
+    before = range_join(ends.withColumn("pos", F.col("start")), others, "chrom", length).where("pos_2 < start")
+    behind = range_join(ends.withColumn("pos", F.col("stop")), others, "chrom", length).where("pos_2 >= stop")
+    near = before.unionByName(behind)
+    marks = near.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct((F.col("pos_2") - F.col("start")).alias("away"), "ord_2", F.col("code_2").alias("code")))).alias("marks"))
     rows = rows.join(marks, "ord", "left")
 
     def marked(text: Column, first: Column) -> Column:

@@ -258,7 +258,16 @@ def src_fasta_and_qual(reads):
     return join_qualities(reads, reads.where("qual <> ''").select("name", scores.alias("scores"))).select("name", "qual")
 
 
-@query(None, "reads")
+def _orfs(least: int) -> str:
+    """SQL: the longest stretch without a stop codon of each read, as tables st, fr, cu, pa and orf."""
+    return f"""st AS (SELECT name, 1 AS strand, upper(seq) AS t FROM reads UNION ALL SELECT name, -1, translate(reverse(upper(seq)), 'ACGT', 'TGCA') FROM reads),
+fr AS (SELECT name, strand, f, length(t) AS n, regexp_extract_all(substr(t, f + 1), '...') AS c FROM st, (VALUES (0), (1), (2)) v(f)),
+cu AS (SELECT name, strand, f, n, list_concat(list_concat([0], list_filter(range(1, len(c) + 1), lambda k: c[k] IN ('TAA', 'TAG', 'TGA'))), [len(c) + 1]) AS s FROM fr),
+pa AS (SELECT name, strand, f, n, s[i] AS a, 3 * (s[i + 1] - s[i] - 1) AS size FROM (SELECT *, unnest(range(1, len(s))) AS i FROM cu)),
+orf AS (SELECT name, CASE WHEN strand = 1 THEN f + 3 * a ELSE n - f - 3 * a - size END AS start, size, strand FROM pa WHERE size >= {least} QUALIFY row_number() OVER (PARTITION BY name ORDER BY size DESC, strand DESC, f, a) = 1)"""
+
+
+@query(f'WITH {_orfs(90)} SELECT r.name, CAST(start AS INT) AS start, CAST(start + size - 1 AS INT) AS "end", CAST(strand AS INT) AS strand FROM reads r LEFT JOIN orf ON r.name = orf.name', "reads")
 def ext_longest_orf(reads):
     return reads.select("name", T.orf_of(F.col("seq"), F.lit(90)).alias("o")).select("name", "o.*")
 
@@ -312,7 +321,16 @@ def trm_chimeras(hits):
     return trim.trim_chimera_segments(rows).select("qname", F.col("segment.start").alias("start"), F.col("segment.end").alias("end"))
 
 
-@query(None, "sites", "refs")
+@query(
+    """WITH s AS (SELECT ord, chrom, pos % 3900 AS p, ref, alts, CASE WHEN len(alts) = 1 AND length(ref) = 1 THEN CASE array_to_string(list_sort([ref, alts[1]]), '') WHEN 'AG' THEN 'R' WHEN 'CT' THEN 'Y' WHEN 'CG' THEN 'S' WHEN 'AT' THEN 'W' WHEN 'GT' THEN 'K' WHEN 'AC' THEN 'M' END
+  WHEN len(alts) = 1 THEN '-' ELSE '*' END AS code FROM sites WHERE chrom IN (SELECT ref FROM refs)),
+first AS (SELECT chrom, p, arg_min(code, ord) AS code FROM s GROUP BY chrom, p),
+f AS (SELECT s.*, k, CASE WHEN k < 0 THEN p + k ELSE p + length(ref) + k END AS q FROM s, (SELECT unnest(range(-60, 60)) AS k)),
+b AS (SELECT f.ord, k, coalesce(first.code, substr('ACGTTGCAAC', CAST(q % 10 AS INT) + 1, 1)) AS base FROM f LEFT JOIN first ON first.chrom = f.chrom AND first.p = q WHERE q >= 0 AND q < 4000),
+t AS (SELECT ord, coalesce(string_agg(base, '' ORDER BY k) FILTER (k < 0), '') AS l, coalesce(string_agg(base, '' ORDER BY k) FILTER (k >= 0), '') AS r FROM b GROUP BY ord)
+SELECT s.ord, CASE WHEN length(l) >= 30 AND length(r) >= 30 THEN l || '[' || s.ref || '/' || array_to_string(alts, '/') || ']' || r END AS text FROM s LEFT JOIN t ON s.ord = t.ord""",
+    "sites", "refs",
+)
 def ld_flanked_alleles(sites, refs):
     """Sites on references of 4,000 bases made of one motif."""
     short = sites.withColumn("pos", F.col("pos") % 3900)
