@@ -272,7 +272,23 @@ def ext_longest_orf(reads):
     return reads.select("name", T.orf_of(F.col("seq"), F.lit(90)).alias("o")).select("name", "o.*")
 
 
-@query(None, "reads")
+def _tails(x: str, text: str, base: str) -> str:
+    """SQL: letters of each read's poly-base tail, from the start of text on, as table {x}tail; its steps as other tables."""
+    return f"""{x}c AS (SELECT name, unnest(range(length(seq))) AS i, unnest(string_split({text}, '')) AS b FROM reads WHERE length(seq) > 0),
+{x}k AS (SELECT name, i, b, CASE WHEN b NOT IN ('{base}', 'N') THEN 1 ELSE 0 END AS bad FROM {x}c),
+{x}s AS (SELECT *, sum(bad) OVER (PARTITION BY name ORDER BY i) AS nb, max(CASE WHEN b = '{base}' THEN i END) OVER (PARTITION BY name ORDER BY i) AS la FROM {x}k),
+{x}t AS (SELECT name, min(i) AS stop FROM (SELECT *, sum(bad) OVER (PARTITION BY name, la ORDER BY i) AS run FROM {x}s) WHERE run > 1 GROUP BY name),
+{x}z AS (SELECT s.name, s.i, sum(CASE WHEN b = '{base}' THEN 1 ELSE 0 END) OVER (PARTITION BY s.name, nb ORDER BY s.i) AS poly FROM {x}s s LEFT JOIN {x}t t ON s.name = t.name WHERE stop IS NULL OR s.i < stop),
+{x}tail AS (SELECT name, max(i) + 1 AS tail FROM {x}z WHERE poly >= 5 GROUP BY name)"""
+
+
+@query(
+    f"""WITH {_tails("a_", "reverse(upper(seq))", "A")}, {_tails("t_", "upper(seq)", "T")}, {_orfs(300)},
+d AS (SELECT r.name, seq, coalesce(a.tail, 0) AS ta, coalesce(t.tail, 0) AS tt, strand FROM reads r LEFT JOIN a_tail a ON r.name = a.name LEFT JOIN t_tail t ON r.name = t.name LEFT JOIN orf ON r.name = orf.name),
+e AS (SELECT *, CASE WHEN ta + tt > 0 THEN 'polyA' WHEN strand IS NOT NULL THEN 'ORF' END AS reason, coalesce(CASE WHEN ta + tt > 0 THEN ta < tt ELSE strand = -1 END, false) AS turned FROM d)
+SELECT name, reason, turned, md5(CASE WHEN turned THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END) AS seq_md5 FROM e""",
+    "reads",
+)
 def ext_orientate(reads):
     got = T.orientate(reads)
     return got.select("name", "reason", "turned", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
