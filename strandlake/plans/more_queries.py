@@ -294,14 +294,40 @@ def ext_orientate(reads):
     return got.select("name", "reason", "turned", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
-@query(None, "reads")
+OLIGOS = [("linker", "AGTAGTAATACGAT"), ("adapter", "TTACAGTAGTAAC")]
+
+
+def _oligos(oligos: list[tuple[str, str]]) -> str:
+    """SQL: hits of oligos on both strands as table oh: every start that shares eight letters in a row, then its identity."""
+    given = ", ".join(f"('{name}', '{seq}')" for name, seq in oligos)
+    return f"""oo AS (SELECT * FROM (VALUES {given}) v(subject, q)), ob AS (SELECT subject, q, 1 AS strand FROM oo UNION ALL SELECT subject, translate(reverse(q), 'ACGT', 'TGCA'), -1 FROM oo),
+os AS (SELECT subject, q, strand, k, substr(q, CAST(k AS INT) + 1, 8) AS w FROM (SELECT *, unnest(range(0, length(q) - 7)) AS k FROM ob)),
+ow AS (SELECT name, i, substr(t, CAST(i AS INT) + 1, 8) AS w FROM (SELECT name, upper(seq) AS t, unnest(range(0, length(seq) - 7)) AS i FROM reads)),
+om AS (SELECT DISTINCT ow.name, subject, q, strand, i - k AS s FROM ow JOIN os ON ow.w = os.w),
+ox AS (SELECT om.*, length(q) AS m, upper(substr(seq, CAST(greatest(0, s) AS INT) + 1, CAST(least(length(seq), s + length(q)) - greatest(0, s) AS INT))) AS t, greatest(0, s) AS lo, least(length(seq), s + length(q)) AS hi FROM om JOIN reads ON om.name = reads.name),
+oi AS (SELECT *, 100 * len(list_filter(range(0, hi - lo), lambda p: substr(t, CAST(p AS INT) + 1, 1) = substr(q, CAST(lo - s + p AS INT) + 1, 1))) / (hi - lo) AS identity FROM ox WHERE hi - lo >= 12),
+oh AS (SELECT name AS query, subject, CAST(lo AS INT) AS q_start, CAST(hi - 1 AS INT) AS q_end, CAST(CASE WHEN strand = 1 THEN lo - s ELSE m - 1 - (lo - s) END AS INT) AS s_start,
+  CAST(CASE WHEN strand = 1 THEN hi - s - 1 ELSE m - (hi - s) END AS INT) AS s_end, identity, hi - lo < m AS partial FROM oi WHERE identity >= 85)"""
+
+
+@query(f"WITH {_oligos(OLIGOS)} SELECT * FROM oh", "reads")
 def ext_oligo_hits(reads):
-    return T.oligo_hits(reads, [("linker", "AGTAGTAATACGAT"), ("adapter", "TTACAGTAGTAAC")], min_identity=85, min_length=12)
+    return T.oligo_hits(reads, OLIGOS, min_identity=85, min_length=12)
 
 
-@query(None, "reads")
+@query(
+    f"""WITH {_oligos(OLIGOS[:1])}, h AS (SELECT DISTINCT query AS name, q_start, q_end, partial FROM oh),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY q_start, q_end, partial) AS i FROM h),
+c AS (SELECT name, i, q_start - 1 AS stop, 1 + lag(q_end) OVER (PARTITION BY name ORDER BY i) AS start, partial FROM n),
+p AS (SELECT r.name, coalesce(start, 0) AS start, coalesce(stop, length(seq) - 1) AS stop, coalesce(i, 1) AS i FROM reads r LEFT JOIN c ON r.name = c.name
+  UNION ALL SELECT n.name, q_end + 1, length(seq) - 1, i + 1 FROM n JOIN reads r ON n.name = r.name QUALIFY row_number() OVER (PARTITION BY n.name ORDER BY i DESC) = 1),
+k AS (SELECT *, count(*) OVER (PARTITION BY name) AS parts, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM p WHERE stop >= start),
+f AS (SELECT name, bool_or(partial) AS partial FROM n GROUP BY name)
+SELECT k.name || CASE WHEN parts = 1 THEN '' WHEN parts = 2 THEN CASE WHEN partial THEN '_pl' ELSE '' END || chr(92) || k ELSE '_mlc.part' || k END AS name, CAST(stop - start + 1 AS INT) AS len FROM k LEFT JOIN f ON k.name = f.name""",
+    "reads",
+)
 def ext_split_mates(reads):
-    found = T.oligo_hits(reads, [("linker", "AGTAGTAATACGAT")], min_identity=85, min_length=12)
+    found = T.oligo_hits(reads, OLIGOS[:1], min_identity=85, min_length=12)
     one = F.array_sort(F.collect_set(F.struct(F.col("q_start").alias("start"), F.col("q_end").alias("end"), "partial")))
     linkers = found.groupBy(F.col("query").alias("name")).agg(one.alias("segments"))
     return T.split_mates(reads.select("name", "seq"), linkers).select("name", F.length("seq").alias("len"))
