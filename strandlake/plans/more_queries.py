@@ -85,7 +85,21 @@ def vfl_weird_segregation(sites, calls):
     return R.weird_segregation(sites, calls, 500, 4000).select("ord", F.round("failed", 6).alias("failed"), "passed")
 
 
-@query(None, "sites", "calls")
+@query(
+    """WITH s AS (SELECT ord, CASE WHEN sample IN ('S1', 'S2') THEN 'A' ELSE 'B' END AS g, a FROM (SELECT ord, sample, a1 AS a FROM calls WHERE called UNION ALL SELECT ord, sample, a2 FROM calls WHERE called) WHERE a IS NOT NULL AND sample IN ('S1', 'S2', 'S3', 'S4')),
+u AS (SELECT ord, g, min(a) AS a FROM s GROUP BY ord, g HAVING count(DISTINCT a) = 1), k AS (SELECT x.ord, x.a AS a_, y.a AS b_ FROM u x JOIN u y ON x.ord = y.ord AND x.g = 'A' AND y.g = 'B' AND x.a <> y.a),
+r AS (SELECT ord, chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos, ord) AS i FROM sites),
+hom AS (SELECT ord, sample, a1 AS x FROM calls WHERE called AND a1 = a2 AND sample IN ('S5', 'S6', 'S7')),
+d AS (SELECT one.ord, two.ord AS o2 FROM r one, (SELECT unnest(range(-10, 11)) AS away) w JOIN r two ON two.chrom = one.chrom AND two.i = one.i + away WHERE away <> 0),
+t AS (SELECT d.ord, o2, h.x, count_if(g.x = a_) AS na, count_if(g.x = b_) AS nb FROM d JOIN k ON k.ord = o2 JOIN hom h ON h.ord = d.ord JOIN hom g ON g.ord = o2 AND g.sample = h.sample WHERE g.x = a_ OR g.x = b_ GROUP BY d.ord, o2, h.x),
+b AS (SELECT *, first_value(x) OVER (PARTITION BY ord, o2 ORDER BY na - nb DESC, x) AS a, first_value(x) OVER (PARTITION BY ord, o2 ORDER BY nb - na DESC, x) AS b FROM t),
+v AS (SELECT ord, o2, a, b, greatest(2 * (0.5 - sum(CASE WHEN x = a THEN nb WHEN x = b THEN na ELSE 0 END) / CAST(sum(na + nb) AS DOUBLE)), 0.0) AS w FROM b WHERE a <> b GROUP BY ALL),
+g AS (SELECT ord, a, b, sum(w) AS w FROM v GROUP BY ALL),
+o AS (SELECT ord, sum(w) AS total, count(*) AS codings, max(w) AS most, arg_max(a, w) AS a, arg_max(b, w) AS b FROM g GROUP BY ord),
+e AS (SELECT sites.ord, a, b, CASE WHEN total IS NULL OR total = 0 THEN 'no_info' WHEN codings > 2 THEN 'more_than_2_codings' WHEN most / total < 0.9 THEN 'not_enough_support' ELSE 'enough_support' END AS outcome FROM sites LEFT JOIN o ON sites.ord = o.ord)
+SELECT ord, outcome, CASE WHEN outcome = 'enough_support' THEN a END AS "A", CASE WHEN outcome = 'enough_support' THEN b END AS "B" FROM e""",
+    "sites", "calls",
+)
 def ld_vote_codes(sites, calls):
     coding = L.parent_alleles(calls, ["S1", "S2"], ["S3", "S4"])
     return R.vote_codes(sites, calls, coding, ["S5", "S6", "S7"])
