@@ -123,3 +123,18 @@ def test_marker_matrix_fills_places_without_codes(spark, block):
     want = {s: "".join(row.get(o) or "-" for o in (0, 3, 7, 8, 9, 12)) for s, row in cells.items()}
     assert {r.sample: r.codes for r in export.marker_matrix(codes, block).collect()} == want
     assert export.marker_matrix(codes.where("ord < 0"), block).count() == 0
+
+
+def test_flanks_take_codes_behind_a_deletion(spark):
+    from strandlake.operators.export import flanked_alleles
+
+    sites = spark.createDataFrame(
+        [(1, "c", 10, "ACGT", ["A"]), (2, "c", 14, "A", ["G"]), (3, "c", 18, "C", ["T"]), (4, "c", 18, "C", ["A"]), (5, "c", 7, "T", ["TA"]), (6, "c", 12, "G", ["C"])],
+        "ord long, chrom string, pos long, ref string, alts array<string>",
+    )
+    refs = spark.createDataFrame([("c", "T" * 10 + "ACGT" + "A" * 4 + "C" * 6)], "chrom string, seq string")
+    got = {r.ord: r.text for r in flanked_alleles(sites, refs, 5).collect()}
+    # The site at 18 is eight letters away from the start of the deletion but within five of its end; 12 lies in it.
+    assert got[1] == "TT^TT[ACGT/A]RAAAY"
+    assert got[2].endswith("[A/G]AAAYC")
+    assert {r.ord for r in flanked_alleles(sites, refs, 5, min_length=11).where("text IS NOT NULL").collect()} == set()
