@@ -68,6 +68,29 @@ def min_part_length(hits: DataFrame, residues: int, side: str = "q") -> DataFram
     return hits.where(F.abs(F.col(f"{side}_end") - F.col(f"{side}_start")) >= residues)
 
 
+#: Filters of a chain by their kinds.
+FILTERS = {"score_threshold": score_threshold, "best_scores": best_scores, "min_length": min_length, "min_part_length": min_part_length}
+
+
+def filter_hits(hits: DataFrame, config: list[dict]) -> DataFrame:
+    """Parts left by a chain of filters, each a kind of FILTERS and its arguments; each sees what those before it
+    left, and a match or query without parts is gone.  matches() gives the bounds of what is left."""
+    for step in config:
+        arguments = {k: v for k, v in step.items() if k != "kind"}
+        if step.get("kind") not in FILTERS:
+            raise ValueError(f"{step.get('kind')} is none of the filters {', '.join(FILTERS)}")
+        hits = FILTERS[step["kind"]](hits, **arguments)
+    return hits
+
+
+def subject_segments(hits: DataFrame, config: list[dict] | None = None) -> DataFrame:
+    """query and segments: what the parts of all its matches cover, in the subjects' coordinates, merged.
+
+    Subjects are not told apart, as in a search against one sequence; queries without parts have no row."""
+    s = F.struct(F.least("s_start", "s_end").alias("start"), F.greatest("s_start", "s_end").alias("end"))
+    return filter_hits(hits, config or []).groupBy("query").agg(merge_segments(F.collect_list(s)).alias("segments"))
+
+
 def elongate(hits: DataFrame, complete: str = "s") -> DataFrame:
     """Stretch each part so that one side is aligned completely, as far as the other side reaches.
     Adds elongated, the residues added."""

@@ -182,6 +182,25 @@ def seg_covered_by_hits(hits):
     return rows.select("query", "subject", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
+_BEST = "SELECT * FROM (SELECT *, min(expect) OVER (PARTITION BY query) AS best FROM hits) WHERE expect = 0.0 OR (expect < 0.005 AND abs(log10(nullif(expect, 0)) - CASE WHEN best = 0 THEN 0 ELSE log10(nullif(best, 0)) END) < 0.5)"
+_CHAIN = [{"kind": "best_scores", "key": "expect", "log_tolerance": 0.5, "max_score": 0.005}, {"kind": "min_length", "percent": 20}]
+
+
+@query(f"WITH b AS ({_BEST}), {_COV.replace('FROM hits', 'FROM b')}, l AS (SELECT query, subject FROM m GROUP BY query, subject HAVING sum(e - s + 1) * 100.0 / 160 >= 20) SELECT query, subject, {_SPAN}, count(*) AS parts FROM b JOIN l USING (query, subject) GROUP BY query, subject", "hits")
+def aln_filter_chain(hits):
+    return H.matches(H.filter_hits(hits, _CHAIN)).drop("expect", "identity", "score")
+
+
+@query(
+    f"""WITH b AS ({_BEST}), g AS (SELECT query, least(s_start, s_end) AS s, greatest(s_start, s_end) AS e FROM b), h AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY query ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM g)
+SELECT query, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM h) GROUP BY query, i""",
+    "hits",
+)
+def seg_covered_on_subjects(hits):
+    rows = H.subject_segments(hits, _CHAIN[:1]).select("query", F.explode("segments").alias("x"))
+    return rows.select("query", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+
+
 @query(f"WITH {_COV}, l AS (SELECT query, subject FROM m GROUP BY query, subject HAVING sum(e - s + 1) * 100.0 / 160 >= 20) SELECT query, subject, part_no FROM hits JOIN l USING (query, subject)", "hits")
 def aln_min_length(hits):
     return H.min_length(hits, percent=20).select("query", "subject", "part_no")

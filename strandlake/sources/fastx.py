@@ -199,6 +199,11 @@ def read_reads(spark: SparkSession, *uris: str, fmt: str = "auto", split_bytes:
     return reader.option("multiline", str(multiline).lower()).option("path", ",".join(uris)).load()
 
 
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """name: the distinct names of a list, one a line; blank lines are none.  For semi and anti joins with reads."""
+    return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+$", "")).alias("name")).where("name <> ''").distinct()
+
+
 def join_qualities(fasta: DataFrame, qual: DataFrame, offset: int = 33) -> DataFrame:
     """FASTA reads and a table of name and whitespace-separated scores to FASTQ reads, by name."""
     scores = F.transform(F.split(F.trim("scores"), r"\s+"), lambda q: F.char(q.cast("int") + offset))

@@ -113,3 +113,32 @@ def test_depths_by_allele(spark):
     got = {r["sample"]: r.outcome for r in variants.low_evidence_alleles(table, 0.9999, "ril_self").collect()}
     assert got["S1"] == "not_enough_evidence" and got["S2"] == "enough_evidence"
     assert abs(variants.depth_stats(table).first().maf_depth - 40 / 49) < 1e-9
+
+
+def test_names_filter_reads(spark, tmp_path):
+    from strandlake.sources.fastx import read_names
+
+    (tmp_path / "names.txt").write_text("b\n\n a \r\nb\nlast\t\n")
+    names = read_names(spark, f"file://{tmp_path}/names.txt")
+    assert sorted(r.name for r in names.collect()) == ["a", "b", "last"]
+    reads = spark.createDataFrame([("a",), ("c",)], "name string")
+    assert [r.name for r in reads.join(names, "name", "left_anti").collect()] == ["c"]
+
+
+def test_a_chain_of_filters(spark):
+    from strandlake.operators.hits import filter_hits, matches, subject_segments
+
+    kind = "query string, subject string, part_no int, q_start int, q_end int, s_start int, s_end int, q_len int, s_len int, expect double, identity double, score double"
+    rows = [
+        ("q", "s", 1, 0, 49, 10, 59, 100, 90, 1e-9, 99.0, 80.0), ("q", "s", 2, 60, 69, 65, 60, 100, 90, 1e-8, 98.0, 20.0),
+        ("q", "t", 1, 0, 9, 0, 9, 100, 90, 1e-9, 99.0, 90.0), ("p", "s", 1, 0, 99, 0, 80, 100, 90, 1.0, 70.0, 5.0),
+    ]
+    hits = spark.createDataFrame(rows, kind)
+    chain = [{"kind": "score_threshold", "key": "score", "min_score": 10.0}, {"kind": "min_length", "residues": 20}]
+    (left,) = matches(filter_hits(hits, chain)).collect()
+    assert (left.query, left.subject, left.q_start, left.q_end, left.parts) == ("q", "s", 0, 69, 2)
+    (found,) = subject_segments(hits, chain).collect()
+    assert [(s.start, s.end) for s in found.segments] == [(10, 65)]
+    assert len(filter_hits(hits, []).collect()) == 4 and subject_segments(hits.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        filter_hits(hits, [{"kind": "unknown"}])
