@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .exact_dedup import filter_bits, hit_filter, probe
 from .shared import discard, join_salted, materialise, scratch_dir
-from .simhash import compare_units, tile_pairs, tiled_units
-from .substring_dedup import ROLL, Filter, _mix, chunks, word_hashes
+from .simhash import _spanning, compare_units, linked_fingerprints, simhash, tile_pairs, tiled_units
+from .substring_dedup import ROLL, Filter, _each, _mix, chunks, word_hashes
 
 SHINGLE = 5
 #: Jaccard similarity from which two texts are near copies, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
 #: Counters of the sketch that orders shingles by how common they are; 64-bit words of a parity bitmap.
 SLOTS, WORDS = 1 << 19, 4
+#: Words of the wider bitmaps of sets that are held whole; most such sets on a side.
+WIDE, HELD = 32, 256
 _BITS = [f"b{k}" for k in range(WORDS)]
 
 
@@ -52,13 +54,14 @@ def shingle_sets(texts: list | pa.Array, shingle: int = SHINGLE):
         yield at, row[new], value[new], len(raws)
 
 
-def parities(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
-    """n_rows x WORDS signed words: the parity bitmap of each set."""
-    out = np.zeros((n_rows, WORDS), np.int64)
+def parities(row: np.ndarray, value: np.ndarray, n_rows: int, words: int = WORDS) -> np.ndarray:
+    """n_rows x words (a power of two) signed words: the parity bitmap of each set."""
+    out = np.zeros((n_rows, words), np.int64)
+    top = np.uint64(65 - (64 * words).bit_length())
     for low in range(0, n_rows, 1024):
         a, b = np.searchsorted(row, (low, low + 1024))
         n = min(1024, n_rows - low)
-        odd = np.bincount((row[a:b] - low) * 64 * WORDS + (value[a:b] >> np.uint64(56)).astype(np.int64), minlength=n * 64 * WORDS) & 1
+        odd = np.bincount((row[a:b] - low) * 64 * words + (value[a:b] >> top).astype(np.int64), minlength=n * 64 * words) & 1
         out[low : low + n] = np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view("<i8")
     return out
 
@@ -89,8 +92,8 @@ def _counters(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), sig (hash of its shingle set), size, parity words, and the rarest
-    shingles toks.
+    """doc_id, h (hash of the text), fp (op6's SimHash fingerprint), sig (hash of its shingle set), size,
+    parity words, and the rarest shingles toks.
 
     Two sets of at least the similarity share one of their size - ceil(similarity * size) + 1 first
     shingles, whatever order all sets keep.
@@ -116,15 +119,17 @@ def _prefixes(docs: DataFrame) -> DataFrame:
             sig, size, bits, toks = map(np.concatenate, columns)
             counts = np.where(size > 0, size - -(-top * size // bottom) + 1, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(toks))
+            fp = pa.array([simhash(t) for t in _each(batch.column(2))], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sig), pa.array(size.astype(np.int32)), *[pa.array(b) for b in bits.T.copy()], lists],
-                ["doc_id", "h", "sig", "size", *_BITS, "toks"],
+                [batch.column(0), batch.column(1), fp, pa.array(sig), pa.array(size.astype(np.int32)), *[pa.array(b) for b in bits.T.copy()], lists],
+                ["doc_id", "h", "fp", "sig", "size", *_BITS, "toks"],
             )
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     words = ", ".join(f"{b} bigint" for b in _BITS)
-    return read.mapInArrow(run, f"doc_id {kind}, h bigint, sig bigint, size int, {words}, toks array<bigint>")
+    return read.mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, sig bigint, size int, {words}, toks array<bigint>")
 
 
 def _distinct_sets(prints: DataFrame, folder: str) -> DataFrame:
@@ -208,20 +213,24 @@ def similar_rows(batch, shingle: int = SHINGLE, step: int = 256):
             yield both * bottom >= (len(x) + len(y) - both) * top
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """Of the pairs (u, v) of sets, those whose Jaccard similarity is high enough, from the texts.
-
-    Only texts of these sets are moved, one for each set; a filter picks them where they lie.  The folder,
-    with all that the pairs are made from, is removed when the links are written.
-    """
-    pairs = materialise(pairs, "near-pairs", folder)
-    used = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+def _texts(used: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """sig, text: one text for each of the used sets; a filter picks them where they lie."""
     wanted = materialise(sets.join(used, "sig", "left_semi").select("sig", "h", row_key().alias("digest")), "near-wanted", folder)
     bits = filter_bits(wanted.count())
     read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").select(row_key().alias("digest"), "h", "text")
     read = probe(read, hit_filter(wanted, bits), bits).where("may_hit").drop("may_hit")
     read = read.dropDuplicates(["digest", "h"]).join(wanted, ["digest", "h"])
-    texts = materialise(read.select("sig", "text"), "near-texts", folder)
+    return materialise(read.select("sig", "text"), "near-texts", folder)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """Of the pairs (u, v) of sets, those whose Jaccard similarity is high enough, from the texts.
+
+    Only texts of these sets are moved, one for each set.  The folder, with all that the pairs are made
+    from, is removed when the links are written.
+    """
+    pairs = materialise(pairs, "near-pairs", folder)
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct(), sets, docs, folder)
 
     def run(batches):
         for batch in batches:
@@ -235,12 +244,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -
     return links
 
 
-def _apart_in_units(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a unit's sets that lie in different components and may be as similar."""
+def _simhash_links(prints: DataFrame, radius: int, tile: int, folder: str) -> DataFrame:
+    """Links (u, v) that join all sets with fingerprints at most radius bits apart: op6's tiles over the
+    distinct fingerprints, each told by the least of its sets."""
+    both = materialise(prints.select("fp", "sig").distinct(), "near-fp", folder)
+    named = materialise(both.groupBy("fp").agg(F.min("sig").alias("least")), "near-fp-least", folder)
+    equal = both.join(named, "fp").where("sig <> least").select(F.col("sig").alias("u"), F.col("least").alias("v"))
+    one, two = (named.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "uv")
+    near = materialise(linked_fingerprints(named.select("fp"), radius, tile).distinct(), "near-fp-links", folder)
+    near = join_salted(near.join(one, "u"), two, "v", "u", folder=folder)
+    return equal.unionByName(near.select(F.col("least_u").alias("u"), F.col("least_v").alias("v")))
+
+
+def _candidates_in_units(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join a unit's sets which lie in different components and may be as similar, one for each
+    set that is not the first of those joined."""
     top, bottom = SIMILARITY
     unit, side, sig, root, size, pos, *bits = rows
     bits = [b.view(np.uint64) for b in bits]
-    found = []
+    label = np.arange(len(sig))
     for i, j in tile_pairs(unit, side):
         i, j = (x[root[i] != root[j]] for x in (i, j))
         # At the first shingle that two sets share, all that they can still share lies behind it in both.
@@ -248,24 +270,101 @@ def _apart_in_units(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         i, j = i[enough], j[enough]
         apart = sum((np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits), np.zeros(len(i), np.int64))
         use = apart * (top + bottom) <= (size[i] + size[j]) * (bottom - top)
-        found.append(np.stack([np.maximum(sig[i[use]], sig[j[use]]), np.minimum(sig[i[use]], sig[j[use]])], axis=1))
-    pairs = np.unique(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=0)
+        if use.any():
+            known = np.flatnonzero(label != np.arange(len(sig)))
+            label = _spanning(len(sig), np.concatenate((known, i[use])), np.concatenate((label[known], j[use])))
+    moved = np.flatnonzero(label != np.arange(len(sig)))
+    return sig[moved], sig[label[moved]]
+
+
+def _links_in_units(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets that are similar enough and lie in different components, from their texts: one
+    for each two components that a unit's sets join, however many pairs join them."""
+    unit, side, sig, root, texts = rows
+    found = [np.zeros((0, 2), np.int64)]
+    cuts = np.flatnonzero(np.diff(unit)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
+        found.append(_links_of_unit(unit[a:b], side[a:b], sig[a:b], root[a:b], texts[a:b].tolist()))
+    pairs = np.concatenate(found)
     return pairs[:, 0], pairs[:, 1]
 
 
-def near_copies(docs: DataFrame, tile: int = 2048) -> DataFrame:
+def _links_of_unit(unit, side, sig, root, texts: list) -> np.ndarray:
+    top, bottom = SIMILARITY
+    sets, wide = [], []
+    for _, row, value, n_rows in shingle_sets(texts):
+        cuts = np.searchsorted(row, np.arange(n_rows + 1)).tolist()
+        sets += [value[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        wide.append(parities(row, value, n_rows, WIDE))
+    size, wide = np.array([len(x) for x in sets]), np.concatenate(wide).view(np.uint64)
+    parent = np.unique(root, return_index=True, return_inverse=True)
+    parent = parent[1][parent[2]].tolist()
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    links = []
+    for i, j in tile_pairs(unit, side):
+        use = (root[i] != root[j]) & (np.minimum(size[i], size[j]) * bottom >= np.maximum(size[i], size[j]) * top)
+        i, j = i[use], j[use]
+        apart = np.zeros(len(i), np.int64)
+        for k in range(WIDE):
+            apart += np.bitwise_count(wide[i, k] ^ wide[j, k])
+            use = apart * (top + bottom) <= (size[i] + size[j]) * (bottom - top)
+            i, j, apart = i[use], j[use], apart[use]
+        order = np.argsort(apart, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            x, y = find(a), find(b)
+            if x != y:
+                p, q = sorted((sets[a], sets[b]), key=len)
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if both * bottom >= (len(p) + len(q) - both) * top:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((max(sig[a], sig[b]), min(sig[a], sig[b])))
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
+def _size_class() -> Column:
+    """Sizes of similar sets lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIMILARITY[1] / SIMILARITY[0])) + 1e-9).cast("int")
+
+
+def _cluster_links(clusters: DataFrame, first: DataFrame, sets: DataFrame, docs: DataFrame, tile: int, folder: str) -> DataFrame:
+    """Links between sets of a cluster that are similar enough and lie in different components.
+
+    clusters: u, root for each set but the least of its cluster; first: sig, root of the components.
+    """
+    least = clusters.select(F.col("root").alias("sig"), F.col("root").alias("band")).distinct()
+    member = materialise(clusters.select(F.col("u").alias("sig"), F.col("root").alias("band")).unionByName(least), "near-clusters", folder)
+    total = member.groupBy("band").agg(F.count("*").alias("total"))
+    known = member.join(sets.select("sig", "size"), "sig").join(first, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    known = materialise(known.join(total, "band").select("band", "total", _size_class().alias("pop"), F.col("sig").alias("fp"), "root"), "near-members", folder)
+    texts = _texts(member.select("sig"), sets, docs, folder).withColumnRenamed("sig", "fp")
+    units = tiled_units(known, 1, tile).join(texts, "fp").select("unit", "side", "fp", "root", "text")
+    return materialise(compare_units(units, _links_in_units).distinct(), "near-more", folder)
+
+
+def near_copies(docs: DataFrame, tile: int = 2048, radius: int | None = None) -> DataFrame:
     """One row per document: doc_id, h (hash of the text), root (equal within a component).
 
     Components of links between texts whose sets of five-word shingles have a Jaccard similarity of
-    0.8 or more; a text of fewer words is one shingle, texts without words (or null) are one set.  All
-    such links are found, and each is verified by the whole sets:
+    0.8 or more; a text of fewer words is one shingle, texts without words (or null) are one set.  With
+    a radius, texts whose SimHash fingerprints differ in at most so many bits are linked as well, as op6
+    links them.  All such links are found, and each of the former is verified by the whole sets:
 
-    1. Equal sets are collapsed.  Two similar sets share one of the rarest shingles of both, so only
+    1. Fingerprints are compared in op6's tiles.  Bits bound no similarity, so the sets follow.
+    2. Equal sets are collapsed.  Two similar sets share one of the rarest shingles of both, so only
        sets with such a shingle in common are compared; sizes and ranks rule out more of them.
-    2. Each set is compared with the least and the last of those that share a shingle, which joins most
+    3. Each set is compared with the least and the last of those that share a shingle, which joins most
        of a group.
-    3. Sets that share a shingle and are still in different components are compared in tiles by
+    4. Sets that share a shingle and are still in different components are compared in tiles by
        exclusive-or and bit counts of their parity bitmaps (tile rows a side, however many share it).
+       What may be similar makes clusters, by one link for each set of a tile at most.
+    5. Clusters are compared with the texts at hand, large ones in tiles, and give one link for each
+       two components that are joined; pairs that fail leave the task as little as those that add nothing.
 
     So what is written grows with the documents and the links, not with the square of a group; tables
     that are no longer needed are removed, and the result is a table in the shared folder.  Rows
@@ -275,8 +374,8 @@ def near_copies(docs: DataFrame, tile: int = 2048) -> DataFrame:
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     raw, whole, kept, stage = (scratch_dir(spark, f"near-{c}") for c in ("raw", "whole", "kept", "stars"))
     prints = materialise(_prefixes(docs), "near-prints", raw)
-    sets = materialise(_distinct_sets(prints, raw), "near-sets", whole)
-    prints = materialise(prints.select("doc_id", "h", "sig"), "near-ids", kept)
+    sets = materialise(_distinct_sets(prints.drop("fp"), raw), "near-sets", whole)
+    prints = materialise(prints.select("doc_id", "h", "fp", "sig"), "near-ids", kept)
     discard(spark, raw)
     entries = materialise(_entries(sets, whole), "near-entries", kept)
     sets = materialise(sets.drop("toks"), "near-bits", kept)
@@ -288,17 +387,17 @@ def near_copies(docs: DataFrame, tile: int = 2048) -> DataFrame:
     stars = stars.select(F.col("sig").alias("u"), F.col("lead.sig").alias("v")).distinct()
     links = _verified(_bit_filter(stars, sets, stage), sets, docs, stage)
 
+    if radius is not None:
+        links = links.unionByName(_simhash_links(prints, radius, tile, kept))
     first = connected_components(links).withColumnRenamed("u", "sig")
     rooted = entries.join(first, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = rooted.groupBy("tok").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("total"))
     mixed = mixed.where("least <> most").select("tok", "total")
     rooted = rooted.join(mixed, "tok").join(sets.select("sig", *_BITS), "sig")
-    # Sizes of similar sets lie in the same class or in neighbouring ones.
-    pop = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIMILARITY[1] / SIMILARITY[0])) + 1e-9).cast("int")
     long = [F.col(c).cast("long").alias(c) for c in ("size", "pos")]
-    rooted = materialise(rooted.select(F.col("tok").alias("band"), "total", pop.alias("pop"), F.col("sig").alias("fp"), "root", *long, *_BITS), "near-rooted", kept)
-    more = compare_units(tiled_units(rooted, 1, tile), _apart_in_units).distinct()
-    more = _verified(more, sets, docs, scratch_dir(spark, "near-tiles"))
+    rooted = materialise(rooted.select(F.col("tok").alias("band"), "total", _size_class().alias("pop"), F.col("sig").alias("fp"), "root", *long, *_BITS), "near-rooted", kept)
+    drawn = materialise(compare_units(tiled_units(rooted, 1, tile), _candidates_in_units), "near-drawn", kept)
+    more = _cluster_links(connected_components(drawn), first, sets, docs, min(tile, HELD), kept)
 
     roots = connected_components(first.select(F.col("sig").alias("u"), F.col("root").alias("v")).unionByName(more))
     roots = roots.withColumnRenamed("u", "sig")

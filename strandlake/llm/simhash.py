@@ -16,7 +16,7 @@ from .shared import materialise
 
 SEED = 42
 #: Cells of one exclusive-or matrix in numpy.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -112,6 +112,7 @@ def compare_units(units: DataFrame, links_of) -> DataFrame:
             held = [r[last:] for r in rows]
             if last:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of([r[:last] for r in rows])], ["u", "v"])
+                pa.default_memory_pool().release_unused()
         if held and len(held[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(held)], ["u", "v"])
 

@@ -87,3 +87,20 @@ def test_parities_never_differ_more_than_sets():
         for b in range(a):
             apart = len(set(value[row == a].tolist()) ^ set(value[row == b].tolist()))
             assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= apart
+
+
+def test_units_give_links_and_no_pairs():
+    """However many pairs of a group may be alike, its units give fewer rows than it has sets."""
+    texts = loose_group(4, 60)
+    ((_, row, value, n),) = near_copies.shingle_sets(texts)
+    sig, unit = np.arange(n), np.zeros(n, np.int64)
+    size = np.bincount(row, minlength=n)
+    bits = near_copies.parities(row, value, n)
+    u, v = near_copies._candidates_in_units([unit, unit, sig, sig, size, unit, *bits.T.copy()])
+    assert n / 3 < len(u) < n and (u != v).all()
+    u, v = near_copies._links_in_units([unit, unit, sig, sig, np.array(texts, object)])
+    want = slow_roots(list(enumerate(texts)))
+    joined = list(range(n))
+    for a, b in zip(u.tolist(), v.tolist()):
+        joined = [joined[b] if x == joined[a] else x for x in joined]
+    assert len(u) == n - len(set(want)) and len(set(zip(joined, want))) == len(set(joined)) == len(set(want))
