@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import near_copies, shared
+from strandlake.llm import near_copies, shared, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,6 +89,33 @@ def test_parities_never_differ_more_than_sets():
             assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= apart
 
 
+def test_stage_links_simhash_fingerprints(spark):
+    """Repeats tip the same bits, though the sets of shingles are half as similar as the bound."""
+    rows = [(1, "of " * 60), (2, "of " * 45 + "end"), (3, "quite another text of some words"), (4, "of " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.root for r in near_copies.near_copies(docs).collect()}) == 3
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_simhash_links_equal_op6(spark, docs, tile):
+    """Components over both kinds of links: each of either kind lies within one, and no other joins."""
+    both, bits, sets = near_copies.near_copies(docs, tile, radius=3), simhash.near_duplicates(docs), near_copies.near_copies(docs)
+    root = {(r.doc_id, r.h): r.root for r in both.collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for kind, found in (("bits", bits), ("sets", sets)):
+        for r in found.collect():
+            parent[find((r.doc_id, r.h))] = find((kind, r.root))
+    pairs = {(find(k), r) for k, r in root.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def test_units_give_links_and_no_pairs():
     """However many pairs of a group may be alike, its units give fewer rows than it has sets."""
     texts = loose_group(4, 60)
