@@ -179,7 +179,7 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [Anchors(raws).key for _, raws in chunks(batch.column(0).to_pylist())]
+            keys = [Anchors(raws).key for _, raws in chunks(batch.column(0))]
             keys, n = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
@@ -203,7 +203,7 @@ def _passages(docs: DataFrame, known: Filter, single: bool) -> DataFrame:
         for batch in batches:
             ids = np.array(batch.column(0).fill_null(0)).view(np.uint64)
             out = [[] for _ in range(7)]
-            for at, raws in chunks(batch.column(2).to_pylist()):
+            for at, raws in chunks(batch.column(2)):
                 found = Anchors(raws)
                 row, start, end, key = found.row, found.low, found.high + SPAN, found.key
                 if not single:
@@ -328,21 +328,25 @@ def locate(texts: list[bytes], claims: list[list[dict]], most_words: int = 2_000
     return masks
 
 
-def _remove(claimed: DataFrame) -> DataFrame:
+def _remove(claimed: DataFrame, step: int = 256) -> DataFrame:
+    """doc_id, text, n_words and n_removed of rows with their claims; words of step rows are held at a time."""
+
     def run(batches):
-        for batch in batches:
-            words = [words_of(t) for t in batch.column(2).to_pylist()]
-            masks = locate([b" ".join(w) for w in words], batch.column(3).to_pylist())
-            kept = [b" ".join([x for x, m in zip(w, mask.tolist()) if not m]) if mask.any() else b" ".join(w) for w, mask in zip(words, masks)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([k.decode() for k in kept], pa.string()),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([int(m.sum()) for m in masks], pa.int64()),
-                ],
-                ["doc_id", "text", "n_words", "n_removed"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                words = [words_of(t) for t in batch.column(2).to_pylist()]
+                masks = locate([b" ".join(w) for w in words], batch.column(3).to_pylist())
+                kept = [b" ".join([x for x, m in zip(w, mask.tolist()) if not m]) if mask.any() else b" ".join(w) for w, mask in zip(words, masks)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([k.decode() for k in kept], pa.string()),
+                        pa.array([len(w) for w in words], pa.int64()),
+                        pa.array([int(m.sum()) for m in masks], pa.int64()),
+                    ],
+                    ["doc_id", "text", "n_words", "n_removed"],
+                )
 
     return claimed.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
 
@@ -399,4 +403,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op7_repeated_phrase_automata(spark, sf_dir: str) -> DataFrame:
     """Per document its words, how many are removed as repeats, and the digest of what stays."""
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    # Written by the helper, so that Python gets few texts at a time whoever reads the result.
+    return materialise(kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "repeats-removed")
