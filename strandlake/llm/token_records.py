@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,8 @@ MASK_DELTA = 0xA282EAD8
 HEADER, FOOTER = 12, 4
 #: Bytes of records that are read and handed on at a time.
 REQUEST = 8 << 20
+#: Words whose ids a worker remembers at most, in each of two generations.
+WORDS = 400_000
 INDEX_SCHEMA = "part int, file string, doc_id long, offset long, length long, n_tokens long, first long"
 
 #: A space between two characters that are not white space starts a word, whatever surrounds it.
@@ -82,7 +85,7 @@ class _Known(dict):
 class Encoder:
     """Encodes whole texts, remembering the ids of words: a byte-level tokenizer cuts at word starts first."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +100,7 @@ class Encoder:
         self.line = np.array(self.end_of_line, self.dtype).tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _lines(self, bodies: list[str], lead: str) -> list[bytes]:
         """Ids of words without white space, each after lead: encoded together, a line each."""
@@ -153,31 +156,29 @@ class Encoder:
         A text that may hold an added token is encoded whole.
         """
         whole = [bool(self.added.search(t)) for t in texts]
-        cut = [[] if all_ else (_FIRST + t).replace(_NEWLINE, " \n").split(" ") if _FIRST not in t else [""] for t, all_ in zip(texts, whole)]
-        get, out = self.known.__getitem__, []
-        parts = [list(map(get, words)) for words in cut]
+        # Arrow cuts the texts and numbers their words, so that each word is looked up once for all of them.
+        cut = ["" if all_ or _FIRST in t else (_FIRST + t).replace(_NEWLINE, " \n") for t, all_ in zip(texts, whole)]
+        cut = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.__getitem__, words))
         learned = self._learn(self.known.turn())
-        for text, all_, words, ids in zip(texts, whole, cut, parts):
+        ids = pa.array([learned.get(w) if x is None else x for w, x in zip(words, ids)], pa.binary())
+        out = pc.binary_join(pa.ListArray.from_arrays(cut.offsets, ids.take(coded.indices)), b"").to_pylist()
+        for k, (text, all_) in enumerate(zip(texts, whole)):
             if all_:
-                out.append(self._ids(text).tobytes())
-                continue
-            at = 0
-            try:
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at)
-                    ids[at] = learned[words[at]]
-            except KeyError:  # white space next to a space, or our mark in the text
-                ids = (self._ids(w).tobytes() for w in _WORD_START.split(text))
-            out.append(b"".join(ids))
+                out[k] = self._ids(text).tobytes()
+            elif out[k] is None:  # white space next to a space, or our mark in the text
+                out[k] = b"".join(self._ids(w).tobytes() for w in _WORD_START.split(text))
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int) -> Encoder:
+    return Encoder(path, most)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = WORDS) -> DataFrame:
     """Encode documents and write them as records in ascending doc_id order; returns the offset index.
 
     Tasks hold consecutive ranges of ids, so the files in order of part hold all documents in order.
@@ -193,19 +194,20 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
         store.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
         file = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec"
-        coder, offset, first, out = encoder(tokenizer), 0, 0, None
+        coder, offset, first, out = encoder(tokenizer, most), 0, 0, None
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             offsets, lengths, counts, firsts = [], [], [], []
-            for lo in range(0, len(texts), 256):
-                for data in coder.encode([t or "" for t in texts.slice(lo, 256).to_pylist()]):
+            for lo in range(0, len(texts), 512):
+                for data in coder.encode([t or "" for t in texts.slice(lo, 512).to_pylist()]):
                     record = frame(data + end)
                     out = out or store.open_output_stream(file, compression=None)
                     out.write(record)
                     n = len(data) // coder.width + 1
                     offsets.append(offset), lengths.append(len(record)), counts.append(n), firsts.append(first)
                     offset, first = offset + len(record), first + n
+                pa.default_memory_pool().release_unused()
             size = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * size, pa.int32()), pa.array([file] * size, pa.string()), ids]
@@ -224,7 +226,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
     return materialise(ordered.mapInArrow(write, INDEX_SCHEMA), "token-index")
 
 
-def read_records(index: DataFrame, tokenizer: str) -> DataFrame:
+def read_records(index: DataFrame, tokenizer: str, most: int = WORDS) -> DataFrame:
     """Read the records that the index rows name, in any order, and check lengths and checksums.
 
     Returns doc_id, part, first (ids before it in its file), n_tokens and ids (unsigned 32-bit
@@ -236,7 +238,7 @@ def read_records(index: DataFrame, tokenizer: str) -> DataFrame:
 
     def read(batches):
         store, _ = fs.FileSystem.from_uri(base)
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, most)
         for batch in batches:
             rows = batch.to_pydict()
             at = 0
@@ -272,10 +274,10 @@ def token_starts(index: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = WORDS) -> DataFrame:
     """Write all documents, read the files back, and tell per document where its ids are."""
-    index = write_records(docs, tokenizer, end_id)
-    back = read_records(index, tokenizer).withColumn("ids_crc32", F.crc32("ids"))
+    index = write_records(docs, tokenizer, end_id, most)
+    back = read_records(index, tokenizer, most).withColumn("ids_crc32", F.crc32("ids"))
     return back.drop("ids").join(token_starts(index), "part").select(
         "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )
