@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exact_dedup import filter_bits, hit_filter, probe
-from .shared import discard, materialise, scratch_dir
+from .shared import discard, lean, materialise, scratch_dir
 from .substring_dedup import chunks, word_hashes
 
 #: Words of a window, and of the shingles that are ordered by rarity.
@@ -155,7 +155,7 @@ def _count_shingles(docs: DataFrame, block, shingles: dict[int, np.ndarray]) ->
                 [pa.array(np.full(len(seen), size, np.int32)), pa.array(seen), pa.array(n[seen])], ["size", "at", "n"]
             )
 
-    found = docs.select("text").mapInArrow(count, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(lean(count), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
     totals = {size: np.zeros(len(c), np.int64) for size, c in shingles.items()}
     table = found.toArrow()
     size, at, n = (table.column(k).to_numpy() for k in range(3))
@@ -197,7 +197,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     if n_blocks > 1:
         return _mark_by_blocks(docs, items, n_blocks)
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>").fields)
-    return docs.mapInArrow(_marker(_broadcast(docs, items), docs.columns.index("text")), schema)
+    return docs.mapInArrow(lean(_marker(_broadcast(docs, items), docs.columns.index("text"))), schema)
 
 
 def _broadcast(docs: DataFrame, items: DataFrame):
@@ -215,14 +215,14 @@ def _mark_by_blocks(docs: DataFrame, items: DataFrame, n_blocks: int) -> DataFra
     folder = scratch_dir(spark, "marks")
     for k in range(n_blocks):
         block = _broadcast(docs, items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k))
-        materialise(docs.select("text").mapInArrow(_finder(block), schema), f"block={k}", folder)
+        materialise(docs.select("text").mapInArrow(lean(_finder(block)), schema), f"block={k}", folder)
         block.unpersist()
     found = spark.read.schema(f"{schema}, block string").parquet(folder)
     # Copies of a text have equal marks: one of each block is enough.
     one = found.groupBy("digest", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("n"))
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
     together = one.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), names.alias("items"), F.max("n").alias("n"))
-    marks = materialise(together.mapInArrow(_merge_spans, together.schema), "marked-texts")
+    marks = materialise(together.mapInArrow(lean(_merge_spans), together.schema), "marked-texts")
     discard(spark, folder)
 
     # Other columns get names that nothing here has.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .exact_dedup import filter_bits, hit_filter, probe
-from .shared import discard, join_salted, materialise, scratch_dir
+from .shared import discard, join_salted, lean, materialise, scratch_dir
 from .simhash import _spanning, compare_units, linked_fingerprints, simhash, tile_pairs, tiled_units
 from .substring_dedup import ROLL, Filter, _each, _mix, chunks, word_hashes
 
@@ -85,7 +85,7 @@ def _counters(docs: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
 
-    found = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(lean(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(SLOTS, np.int64)
     total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return total
@@ -124,12 +124,11 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), fp, pa.array(sig), pa.array(size.astype(np.int32)), *[pa.array(b) for b in bits.T.copy()], lists],
                 ["doc_id", "h", "fp", "sig", "size", *_BITS, "toks"],
             )
-            pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     words = ", ".join(f"{b} bigint" for b in _BITS)
-    return read.mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, sig bigint, size int, {words}, toks array<bigint>")
+    return read.mapInArrow(lean(run), f"doc_id {kind}, h bigint, fp bigint, sig bigint, size int, {words}, toks array<bigint>")
 
 
 def _distinct_sets(prints: DataFrame, folder: str) -> DataFrame:
@@ -160,7 +159,7 @@ def _entries(sets: DataFrame, folder: str) -> DataFrame:
             taken = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*taken, pa.array(pos.astype(np.int32)), pa.array(toks[use])], ["sig", "size", "pos", "tok"])
 
-    return sets.select("sig", "size", "toks").mapInArrow(run, "sig bigint, size int, pos int, tok bigint")
+    return sets.select("sig", "size", "toks").mapInArrow(lean(run), "sig bigint, size int, pos int, tok bigint")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -194,7 +193,7 @@ def sifted(docs: DataFrame, known: Filter, inside: bool = True) -> DataFrame:
             found = shared.value.has(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
             yield batch.filter(pa.array(found == inside))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def similar_rows(batch, shingle: int = SHINGLE, step: int = 256):
@@ -239,7 +238,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -
     one, two = (texts.select(F.col("sig").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
     # Many pairs may name one v, so texts of u come last: they are not moved again.
     both = join_salted(pairs, two, "v", "u", folder=folder).join(one, "u").select("u", "v", "text_u", "text_v")
-    links = materialise(both.mapInArrow(run, "u bigint, v bigint"), "near-links")
+    links = materialise(both.mapInArrow(lean(run), "u bigint, v bigint"), "near-links")
     discard(docs.sparkSession, folder)
     return links
 

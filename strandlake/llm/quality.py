@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
+
 #: Hashed word features; the binned statistics follow them.
 WORDS = 1 << 13
 BINS = 10
@@ -184,7 +186,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) ->
                 ["doc_id", "label", "at", "x", "stats"],
             )
 
-    rows = texts.mapInArrow(extract, "doc_id long, label int, at array<int>, x array<float>, stats array<double>")
+    rows = texts.mapInArrow(lean(extract), "doc_id long, label int, at array<int>, x array<float>, stats array<double>")
     table = rows.toArrow().sort_by("doc_id")
     labels_of = table.column("label").to_numpy().astype(np.float32)
     lists = [[x.values.to_numpy(zero_copy_only=False) for x in table.column(c)] for c in ("at", "x", "stats")]
@@ -212,7 +214,7 @@ def score_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
     schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(lean(run), schema)
 
 
 def op8_factorisation_machine(spark, sf_dir: str) -> DataFrame:

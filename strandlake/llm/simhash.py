@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import materialise
+from .shared import lean, materialise
 
 SEED = 42
 #: Cells of one exclusive-or matrix in numpy.
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, name])
 
     schema = T.StructType([*kept, T.StructField(name, T.LongType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(lean(run), schema)
 
 
 def tile_pairs(unit: np.ndarray, side: np.ndarray):
@@ -112,11 +112,10 @@ def compare_units(units: DataFrame, links_of) -> DataFrame:
             held = [r[last:] for r in rows]
             if last:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of([r[:last] for r in rows])], ["u", "v"])
-                pa.default_memory_pool().release_unused()
         if held and len(held[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_of(held)], ["u", "v"])
 
-    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "u long, v long")
+    return units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(lean(run), "u long, v long")
 
 
 def tiled_units(entries: DataFrame, reach: int, tile: int) -> DataFrame:

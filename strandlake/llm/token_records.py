@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, scratch_dir
+from .shared import lean, materialise, scratch_dir
 
 #: Fixed values of the record format: 8 bytes length, 4 bytes its masked checksum, data, 4 bytes checksum.
 MASK_DELTA = 0xA282EAD8
 HEADER, FOOTER = 12, 4
-#: Bytes of records that are read and handed on at a time.
-REQUEST = 8 << 20
+#: Bytes of records that are read and handed on at a time, and that a task reads in all.
+REQUEST, TASK = 1 << 20, 16 << 20
 #: Words whose ids a worker remembers at most, in each of two generations.
 WORDS = 400_000
 INDEX_SCHEMA = "part int, file string, doc_id long, offset long, length long, n_tokens long, first long"
@@ -223,22 +223,17 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int =
         .sortWithinPartitions("doc_id", "h")
         .select("doc_id", "text")
     )
-    return materialise(ordered.mapInArrow(write, INDEX_SCHEMA), "token-index")
+    return materialise(ordered.mapInArrow(lean(write), INDEX_SCHEMA), "token-index")
 
 
-def read_records(index: DataFrame, tokenizer: str, most: int = WORDS) -> DataFrame:
-    """Read the records that the index rows name, in any order, and check lengths and checksums.
-
-    Returns doc_id, part, first (ids before it in its file), n_tokens and ids (unsigned 32-bit
-    little-endian).  Neighbouring records are read with one request of about REQUEST bytes and handed on
-    as one batch; the bytes of the records decide the number of tasks.
-    """
-    base = scratch_dir(index.sparkSession, "")
+def _reader(base: str, forget: bool):
+    """Rows of the index to the records that they name."""
     names = ["doc_id", "part", "first", "n_tokens", "ids"]
 
     def read(batches):
         store, _ = fs.FileSystem.from_uri(base)
-        coder = encoder(tokenizer, most)
+        if forget:
+            encoder.cache_clear()
         for batch in batches:
             rows = batch.to_pydict()
             at = 0
@@ -253,7 +248,8 @@ def read_records(index: DataFrame, tokenizer: str, most: int = WORDS) -> DataFra
                     buffer = memoryview(source.read(stop - start))
                 for k in range(at, last):
                     data, _ = unframe(buffer, rows["offset"][k] - start)
-                    out.append(np.frombuffer(data, coder.dtype).astype("<u4").tobytes())
+                    # The end id is in every record, so there is one id at least.
+                    out.append(np.frombuffer(data, f"<u{len(data) // rows['n_tokens'][k]}").astype("<u4").tobytes())
                 some = batch.slice(at, last - at)
                 counts = pa.array([len(x) // 4 for x in out], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -261,9 +257,21 @@ def read_records(index: DataFrame, tokenizer: str, most: int = WORDS) -> DataFra
                 )
                 at = last
 
+    return read
+
+
+def read_records(index: DataFrame, forget: bool = False) -> DataFrame:
+    """Read the records that the index rows name, in any order, and check lengths and checksums.
+
+    Returns doc_id, part, first (ids before it in its file), n_tokens and ids (unsigned 32-bit
+    little-endian).  Neighbouring records are read with one request of about REQUEST bytes and handed on
+    as one batch; the bytes of the records decide the number of tasks.  A record's length tells how wide
+    its ids are, so no tokenizer is loaded; with forget, workers give up those loaded for writing.
+    """
     size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    n_tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // (2 * REQUEST)))
-    places = index.repartition(n_tasks, "file", F.floor(F.col("offset") / (2 * REQUEST))).sortWithinPartitions("file", "offset")
+    n_tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK))
+    places = index.repartition(n_tasks, "file", F.floor(F.col("offset") / TASK)).sortWithinPartitions("file", "offset")
+    read = lean(_reader(scratch_dir(index.sparkSession, ""), forget))
     return places.mapInArrow(read, "doc_id long, part int, first long, n_tokens long, ids binary")
 
 
@@ -274,10 +282,12 @@ def token_starts(index: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = WORDS) -> DataFrame:
-    """Write all documents, read the files back, and tell per document where its ids are."""
+def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = WORDS, forget: bool = False) -> DataFrame:
+    """Write all documents, read the files back, and tell per document where its ids are.
+
+    forget: workers give up tokenizer and words when they read, as other work follows in their memory."""
     index = write_records(docs, tokenizer, end_id, most)
-    back = read_records(index, tokenizer, most).withColumn("ids_crc32", F.crc32("ids"))
+    back = read_records(index, forget).withColumn("ids_crc32", F.crc32("ids"))
     return back.drop("ids").join(token_starts(index), "part").select(
         "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )
