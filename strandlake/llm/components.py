@@ -14,25 +14,31 @@ def _stars(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
+    # A node keeps the edge to its least neighbour and hands its other neighbours on to that one.
+    kept = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return large.join(least, "u").select(kept.alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node, which has none itself."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("low")), F.struct(F.col("v").alias("node"), F.lit(0).alias("low"))))
+    nodes = edges.select((F.col("u") < F.col("v")).alias("up"), ends.alias("end")).groupBy("end.node")
+    nodes = nodes.agg(F.max("up").alias("up"), F.sum("end.low").alias("down"), F.count("*").alias("n"))
+    return nodes.where("up OR down > 1 OR down BETWEEN 1 AND n - 1").count() == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) to one row (u, root) per node that is not the smallest of its component.
 
-    Ends when a round changes no edge; each round is written to the shared folder and the one before
-    removed, so lineage stays short.  Minima are combined before each shuffle; the joins are plain inner
-    joins, whose skewed partitions Spark splits.  Null or equal ends are no links.
+    Ends when all edges are stars around smallest nodes, which one aggregate over the nodes tells without
+    another round; each round is written to the shared folder and the one before removed, so lineage stays
+    short.  Minima are combined before each shuffle; the joins are plain inner joins, whose skewed
+    partitions Spark splits.  Null or equal ends are no links; edges may repeat.
     """
     spark, folder = edges.sparkSession, scratch_dir(edges.sparkSession, "edges")
-    edges = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges", folder)
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark[0] == 0 or mark == seen:
-            return edges.withColumnRenamed("v", "root")
-        seen = mark
+    edges = materialise(edges.where("u <> v").select("u", "v"), "edges", folder)
+    while not _are_stars(edges):
         last, folder = folder, scratch_dir(spark, "edges")
         edges = materialise(_stars(edges), "edges", folder)
         discard(spark, last)
+    return edges.withColumnRenamed("v", "root")

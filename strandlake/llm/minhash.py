@@ -158,7 +158,7 @@ def _near(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
             use = _maybe(tuple(map(_signatures, marks)), tuple(map(_parities, marks)), size)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(use))
 
-    both = join_salted(pairs.join(one, "u"), two, "v", "u", folder=folder)
+    both = join_salted(pairs, two, "v", "u", folder=folder).join(one, "u")
     return both.select("u", "v", "m_u", "m_v", "n_u", "n_v").mapInArrow(run, "u long, v long")
 
 
@@ -197,6 +197,7 @@ def _apart_in_units(rows: list[np.ndarray], step: int = 1 << 16) -> tuple[np.nda
     unit, side, ids, root, size, at, marks = rows
     marks = marks.tolist()
     signature, parity, found = _signatures(marks), _parities(marks), [np.zeros((0, 2), np.int64)]
+    keys = None  # of each set once, when a pair needs them
     for i, j in tile_pairs(unit, side):
         use = (root[i] != root[j]) & _alike(size[i], size[j])
         i, j = i[use], j[use]
@@ -204,7 +205,10 @@ def _apart_in_units(rows: list[np.ndarray], step: int = 1 << 16) -> tuple[np.nda
             a, b = i[k : k + step], j[k : k + step]
             use = _maybe((signature[a], signature[b]), (parity[a], parity[b]), (size[a], size[b]))
             a, b = a[use], b[use]
-            first = (chunk_keys(signature[a]) == chunk_keys(signature[b])).argmax(axis=1) == at[a]
+            if not len(a):
+                continue
+            keys = chunk_keys(signature) if keys is None else keys
+            first = (keys[a] == keys[b]).argmax(axis=1) == at[a]
             a, b = ids[a[first]], ids[b[first]]
             found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
     pairs = np.concatenate(found)

@@ -162,7 +162,8 @@ class Filter:
         place = table.select(F.expr(f"key & {self.bits - 1}L").alias("at"))
         maps = place.groupBy(F.expr(f"at div {BITMAP}").alias("word")).agg(F.expr(f"bitmap_construct_agg(at % {BITMAP})"))
         self.set = np.zeros(self.bits // 8, np.uint8)
-        for word, bits in maps.toLocalIterator():
+        # At most 4,096 bitmaps of 4 KB in one job; a local iterator runs one job after another, as many as there are partitions.
+        for word, bits in maps.collect():
             self.set[word * BITMAP // 8 : (word + 1) * BITMAP // 8] = np.frombuffer(bits, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:  # unsigned

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from strandlake.llm import minhash, near_copies
 from strandlake.llm.minhash import CHUNK, CHUNKS, RADIUS, chunk_keys, minhash_components, op13_minhash_multi_index
 from strandlake.llm.oracles import ORACLES
 
@@ -95,6 +96,28 @@ def test_pigeonhole_is_sure_up_to_the_radius():
     assert (chunk_keys(a) == chunk_keys(b)).any(axis=1).all()
 
 
+def test_a_unit_hashes_its_chunks_once(monkeypatch):
+    texts = [" ".join(f"w{x}" for x in range(k, k + 60)) for k in range(20)]
+    _, row, value, n = next(near_copies.shingle_sets(texts, minhash.SHINGLE))
+    signature = minhash.signatures(row, value, n)
+    marks = np.concatenate((signature, minhash.parities(row, value, n)), axis=1)
+    keys, ids, size, calls = chunk_keys(signature), np.arange(n), np.bincount(row), []
+    monkeypatch.setattr(minhash, "chunk_keys", lambda x: calls.append(len(x)) or chunk_keys(x))
+    got = set()
+    for at in range(keys.shape[1]):  # one unit for each value of a key
+        unit = np.sort(keys[:, at].view(np.int64))
+        order = np.argsort(keys[:, at].view(np.int64), kind="stable")
+        held = [x[order] for x in (ids, ids, size, np.full(n, at), np.array([m.tobytes() for m in marks], object))]
+        before = len(calls)
+        u, v = minhash._apart_in_units([unit, np.zeros(n, np.int64), *held])
+        assert len(calls) - before <= 1
+        new = set(zip(u.tolist(), v.tolist()))
+        assert not new & got
+        got |= new
+    links = {(i, j) for i in range(n) for j in range(i) if 100 * len(shingles(texts[i]) & shingles(texts[j])) >= 80 * len(shingles(texts[i]) | shingles(texts[j]))}
+    assert links and links <= got and calls
+
+
 def test_none(spark, empty):
     assert minhash_components(empty).count() == 0
     rows = [(1, None), (2, ""), (3, " \n"), (None, None)]

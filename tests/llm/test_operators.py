@@ -207,6 +207,35 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    written, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda *a: written.append(a) or write(*a))
+    stars = [(k, k % 3) for k in range(3, 60)]
+    assert sorted(map(tuple, components.connected_components(spark.createDataFrame(stars, "u long, v long")).collect())) == stars
+    assert len(written) == 1
+    odd = [(5, 1), (5, 1), (2, 6), (9, 8), (8, 7), (12, 10), (12, 11)]
+    got = components.connected_components(spark.createDataFrame(odd, "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == [(5, 1), (6, 2), (8, 7), (9, 7), (11, 10), (12, 10)]
+
+
+def test_filter_is_read_in_few_jobs_whatever_the_partitions(spark):
+    keys = [k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(1, 3000)]
+    signed = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "key long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, x in zip(before, ("60", "false")):
+            spark.conf.set(c, x)
+        tracker = spark.sparkContext.statusTracker()
+        known = set(tracker.getJobIdsForGroup())
+        found = substring_dedup.Filter(signed, len(keys))
+        assert len(set(tracker.getJobIdsForGroup()) - known) <= 4
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    others = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    assert found.has(np.array(keys, np.uint64)).all() and found.has(others).mean() < 0.2
+
+
 def slow_hits(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     words, hit, names = split(text), set(), set()
