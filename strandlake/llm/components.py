@@ -32,8 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Ends when all edges are stars around smallest nodes, which one aggregate over the nodes tells without
     another round; each round is written to the shared folder and the one before removed, so lineage stays
-    short.  Minima are combined before each shuffle; the joins are plain inner joins, whose skewed
-    partitions Spark splits.  Null or equal ends are no links; edges may repeat.
+    short.  Minima are combined before each shuffle; the joins are plain inner joins, so a node's edges may
+    meet in one task where Spark doesn't split it.  Null or equal ends are no links; edges may repeat.
     """
     spark, folder = edges.sparkSession, scratch_dir(edges.sparkSession, "edges")
     edges = materialise(edges.where("u <> v").select("u", "v"), "edges", folder)
