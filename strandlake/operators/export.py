@@ -56,6 +56,24 @@ def genotype_letter() -> Column:
     return F.when(~F.col("called") | F.col("a2").isNull(), "-").when(F.col("a1") != F.col("a2"), "H").when(F.col("a1") == 0, "A").otherwise("B")
 
 
+def megabases(pos: Column) -> Column:
+    """pos / 10^6 as a text with seven digits, as C's %.6e gives it.
+
+    Java rounds the shortest text of a number, C the number itself, so they differ where a position lies
+    halfway between two texts.  There the remainder of the division, which is exact in two halves of the
+    quotient's bits, tells on which side of it the quotient lies; quotients that are exact go to the even digit.
+    """
+    pos = pos.cast("long")
+    quotient, whole = pos / 1e6, pos.cast("double")
+    high = quotient * 134217729.0 - (quotient * 134217729.0 - quotient)
+    above = (high * 1e6 - whole) + (quotient - high) * 1e6
+    cut = F.pow(F.lit(10.0), F.greatest(F.length(F.abs(pos).cast("string")) - 7, F.lit(0))).cast("long")
+    rest = F.pmod(pos, cut)
+    low = pos - rest
+    up = F.when(2 * rest != cut, 2 * rest > cut).when(above != 0, above > 0).otherwise(F.pmod(low / cut, F.lit(2)) == 1)
+    return F.format_string("%.6e", (low + F.when(up, cut).otherwise(0)) / 1e6)
+
+
 def rqtl_genotypes(calls: DataFrame) -> DataFrame:
     """ord, map position in Mb as text, and the samples' genotype letters by order of first appearance:
     A to Z, then A1 to Z1 and so on."""
@@ -66,7 +84,7 @@ def rqtl_genotypes(calls: DataFrame) -> DataFrame:
     letter = F.concat(F.char((F.col("k") - 1) % 26 + 65), F.when(turn > 0, turn.cast("string")).otherwise(""))
     coded = rows.join(first.select("ord", "g", letter.alias("letter")), ["ord", "g"], "left")
     return coded.groupBy("ord", "chrom", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("letter", F.lit("-")).alias("x")))), lambda s: s["x"]), ",").alias("letters")).withColumn(
-        "position", F.format_string("%.6e", F.col("pos") / 1e6)
+        "position", megabases(F.col("pos"))
     )
 
 

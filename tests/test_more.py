@@ -106,6 +106,14 @@ def test_letters_and_depths_have_no_cap(spark, tmp_path):
     assert (call.rd, call.ad, len(call.depths)) == (2, 300, 151)
 
 
+def test_positions_are_rounded_by_their_exact_values(spark):
+    """Halfway between two texts, C and Java differ; some quotients are exact, and places may lie before 0."""
+    places = [0, 7, 1234567, 10001285, 10001295, 12345675, 99999995, 9999999500, 1234567500000, 1234566500000, 123456789012345, -10001285, -10001295]
+    places += [37 * k for k in range(270300, 270500)] + [25 * k + 10**9 for k in range(200)]
+    got = spark.createDataFrame([(p,) for p in places], "pos long").select("pos", export.megabases(F.col("pos")).alias("x")).collect()
+    assert {r.pos: r.x for r in got} == {p: f"{p / 1e6:.6e}" for p in places}
+
+
 def test_depths_by_allele(spark):
     """A homozygous second alternative is judged by its own reads; the deepest allele is the major one."""
     rows = [(0, "c", 1, "S1", True, 2, 2, 22, 30.0, 1, 21, [1, 20, 1]), (0, "c", 1, "S2", True, 1, 1, 22, 30.0, 1, 21, [1, 20, 1]), (0, "c", 1, "S3", True, 0, 0, 5, 30.0, 5, 0, [5, 0, 0])]
