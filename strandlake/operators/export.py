@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import index_rows
-from .windows import range_join
+from .tiles import contexts_in, reference_tiles
 
 #: IUPAC codes of two bases.
 TWO_BASES = {"AG": "R", "CT": "Y", "CG": "S", "AT": "W", "GT": "K", "AC": "M"}
@@ -21,34 +21,34 @@ def iupac(ref: Column, alts: Column) -> Column:
     return F.when(one, code).when((F.size(alts) == 1) & (longest < F.length(ref)), "-").when((F.size(alts) == 1) & (longest > F.length(ref)), "^").otherwise("*")
 
 
-def flanked_alleles(sites: DataFrame, references: DataFrame, length: int = 60, min_length: int = 0) -> DataFrame:
+def _marked(tiles: DataFrame, sites: DataFrame, width: int) -> DataFrame:
+    """References' tiles (ref, bin, tile) with the codes of sites (ref, pos, code; one at a place) put in."""
+    at = F.col("pos") - F.col("bin") * width
+    marks = sites.withColumn("bin", F.floor(F.col("pos") / width)).groupBy("ref", "bin").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "code"))).alias("marks"))
+    rows = tiles.join(marks, ["ref", "bin"], "left").withColumn("marks", F.filter("marks", lambda m: m["at"] < F.length("tile")))
+    after = lambda i: F.when(i > 0, F.get("marks", i - 1)["at"] + 1).otherwise(0)
+    bases = lambda start, end: F.substr("tile", (start + 1).cast("int"), (end - start).cast("int"))
+    pieces = F.transform("marks", lambda m, i: F.concat(bases(after(i), m["at"]), m["code"]))
+    text = F.concat(F.array_join(pieces, ""), bases(after(F.size("marks")), F.length("tile")))
+    return rows.select("ref", "bin", F.coalesce(text, "tile").alias("tile"))
+
+
+def flanked_alleles(sites: DataFrame, references: DataFrame, length: int = 60, min_length: int = 0, width: int = 1 << 12) -> DataFrame:
     """ord and text left[ref/alt]right, the flanks as they are in references (chrom, seq), with codes where
-    other sites fall (of several at a place the one of least ord).  Flanks end at the ends of the reference; those shorter than min_length give null."""
-    rows = sites.join(references, "chrom")
-    left = F.substring("seq", F.greatest(F.col("pos") - length, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(length)))
-    stop = F.col("pos") + F.length("ref")
-    right = F.substring("seq", stop + 1, F.lit(length))
-    rows = rows.select("ord", "chrom", "pos", "ref", "alts", left.alias("left"), right.alias("right"))
-    others = sites.select("ord", "chrom", "pos", iupac(F.col("ref"), F.col("alts")).alias("code"))
-    ends = sites.select("ord", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("stop"))
-    before = range_join(ends.withColumn("pos", F.col("start")), others, "chrom", length).where("pos_2 < start")
-    behind = range_join(ends.withColumn("pos", F.col("stop")), others, "chrom", length).where("pos_2 >= stop")
-    near = before.unionByName(behind)
-    marks = near.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct((F.col("pos_2") - F.col("start")).alias("away"), "ord_2", F.col("code_2").alias("code")))).alias("marks"))
-    rows = rows.join(marks, "ord", "left")
-
-    def marked(text: Column, first: Column) -> Column:
-        """text with the codes of the sites put in; first is how far its first base is from the site."""
-        place = lambda i: F.get(F.filter("marks", lambda m: m["away"] == first + i), 0)["code"]
-        bases = F.filter(F.split(text, ""), lambda c: c != "")
-        return F.array_join(F.transform(bases, lambda c, i: F.coalesce(place(i), c)), "")
-
-    done = rows.select(
-        "ord", "ref", "alts", F.length("left").alias("n1"), F.length("right").alias("n2"),
-        marked(F.col("left"), -F.length("left")).alias("l"), marked(F.col("right"), F.length("ref")).alias("r"),
-    )
+    other sites fall (of several at a place the one of least ord).  Flanks end at the ends of the reference; those shorter than min_length give null.
+
+    A place has the same code in all flanks, so codes are put into the references' tiles of width bases, and flanks
+    are cut out of these once for all sites of equal place and ref; no site meets another."""
+    code = F.min(F.struct("ord", iupac(F.col("ref"), F.col("alts")).alias("code")))["code"]
+    first = sites.groupBy(F.col("chrom").alias("ref"), "pos").agg(code.alias("code")).where("code IS NOT NULL")
+    tiles = _marked(reference_tiles(references.select(F.col("chrom").alias("ref"), "seq"), width, upper=False), first, width)
+    place = ["chrom", "pos", "ref"]
+    places = sites.select(*place).distinct().withColumn("ord", F.struct(*place))
+    flanks = contexts_in(places, tiles, length, length, width).select(*place, F.coalesce("before", F.lit("")).alias("l"), F.coalesce("after", F.lit("")).alias("r"))
+    known = references.select("chrom", F.col("seq").isNotNull().alias("__known"))
+    rows = sites.select("ord", *place, "alts").join(known, "chrom").join(flanks, place, "left")
     text = F.concat("l", F.lit("["), F.concat_ws("/", F.concat(F.array("ref"), F.col("alts"))), F.lit("]"), "r")
-    return done.select("ord", F.when((F.col("n1") >= min_length) & (F.col("n2") >= min_length), text).alias("text"))
+    return rows.select("ord", F.when(F.col("__known") & (F.length("l") >= min_length) & (F.length("r") >= min_length), text).alias("text"))
 
 
 def genotype_letter() -> Column:

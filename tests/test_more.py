@@ -53,6 +53,33 @@ def test_flanks(spark):
     assert export.flanked_alleles(sites, refs, 4, 4).where("ord = 1").first().text is None
 
 
+def test_flanks_of_many_sites_at_a_place(spark):
+    """Sites never meet sites, however many share a place; references keep their case and tiles cut nothing."""
+    rng = np.random.default_rng(5)
+    refs = {c: "".join(rng.choice(list("ACGTacgtN"), n)) for c, n in (("c", 150), ("d", 40), ("e", 0))}
+    rows = []
+    for k in range(600):
+        c, p = str(rng.choice(["c", "d", "e", "unknown"], p=[0.7, 0.2, 0.05, 0.05])), int(rng.integers(0, 160))
+        rows.append((k, c, p, str(rng.choice(["A", "AT", "G"])), [str(x) for x in rng.choice(["A", "C", "T", "GGG"], rng.integers(1, 3))]))
+    sites = spark.createDataFrame(rows, "ord long, chrom string, pos long, ref string, alts array<string>")
+    references = spark.createDataFrame([*refs.items(), ("none", None)], "chrom string, seq string")
+    codes = {r.ord: r.code for r in sites.select("ord", export.iupac(F.col("ref"), F.col("alts")).alias("code")).collect()}
+    first = {}
+    for o, c, p, _, _ in rows:
+        first.setdefault((c, p), codes[o])
+    letter = lambda c, q: first.get((c, q)) or refs[c][q]
+    expected = {}
+    for o, c, p, ref, alts in rows:
+        if c in refs:
+            end = p + len(ref)
+            left, right = ("".join(letter(c, q) for q in range(max(0, a), min(b, len(refs[c])))) for a, b in ((p - 20, p), (end, end + 20)))
+            expected[o] = f"{left}[{'/'.join([ref, *alts])}]{right}" if min(len(left), len(right)) >= 5 else None
+    for width in (7, 64, 4096):
+        found = export.flanked_alleles(sites, references, 20, 5, width)
+        assert {r.ord: r.text for r in found.collect()} == expected and found.count() == len(expected)
+    assert "pos_2" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_orfs_and_orientation(spark):
     assert transcripts.translate("ATGTAANNN") == "M*X"
     orf = transcripts.longest_orf("CC" + "ATG" * 12 + "TAA", 30)
