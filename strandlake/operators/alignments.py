@@ -176,29 +176,42 @@ def classify_mates(df: DataFrame, outie_range: tuple[int, int] = (2000, 8000), m
     return df.select("qname").distinct().join(found, "qname", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
 
 
-def site_read_positions(df: DataFrame, sites: DataFrame) -> DataFrame:
-    """Each site with each read over it: ord (of the site), qname, rg, mapq, place in the read from its 5' end
-    and from its 3' end.  Blocks and sites meet by an equi-join on bins as wide as a read."""
+def _reads_over_sites(reads: DataFrame, sites: DataFrame, of_reads: list[str], of_sites: list[str]) -> DataFrame:
+    """The given columns of each read (ref, pos, cigar, flipped, ..) and each site (ref, pos, ..) that it lies over, and
+    the site's place in the read from its 5' end and from its 3' end.  Blocks and sites meet by an equi-join on bins
+    as wide as a read."""
     width = 64
-    rows = df.where(mapped()).select("qname", "flag", "rg", "mapq", "ref", read_length(F.col("cigar")).alias("n"), F.explode(blocks(F.col("pos"), F.col("cigar"))).alias("b"))
+    rows = reads.select(*of_reads, "flipped", "ref", read_length(F.col("cigar")).alias("__n"), F.explode(blocks(F.col("pos"), F.col("cigar"))).alias("b"))
     rows = rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("b.ref_start") / width), F.floor(F.col("b.ref_end") / width))))
-    at = sites.select("ord", F.col("chrom").alias("ref"), "pos", F.floor(F.col("pos") / width).alias("bin"))
+    at = sites.select(*of_sites, "ref", "pos", F.floor(F.col("pos") / width).alias("bin"))
     both = rows.join(at, ["ref", "bin"]).where(F.col("pos").between(F.col("b.ref_start"), F.col("b.ref_end")))
     place = F.col("b.read_start") + F.col("pos") - F.col("b.ref_start")
-    flipped = has_flag(F.col("flag"), "strand")
-    from5 = F.when(flipped, F.col("n") - 1 - place).otherwise(place)
-    return both.select("ord", "qname", "rg", "mapq", from5.alias("from5"), (F.col("n") - 1 - from5).alias("from3"))
+    from5 = F.when(F.col("flipped"), F.col("__n") - 1 - place).otherwise(place)
+    return both.select(*of_sites, *of_reads, from5.alias("from5"), (F.col("__n") - 1 - from5).alias("from3"))
+
+
+def site_read_positions(df: DataFrame, sites: DataFrame) -> DataFrame:
+    """Each site with each read over it: ord (of the site), qname, rg, mapq, place in the read from its 5' end
+    and from its 3' end."""
+    reads = df.where(mapped()).withColumn("flipped", has_flag(F.col("flag"), "strand"))
+    return _reads_over_sites(reads, sites.withColumn("ref", F.col("chrom")), ["qname", "rg", "mapq"], ["ord"])
 
 
 def site_position_stats(df: DataFrame, sites: DataFrame, max_pos: int | None = None) -> DataFrame:
     """Where in the reads of each read group sites lie, and the sites' qualities there: rg (null: none), side (5 or 3),
-    place (from 1 at that end, up to max_pos), reads, and the count, q1, median and q3 of the qualities."""
-    found = site_read_positions(df, sites).join(sites.select("ord", "qual"), "ord")
+    place (from 1 at that end, up to max_pos), reads, and the count, q1, median and q3 of the qualities.
+
+    Reads that lie alike, and sites of one place and quality, are counted before they meet, so what meets grows with
+    the places that are covered and not with reads times sites at a place."""
+    reads = df.where(mapped()).groupBy("rg", "ref", "pos", "cigar", has_flag(F.col("flag"), "strand").alias("flipped")).agg(F.count("*").alias("n_reads"))
+    at = sites.groupBy(F.col("chrom").alias("ref"), "pos", "qual").agg(F.count("*").alias("n_sites"))
+    found = _reads_over_sites(reads, at, ["rg", "n_reads"], ["qual", "n_sites"])
+    found = found.groupBy("rg", "qual", "from5", "from3").agg(F.sum(F.col("n_reads") * F.col("n_sites")).alias("n"))
     ends = F.explode(F.array(F.struct(F.lit(5).alias("side"), (F.col("from5") + 1).alias("place")), F.struct(F.lit(3).alias("side"), (F.col("from3") + 1).alias("place"))))
-    rows = found.select("rg", "qual", ends.alias("e")).select("rg", "qual", "e.*")
+    rows = found.select("rg", "qual", "n", ends.alias("e")).select("rg", "qual", "n", "e.*")
     rows = rows if max_pos is None else rows.where(F.col("place") <= max_pos)
     keys = ["rg", "side", "place"]
-    counts = rows.groupBy(*keys, F.col("qual").alias("value")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*keys, F.col("qual").alias("value")).agg(F.sum("n").alias("n"))
     reads = counts.groupBy(*keys).agg(F.sum("n").alias("reads"))
     boxes = quartiles(counts.where("value IS NOT NULL"), *keys)
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]

@@ -80,6 +80,27 @@ def test_flanks_of_many_sites_at_a_place(spark):
     assert "pos_2" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sites_and_reads_are_counted_before_they_meet(spark):
+    from collections import defaultdict
+
+    from strandlake.operators.alignments import site_position_stats, site_read_positions
+
+    reads = [(k, f"q{k}", [0, 16, 4][k % 3 % 2 if k % 7 else 2], "r", 10 + k % 4, 30, ["5M", "2S3M", "2M3D3M"][k % 3], [None, "a", "b"][k % 5 % 3]) for k in range(90)]
+    sites = [(k, "r", 8 + k % 12, None if k % 6 == 0 else float(k % 9)) for k in range(80)]
+    a = spark.createDataFrame(reads, "ord long, qname string, flag int, ref string, pos long, mapq int, cigar string, rg string")
+    s = spark.createDataFrame(sites, "ord long, chrom string, pos long, qual double")
+    each, quals = defaultdict(list), {k: q for k, _, _, q in sites}
+    for r in site_read_positions(a, s).collect():
+        each[r.rg, 5, r.from5 + 1].append(quals[r.ord])
+        each[r.rg, 3, r.from3 + 1].append(quals[r.ord])
+    found = site_position_stats(a, s, 4)
+    got = {(r.rg, r.side, r.place): (r.reads, r["count"], r.median) for r in found.collect()}
+    some = {k: sorted(q for q in v if q is not None) for k, v in each.items()}
+    assert got == {k: (len(each[k]), len(v), float(np.median(v)) if v else None) for k, v in some.items() if k[2] <= 4} and len(got) > 12
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate", plan.rindex("Join Inner")) == 2
+
+
 def test_orfs_and_orientation(spark):
     assert transcripts.translate("ATGTAANNN") == "M*X"
     orf = transcripts.longest_orf("CC" + "ATG" * 12 + "TAA", 30)
