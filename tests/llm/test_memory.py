@@ -53,3 +53,24 @@ def test_records_are_read_without_a_tokenizer(spark, monkeypatch):
         assert max(b.column("ids").nbytes for b in found) < 3 << 20 < sum(sizes)
     monkeypatch.undo()
     assert token_records.encoder.cache_info().currsize == 0
+
+
+def test_tables_leave_no_shuffle_files(spark, tmp_path):
+    """Files of the shuffles behind a table go when it is written, not when the driver collects garbage."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.shared import materialise
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(f.getPath()) for f in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in folders for f in d.rglob("shuffle_*")}
+    rows = spark.range(20000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+    before, conf = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = materialise(rows, "counts", f"file://{tmp_path}")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == conf
